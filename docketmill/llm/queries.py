@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketmill.llm import packing, quality, simhash
+from docketmill.llm import decontaminate, packing, passages, quality, secrets, simhash
 from docketmill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,15 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.contamination(documents(spark, sf_dir, "doc_id", "text"), items)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -26,9 +35,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file())
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_simhash, op4_packing, op8_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op8_quality)}
 ORACLES: dict[str, str] = {}
