@@ -10,13 +10,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketmill.ship import ship
+
 #: Rows turned into Python objects at a time, so that a large Arrow batch is never doubled.
 ROWS_AT_ONCE = 256
 
 
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table; other columns are never carried along. Workers get the package first."""
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The named columns of the documents table; other columns are never carried along."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    return table(spark, sf_dir, "documents", *columns)
 
 
 def shared_folder(spark: SparkSession) -> str:

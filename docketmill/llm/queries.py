@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketmill.llm import decontaminate, packing, passages, quality, secrets, simhash
-from docketmill.llm.common import documents
+from docketmill.llm import decontaminate, language, lm, packing, passages, quality, secrets, simhash, toxicity
+from docketmill.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ def tokenizer_file() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.contamination(documents(spark, sf_dir, "doc_id", "text"), items)
 
 
@@ -39,9 +39,22 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op8_quality)}
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.score(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op6_language, op8_quality, op9_lm, op10_toxicity)}
 ORACLES: dict[str, str] = {}
