@@ -1 +1,4 @@
-"""See the package docstring."""
+"""Whole queries, each with the SQL that must return the same rows."""
+
+from docketmill.plans import documents  # noqa: F401
+from docketmill.plans.registry import ORACLES, QUERIES  # noqa: F401
