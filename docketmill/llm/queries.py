@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docketmill.llm import decontaminate, language, lm, packing, passages, quality, secrets, simhash, toxicity
+from docketmill.llm import decontaminate, language, licenses, lm, packing, passages, quality, secrets, simhash, toxicity
 from docketmill.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie in a folder for their source, language and thousand of ids."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.withColumn("path", path))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
@@ -56,5 +64,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir, "doc_id", "text"), labels)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op6_language, op8_quality, op9_lm, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op6_language, op7_licenses, op8_quality, op9_lm, op10_toxicity)}
 ORACLES: dict[str, str] = {}

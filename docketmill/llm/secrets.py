@@ -171,6 +171,16 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, [*KINDS, RANDOM])), x["rank"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def _found(least: str, tested: str) -> Column:
+    """The random tokens among those tested, as (s, e), given the thresholds' column."""
+    accepted = lambda t: (_bin(t) >= F.try_element_at(F.col(least), _stratum(t))) & (t["p_random"] >= NOT_RANDOM)
+    return F.transform(F.filter(tested, lambda t: F.coalesce(accepted(t), F.lit(False))), _place)
+
+
+def _place(x: Column) -> Column:
+    return F.struct(x["s"].alias("s"), x["e"].alias("e"))
+
+
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, assign, access, hex, random): arrays of (s, e) spans for each row of `docs`, code points, end exclusive.
 
@@ -181,11 +191,29 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     whole = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(key).alias("k"), *(base_spans(whole, kind).alias(kind) for kind in KINDS), battery(occurrences(whole, TOKEN)).alias("tested"))
     read = cut(read)
-    least = discoveries(read)
-    accepted = lambda t: (_bin(t) >= F.try_element_at(F.col("least"), _stratum(t))) & (t["p_random"] >= NOT_RANDOM)
-    place = lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))
-    with_least = read.withColumn("least", least)
-    return with_least.select(F.col("k").alias(key), *(F.transform(kind, place).alias(kind) for kind in KINDS), F.transform(F.filter("tested", lambda t: F.coalesce(accepted(t), F.lit(False))), place).alias(RANDOM))
+    with_least = read.withColumn("least", discoveries(read))
+    return with_least.select(F.col("k").alias(key), *(F.transform(kind, _place).alias(kind) for kind in KINDS), _found("least", "tested").alias(RANDOM))
+
+
+def redact(docs: DataFrame, *, text: str = "text", mark: str = "[redacted]") -> DataFrame:
+    """The rows of `docs`, all columns, with each secret of the text replaced by a mark; spans that overlap or
+    touch get one mark. Null texts stay null. The texts are read twice, for the thresholds and for the rest, and
+    never shuffled or joined."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    tested = cut(docs.select(battery(occurrences(whole, TOKEN)).alias("tested")))
+    own = lambda name: f"__docketmill_{name}"
+    staged = docs.withColumns({own("tested"): battery(occurrences(whole, TOKEN)), own("least"): discoveries(tested)})
+    staged = staged.withColumn(own("spans"), F.array_sort(F.concat(*(F.transform(base_spans(whole, kind), _place) for kind in KINDS), _found(own("least"), own("tested")))))
+
+    def step(state: Column, x: Column) -> Column:
+        apart = x["s"] > state["at"]
+        begins = apart | (state["at"] == 0) & (state["out"] == "")
+        kept = F.when(apart, F.substring(F.col(text), state["at"] + 1, x["s"] - state["at"])).otherwise("")
+        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.when(begins, F.concat(state["out"], kept, F.lit(mark))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cleaned = F.aggregate(own("spans"), start, step, lambda state: F.concat(state["out"], F.substring(F.col(text), state["at"] + 1, F.length(text))))
+    return staged.withColumn(text, F.when(F.size(own("spans")) > 0, cleaned).otherwise(F.col(text))).select(*docs.columns)
 
 
 def digest(found: DataFrame, *, key: str = "doc_id") -> DataFrame:

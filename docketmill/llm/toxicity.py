@@ -7,12 +7,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketmill.llm import gru
-from docketmill.llm.common import remainder, slices
+from docketmill.llm.common import ROWS_AT_ONCE, remainder
 
 HELD_OUT, THRESHOLD = (4, 2), 0.3
 #: Windows of words, and the distance between their starts.
@@ -27,8 +27,8 @@ SAMPLE, LONGEST_SAMPLE, PASSES, BATCH, RATE = 2500, 20_000, 3, 64, 0.01
 RANDOM_WINDOWS, LEAST_BATCHES = 3000, 200
 #: Share of words that are read by their characters alone in training.
 UNKNOWN = 0.3
-#: Windows scored at once, words that a worker remembers, and words that it gathers first.
-AT_ONCE, WORDS_KEPT, GATHERED = 512, 120_000, 400_000
+#: Windows scored at once, and words that a worker remembers.
+AT_ONCE, WORDS_KEPT = 512, 120_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -310,6 +310,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return train([t for _, t, _ in rows], [y for _, _, y in rows], prior)
 
 
+def chance(net: Network, spark: SparkSession, text: str = "text") -> Column:
+    """The chance that a text is toxic, by its most toxic window; the network goes to each worker once."""
+    shared = spark.sparkContext.broadcast(net)
+
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            found: list[float] = []
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                found += scorer([None if t is None else t for t in texts.iloc[at : at + ROWS_AT_ONCE]])
+            yield pd.Series(found, dtype="float64")
+
+    return of(F.col(text))
+
+
 def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(key, held_out, score, predicted) of each row of `docs`.
 
@@ -318,14 +334,13 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     on. Null and empty texts get the score of an empty window. Repeated rows and null keys are rows like any
     other; without labels of both kinds the network is untrained; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key=key, text=text, label=label))
+    net = fit(docs, labels, key=key, text=text, label=label)
+    held_out = remainder(key, HELD_OUT[0]) == HELD_OUT[1]
+    scored = docs.select(F.col(key).alias("k"), held_out.alias("held_out"), chance(net, docs.sparkSession, text).alias("score"))
+    return scored.select(F.col("k").alias(key), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in slices(batches):
-            found = scorer(batch.column("text").to_pylist())
-            columns = [pa.array(found, pa.float64()), pa.array([int(s >= THRESHOLD) for s in found], pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("held_out"), *columns], names=["k", "held_out", "score", "predicted"])
 
-    read = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), (remainder(key, HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
-    return read.mapInArrow(run, f"k {dict(read.dtypes)['k']}, held_out boolean, score double, predicted int").withColumnRenamed("k", key)
+def keep_clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below THRESHOLD."""
+    net = fit(docs, labels, key=key, text=text, label=label)
+    return docs.where(chance(net, docs.sparkSession, text) < THRESHOLD)
