@@ -1,4 +1,4 @@
 """Whole queries, each with the SQL that must return the same rows."""
 
-from docketmill.plans import documents, figures  # noqa: F401
+from docketmill.plans import documents, figures, state  # noqa: F401
 from docketmill.plans.registry import ORACLES, QUERIES  # noqa: F401
