@@ -84,7 +84,7 @@ class Detector:
         return max((sum(x * v.get(t, 0.0) for t, x in template.items()), name) for name, template in self.templates)
 
     def __call__(self, text: str | None) -> list[dict]:
-        """The sentences and paragraphs of a text that are like a template: the better of the two for a place."""
+        """The sentences, ends of sentences and paragraphs of a text that are like a template: the best for a place."""
         out, last = [], -1
         for cue in CUES.finditer(text or ""):
             if cue.start() < last:
@@ -93,7 +93,7 @@ class Detector:
             a, b = (a + 2 if a >= 0 else 0), (b if b >= 0 else len(text))
             line = text.rfind("\n", a, cue.start()) + 1 or a
             sentence = next((m for m in UNIT.finditer(text, max(a, line), b) if m.end() > cue.start()), None)
-            units = [(sentence.start(), sentence.end())] if sentence else []
+            units = [(sentence.start(), sentence.end()), (cue.start(), sentence.end())] if sentence else []
             if b - a <= 20 * max(map(len, (n for v in TEMPLATES.values() for n in v))):
                 units.append((a, b))
             found = max((*self.best(text[s:e]), s, e) for s, e in units) if units else (0.0, "", 0, 0)
@@ -128,7 +128,7 @@ def scan(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str
     origin: `header` for the notice most like a template in the file's whole text; `file` where the file is
     named as a licence file or is mostly licence text: it licenses its directory as well; `inherited` from the
     nearest directory at or above the file's that has a licence file, licensed_at; else null. Where a
-    directory has several, the best score and then the least name wins. A file's own notice outranks what it
+    directory has several, one named as such wins, then the best score and then the least name. A file's own notice outranks what it
     inherits. Null texts have no notices; a null path lies in the root; repeated rows are kept; an empty table
     gives no rows. Directories are joined, not files: each distinct directory looks up its ancestors once.
     """
@@ -139,9 +139,9 @@ def scan(files: DataFrame, *, key: str = "doc_id", path: str = "path", text: str
     noticed = read.select("k", "path", F.regexp_replace("path", r"(^|/)[^/]*$", "").alias("directory"), named.alias("named"), n_words.alias("n_words"), detected(F.col("text"), idf).alias("found"))
     best = F.array_max(F.transform("found", lambda x: F.struct(x["score"].alias("score"), (-x["start"]).alias("at"), x["license"].alias("license"))))
     mostly = F.aggregate("found", F.lit(0).cast("bigint"), lambda s, x: s + x["words"]) >= FILE_SHARE * F.col("n_words")
-    own = cut(noticed.select("k", "path", "directory", best.alias("best"), ((F.size("found") > 0) & (F.col("named") | mostly)).alias("is_file")))
-    own = own.select("k", "path", "directory", "best.license", "best.score", "is_file")
-    directories = own.where("is_file").groupBy("directory").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")).select(F.col("directory").alias("ancestor"), F.col("best.license").alias("given"))
+    own = cut(noticed.select("k", "path", "directory", best.alias("best"), "named", ((F.size("found") > 0) & (F.col("named") | mostly)).alias("is_file")))
+    own = own.select("k", "path", "directory", "best.license", "best.score", "named", "is_file")
+    directories = own.where("is_file").groupBy("directory").agg(F.min(F.struct((~F.col("named")).alias("text_only"), (-F.col("score")).alias("s"), "license")).alias("best")).select(F.col("directory").alias("ancestor"), F.col("best.license").alias("given"))
     looked_up = own.select("directory").distinct().select("directory", F.explode(F.array_distinct(ancestors(F.col("directory")))).alias("ancestor"))
     nearest = looked_up.join(directories, "ancestor").groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "ancestor", "given")).alias("n"))
     nearest = nearest.select(F.col("directory").alias("of"), F.col("n.ancestor").alias("licensed_at"), F.col("n.given").alias("given"))
