@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers: bytes, web pages, office files and mail as typed tables."""
