@@ -5,6 +5,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 
 from docketmill.llm.common import cut, slices
 
-#: Distinct chunks of text whose ids a worker remembers, and the longest that it does.
-CHUNKS_KEPT, LONGEST_CHUNK = 250_000, 48
+#: Distinct chunks of text, and parts of chunks, whose ids a worker remembers; and the longest that it does.
+CHUNKS_KEPT, PARTS_KEPT, LONGEST_CHUNK = 600_000, 300_000, 48
+#: Marks that are neither letters nor digits nor part of an elision: a run of them is one word to the tokenizer.
+MARKS = ".,;:!?#$%&*|"
 #: Open windows of a partition, and partitions whose leftovers one task of a merging round takes.
 OPEN, FAN_IN = 32, 64
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, ids binary"
@@ -32,51 +37,103 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.reset()
-
-    def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.uses, self.start, self.flat = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.parts, self.part_start, self.part_flat = {"": 0}, np.zeros(2, np.int64), np.zeros(0, np.uint32)
+        words = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[k for w, k in words.items() if w.endswith("</w>")]] = True
 
     @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
-
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids, k = got.ids, len(self.known)
-            self.known[chunk] = k
-            self.start, self.count = self._room(self.start, k + 1), self._room(self.count, k + 1)
-            self.flat = self._room(self.flat, self.used + len(ids))
-            self.start[k], self.count[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+    def _lowered(text: str) -> str:
+        """A-Z lower-cased where that cannot change the ids: the tokenizer composes characters, then lower-cases."""
+        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return low if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low) else text
+
+    def _trim(self) -> None:
+        """Forgets the chunks that were used least."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > CHUNKS_KEPT // 2:
+            keep = np.sort(keep[np.argsort(self.uses[keep], kind="stable")[-CHUNKS_KEPT // 2 :]])
+        names, sizes = list(self.known), np.diff(self.start)[keep]
+        self.flat = self.flat[_ranges(self.start[keep], sizes)]
+        self.known, self.start = {names[k]: i for i, k in enumerate(keep.tolist())}, np.concatenate([[0], np.cumsum(sizes)])
+        self.uses = self.uses[keep] // 2
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Ids of runs of letters or of marks: the tokenizer ends each with an id that ends a word."""
+        texts = [" ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(ends) != len(parts):
+            raise ValueError("a part is not one word of the tokenizer")
+        at = len(self.parts)
+        self.parts.update(zip(parts, range(at, at + len(parts)), strict=True))
+        self.part_start = np.concatenate([self.part_start, self.part_start[-1] + ends])
+        self.part_flat = np.concatenate([self.part_flat, flat])
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Letters that marks follow are encoded apart from them, so that few distinct parts are."""
+        simple, parts, odd = [], [], []
+        for chunk in chunks:
+            base = chunk.rstrip(MARKS)
+            if not base and chunk:
+                simple.append(chunk)
+                parts += [chunk, ""]
+            elif base.isascii() and base.isalpha() or base.isalpha() and base.lower().isalpha():
+                simple.append(chunk)
+                parts += [base, chunk[len(base) :]]
+            else:
+                odd.append(chunk)
+        if len(self.parts) > PARTS_KEPT:
+            self.parts, self.part_start, self.part_flat = {"": 0}, np.zeros(2, np.int64), np.zeros(0, np.uint32)
+        self._encode_parts(list({*parts}.difference(self.parts)))
+        k = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        n = self.part_start[k + 1] - self.part_start[k]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        sizes = np.concatenate([n.reshape(-1, 2).sum(axis=1), np.fromiter(map(len, ids), np.int64, len(ids))])
+        at = len(self.known)
+        self.known.update(zip(chain(simple, odd), range(at, at + len(chunks)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, self.part_flat[_ranges(self.part_start[k], n)], np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32, its end id last; null is the empty text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [self._lowered(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > CHUNKS_KEPT:
+            self._trim()
         fresh = set().union(*split).difference(self.known)
-        if len(self.known) + len(fresh) > CHUNKS_KEPT or any(len(c) > LONGEST_CHUNK for c in fresh):
-            # what was remembered goes when there is too much of it; long chunks go after this call
-            if len(self.known) + len(fresh) > CHUNKS_KEPT:
-                self.reset()
-                fresh = set().union(*split)
-        long = any(len(c) > LONGEST_CHUNK * 100 for c in fresh)
-        self.learn(sorted(fresh))
-        out = []
+        self._learn(list(fresh))
+        out, get = [], self.known.__getitem__
         for chunks in split:
-            k = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            n = self.count[k]
-            total = int(n.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ids[total] = self.end
-            ids[:total] = self.flat[np.repeat(self.start[k] - (np.cumsum(n) - n), n) + np.arange(total)]
-            out.append(ids)
-        if long:
-            self.reset()
+            k = np.fromiter(map(get, chunks), np.int64, len(chunks))
+            n = self.start[k + 1] - self.start[k]
+            out.append(np.append(self.flat[_ranges(self.start[k], n)], np.uint32(self.end)))
+            self.uses[k] += 1
+        if any(len(c) > LONGEST_CHUNK for c in fresh):
+            self._forget_long()
         return out
 
+    def _forget_long(self) -> None:
+        long = [k for c, k in self.known.items() if len(c) > LONGEST_CHUNK]
+        self.uses[long] = 0
+        if sum(len(c) for c in self.known if len(c) > LONGEST_CHUNK) > CHUNKS_KEPT * LONGEST_CHUNK // 8:
+            self._trim()
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then the same for each further range."""
+    total = np.cumsum(size)
+    return np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)
+
+
+@cache
+def encoder(path: str, end: int) -> Encoder:
+    """One for each worker process, over all its tasks."""
+    return Encoder(path, end)
+
 
 @dataclass
 class Window:
@@ -127,10 +184,10 @@ def _rows(windows: list[tuple[int, Window]], keep_ids: bool) -> pa.RecordBatch:
 
 def _first(path: str, end: int, size: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, number = Encoder(path, end), Packer(size, most), TaskContext.get().partitionId() << 32
+        encode, packer, number = encoder(path, end).encode, Packer(size, most), TaskContext.get().partitionId() << 32
         for batch in slices(batches):
             texts, done = batch.column("text").to_pylist(), []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 done += packer.place((doc, 0, len(ids), ids))
             yield _rows([(number + i, w) for i, w in enumerate(done)], False)
             number += len(done)
