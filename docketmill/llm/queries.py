@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketmill.llm import decontaminate, language, licenses, lm, packing, passages, quality, secrets, simhash, toxicity
 from docketmill.llm.common import documents, table
+from docketmill.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,4 +66,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op6_language, op7_licenses, op8_quality, op9_lm, op10_toxicity)}
-ORACLES: dict[str, str] = {}
