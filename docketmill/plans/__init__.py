@@ -1,4 +1,4 @@
 """Whole queries, each with the SQL that must return the same rows."""
 
-from docketmill.plans import compare, documents, figures, messages, review, state, streams  # noqa: F401
+from docketmill.plans import compare, documents, figures, messages, review, routes, state, streams  # noqa: F401
 from docketmill.plans.registry import ORACLES, QUERIES  # noqa: F401
