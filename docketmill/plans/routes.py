@@ -80,7 +80,7 @@ def picked_documents(spark, sf_dir):
 def undone_by_words(spark, sf_dir):
     m = view(spark, sf_dir, "mail")
     asked = F.when(F.col("turn") % 2 == 0, "please undo the payment days change").otherwise("undo payment and freight")
-    changes = m.select("thread_id").distinct().select("thread_id", F.inline(F.array(F.struct(F.lit(1).alias("change_id"), F.lit("payment within thirty days").alias("anchor")), F.struct(F.lit(2), F.lit("freight insurance of payment")))))
+    changes = m.select("thread_id").distinct().select("thread_id", F.inline(F.array(F.struct(F.lit(1).alias("change_id"), F.lit("payment within thirty days").alias("anchor")), F.struct(F.lit(2).alias("change_id"), F.lit("freight insurance of payment").alias("anchor")))))
     return routing.undo_by_words(m.select("msg_id", "thread_id", asked.alias("body")), changes)
 
 
