@@ -147,13 +147,16 @@ def quote_found(quote: Column, text: Column) -> Column:
     """Whether a quotation stands in a text word for word; an ellipsis stands for anything between its parts."""
     norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9.]+", " "))
     parts = F.filter(F.transform(F.split(norm(quote), r"\.\.\."), lambda p: F.trim(p)), lambda p: p != "")
-    whole = norm(text)
 
-    def step(at: Column, p: Column) -> Column:
-        rest = F.instr(F.substring(whole, at, F.length(whole)), p)
-        return F.when((at == 0) | (rest == 0), F.lit(0)).otherwise(at + rest - 1 + F.length(p))
+    def within(whole: Column) -> Column:
+        def step(at: Column, p: Column) -> Column:
+            rest = F.instr(F.substring(whole, at, F.length(whole)), p)
+            return F.when((at == 0) | (rest == 0), F.lit(0)).otherwise(at + rest - 1 + F.length(p))
 
-    return F.aggregate(parts, F.lit(1), step) > 0
+        return F.aggregate(parts, F.lit(1), step) > 0
+
+    # a variable of a lambda, so that the text is normalised once and not in each step
+    return F.element_at(F.transform(F.array(norm(text)), within), 1)
 
 
 def conversations_by_stem(files: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def picked_documents(spark, sf_dir):
     return routing.pick_document(m.select("msg_id", body.alias("body"), F.explode(names).alias("filename")))
 
 
-@query("select msg_id, 1 as change_id from mail where turn % 2 = 0")
+@query("select msg_id, case when turn % 2 = 0 then 1 else 2 end as change_id from mail")
 def undone_by_words(spark, sf_dir):
     m = view(spark, sf_dir, "mail")
     asked = F.when(F.col("turn") % 2 == 0, "please undo the payment days change").otherwise("undo payment and freight")
