@@ -118,7 +118,7 @@ def broken_references(blocks: DataFrame) -> DataFrame:
 
 def numbering(blocks: DataFrame) -> DataFrame:
     """Top-level numbers that repeat, and gaps in them, in the body and in each schedule."""
-    c = S.with_clauses(blocks).where(S.clause_number().isNotNull()).select("doc_id", "part", "idx", S.clause_number().alias("n"))
+    c = S.numbered(blocks).select("doc_id", "part", "idx", F.col("number").alias("n"))
     w = Window.partitionBy("doc_id", "part").orderBy("n", "idx")
     each = c.withColumn("before", F.lag("n").over(w))
     twice = each.where("n = before")
@@ -196,10 +196,11 @@ def parties(blocks: DataFrame) -> DataFrame:
 
 def punctuation(blocks: DataFrame) -> DataFrame:
     """Words written twice, blanks before punctuation, double blanks, and commas without a blank after them."""
-    words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: w != "")
-    follow = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
-    twice = blocks.where(F.size(words) > 0).select("doc_id", "idx", F.explode(F.filter(follow, lambda p: (p["a"] == p["b"]) & (F.length(p["a"]) > 1))).alias("p"))
-    made = [finding(twice, "repeated word", 3, F.concat_ws(" ", "p.a", "p.b"), F.lit("written twice"))]
+    # a backreference finds the candidates fast; words are then compared whole, whatever stands between them
+    maybe = blocks.where(F.lower("text").rlike(r"([a-z]{2,})[^a-z]+\1(?![a-z])"))
+    worded = maybe.select("doc_id", "idx", F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: w != "").alias("w"))
+    each = worded.select("doc_id", "idx", "w", F.explode(F.filter(F.sequence(F.lit(2), F.greatest(F.size("w"), F.lit(2))), lambda i: (F.get("w", i - 1) == F.get("w", i - 2)) & (F.length(F.get("w", i - 1)) > 1))).alias("i"))
+    made = [finding(each, "repeated word", 3, F.concat_ws(" ", F.get("w", F.col("i") - 2), F.get("w", F.col("i") - 1)), F.lit("written twice"))]
     for kind, pattern in (("space before mark", r"\S+ [,;:.](?:\s|$)"), ("double space", r"\S+  +\S+"), ("no space after comma", r"[A-Za-z]+,[A-Za-z]+")):
         made.append(finding(blocks.select("doc_id", "idx", F.explode(all_of(F.col("text"), pattern)).alias("anchor")), kind, 3, F.trim("anchor"), F.lit("spacing")))
     return reduce(DataFrame.union, made)

@@ -38,11 +38,17 @@ def schedule_title(text: str = "text") -> Column:
 
 
 def with_clauses(blocks: DataFrame) -> DataFrame:
-    """blocks with `clause`, the top-level number in force, and `part`, the schedule that a line lies in (null in
+    """blocks with `number`, what a line begins with, `clause`, the top-level number in force, and `part`, the schedule that a line lies in (null in
     the body). A schedule begins the numbers anew."""
-    parted = blocks.withColumn("part", F.last(schedule_title(), ignorenulls=True).over(so_far()))
+    parted = blocks.withColumn("number", clause_number()).withColumn("part", F.last(schedule_title(), ignorenulls=True).over(so_far()))
     inside = Window.partitionBy("doc_id", "part").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return parted.withColumn("clause", F.last(clause_number(), ignorenulls=True).over(inside))
+    return parted.withColumn("clause", F.last("number", ignorenulls=True).over(inside))
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """The lines that begin a clause, with their part: only they and the titles of schedules are looked at."""
+    heads = blocks.where(clause_number().isNotNull() | schedule_title().isNotNull())
+    return with_clauses(heads).where("number is not null")
 
 
 def labels(blocks: DataFrame) -> DataFrame:
@@ -55,12 +61,12 @@ def labels(blocks: DataFrame) -> DataFrame:
 def places(blocks: DataFrame) -> DataFrame:
     """(doc_id, idx, place): the clause that a line begins, or the one that it stands under."""
     c = with_clauses(blocks)
-    return c.select("doc_id", "idx", F.when(clause_number() == F.col("clause"), F.concat(F.lit("clause "), F.col("clause").cast("string"))).when(F.col("clause").isNotNull(), F.concat(F.lit("under clause "), F.col("clause").cast("string"))).alias("place"))
+    return c.select("doc_id", "idx", F.when(F.col("number") == F.col("clause"), F.concat(F.lit("clause "), F.col("clause").cast("string"))).when(F.col("clause").isNotNull(), F.concat(F.lit("under clause "), F.col("clause").cast("string"))).alias("place"))
 
 
 def numbers(blocks: DataFrame) -> DataFrame:
     """(doc_id, part, number): the top-level numbers that are there."""
-    return with_clauses(blocks).where(clause_number().isNotNull()).select("doc_id", "part", clause_number().alias("number")).distinct()
+    return numbered(blocks).select("doc_id", "part", "number").distinct()
 
 
 def schedules(blocks: DataFrame) -> DataFrame:
@@ -97,8 +103,7 @@ def first_place(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def renumbered(blocks: DataFrame) -> DataFrame:
     """(doc_id, idx, old, new): top-level numbers of the body, counted anew in the order they stand."""
-    numbered = with_clauses(blocks).where(clause_number().isNotNull() & F.col("part").isNull())
-    return numbered.select("doc_id", "idx", clause_number().alias("old"), F.row_number().over(order()).alias("new"))
+    return numbered(blocks).where("part is null").select("doc_id", "idx", F.col("number").alias("old"), F.row_number().over(order()).alias("new"))
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
