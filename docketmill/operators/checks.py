@@ -226,15 +226,19 @@ def deduplicated(findings: DataFrame) -> DataFrame:
 
 def capped(findings: DataFrame, most: int = PER_KIND) -> DataFrame:
     """The worst `most` findings of each kind of a document; one line stands for the rest, with their worst severity."""
-    w = Window.partitionBy("doc_id", "kind").orderBy("severity", "idx", "anchor", "note")
-    ranked = findings.withColumn("__n", F.row_number().over(w))
-    rest = ranked.where(F.col("__n") > most).groupBy("doc_id", "kind").agg(F.min("idx").alias("idx"), F.min("severity").alias("severity"), F.count(F.lit(1)).alias("n"))
-    more = finding(rest, F.col("kind"), F.col("severity"), F.lit(""), F.concat(F.lit("and "), F.col("n").cast("string"), F.lit(" more")))
-    return ranked.where(F.col("__n") <= most).drop("__n").select(FINDING).union(more)
+    group = Window.partitionBy("doc_id", "kind")
+    w = group.orderBy("severity", "idx", "anchor", "note")
+    ranked = findings.withColumns({"__n": F.row_number().over(w), "__all": F.count(F.lit(1)).over(group), "__idx": F.min("idx").over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # the first row beyond the limit has the worst severity of the rest and becomes their line: one pass
+    more = F.col("__n") > most
+    line = F.concat(F.lit("and "), (F.col("__all") - most).cast("string"), F.lit(" more"))
+    kept = ranked.where(F.col("__n") <= most + 1)
+    return kept.select("doc_id", F.when(more, F.col("__idx")).otherwise(F.col("idx")).alias("idx"), "kind", "severity", F.when(more, F.lit("")).otherwise(F.col("anchor")).alias("anchor"), F.when(more, line).otherwise(F.col("note")).alias("note"))
 
 
 def run_all(blocks: DataFrame, checks: list = CHECKS) -> DataFrame:
-    """Every check, first findings only, capped by kind."""
+    """Every check, first findings only, capped by kind. Each check reads the blocks anew: persist them where making
+    them costs more than reading them back. Kept blocks stay dealt out by document."""
     return capped(deduplicated(reduce(DataFrame.union, (c(blocks) for c in checks))))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.blocks(agreements(spark, sf_dir))
 
 
+def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines, kept in memory or on the executors' disks for the many checks that read them."""
+    return lines(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @query("select doc_id, idx, text from blocks")
 def document_blocks(spark, sf_dir):
     return lines(spark, sf_dir)
@@ -284,7 +290,7 @@ VERDICTS = """v as (select doc_id, count(case when severity = 1 then 1 end) as b
 @query(f"{FIRSTS}, {VERDICTS} select *, case when blockers > 0 then 'do not sign' when judgement > 0 then 'decide first' when minor > 0 then 'tidy up' else 'clean' end as verdict from v")
 def document_verdicts(spark, sf_dir):
     """The flagship: what each agreement's blanks, amounts and references make of it."""
-    return checks.verdicts(checks.run_all(lines(spark, sf_dir), FEW), agreements(spark, sf_dir))
+    return checks.verdicts(checks.run_all(kept_lines(spark, sf_dir), FEW), agreements(spark, sf_dir))
 
 
 @query(f"""{FIRSTS} select doc_id, string_agg(concat(kind, ': ', anchor), chr(10) order by severity, idx, kind, anchor) as text from firsts group by doc_id""")
@@ -295,7 +301,7 @@ def findings_as_text(spark, sf_dir):
 @query()
 def all_findings(spark, sf_dir):
     """Every check over every agreement; the checks have oracles one by one."""
-    return checks.run_all(lines(spark, sf_dir))
+    return checks.run_all(kept_lines(spark, sf_dir))
 
 
 @query(f"""with e as (select doc_id, 'amount' as kind from agreements where doc_id % 7 = 0 union all select doc_id, 'blank' from agreements where doc_id % 11 in (0, 1)), f as (select * from ({BLANKS}) union all select * from ({AMOUNTS})),
