@@ -67,4 +67,4 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def small(frame: DataFrame, most: int) -> DataFrame:
     """A broadcast hint where the frame has at most `most` rows; else the frame as it is, joined by shuffle."""
-    return F.broadcast(frame) if len(frame.limit(most + 1).select(F.lit(1)).collect()) <= most else frame
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame

@@ -138,7 +138,7 @@ class Predictor:
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
         """(language, its proportion, all proportions) of each text."""
-        counted = [Counter(words(t)) for t in texts]
+        counted = [Counter(words(t)) if t and any(map(str.isalpha, t)) else Counter() for t in texts]
         if len(self.rows) > WORDS_KEPT:
             self.rows, self.table = {}, self.table[:0]
         fresh = list(set().union(*counted).difference(self.rows))
@@ -159,13 +159,14 @@ class Predictor:
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Fitted on a bounded sample: about `sample` documents of each language by a hash of the key, of at most
-    LONGEST_SAMPLE characters, whole; none that is held out or has no language."""
+    LONGEST_SAMPLE characters, whole; none that is held out or has no language; one row of each key."""
     read = docs.where((remainder(key, HELD_OUT[0]) != HELD_OUT[1]) & F.col(lang).isNotNull() & (F.length(text) <= LONGEST_SAMPLE)).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     sizes = {r.l: r["count"] for r in read.groupBy("l").count().collect()}
     chosen = F.lit(False)
     for name, n in sizes.items():
         chosen = chosen | ((F.col("l") == name) & (F.pmod(F.xxhash64("k"), F.lit(1 << 50)) < int(min(1.0, sample / n) * (1 << 50))))
-    return Model.fit([(r.l, r.t) for r in read.where(chosen).select("l", "t").collect()])
+    rows = read.where(chosen).groupBy("l", "k").agg(F.min("t").alias("t")).collect()
+    return Model.fit(sorted((r.l, r.t) for r in rows))
 
 
 def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

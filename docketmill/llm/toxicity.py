@@ -194,8 +194,9 @@ def suspicion(texts: list[list[str]], labels: np.ndarray) -> dict[str, float]:
 
 def train(texts: list[str], labels: list[int], prior: float = 0.5, passes: int = PASSES, seed: int = 4) -> Network:
     """Labels are of whole documents: the windows to learn from lie around the most suspicious word of a toxic
-    document; of another they are some at random and the most suspicious one. At last the logit of a document's top window is
-    scaled to the chance of its label, where `prior` is the share of toxic documents outside the sample."""
+    document; of another they are some at random and the most suspicious one. At last the logit of a document's
+    top window is scaled to the chance of its label, where `prior` is the share of toxic documents outside the
+    sample."""
     rng, read, y = np.random.default_rng(seed), [words(t) for t in texts], np.array(labels, np.float32)
     counted, spelled = Counter(w for r in read for w in r), Counter()
     for w, n in counted.items():
@@ -225,16 +226,26 @@ def train(texts: list[str], labels: list[int], prior: float = 0.5, passes: int =
         if rng.random() < 0.5:
             other = clean[rng.integers(len(clean))] or window
             window = [w if v > 1 else other[i % len(other)] for i, (w, v) in enumerate(zip(window, each[begin:], strict=False))]
-        return window
+        return shorter(window, at - begin)
+
+    def shorter(window: list[str], at: int) -> list[str]:
+        """One in five windows is cut to a part around a word, as short texts are windows, too."""
+        if rng.random() > 0.2 or not window:
+            return window
+        first, last = rng.integers(at + 1), rng.integers(at, len(window))
+        return window[first : last + 1]
 
     adam, half = gru.Adam(net.w, RATE), BATCH // 2
     batches = max(passes * (len(toxic) + len(clean)) // BATCH, LEAST_BATCHES)
     marks = np.repeat(np.array([1, 0], np.float32), half)
     for i in range(batches):
-        chosen = [example(*toxic[k]) for k in rng.integers(len(toxic), size=half)] + [clean[k] for k in rng.integers(len(clean), size=half)]
+        chosen = [example(*toxic[k]) for k in rng.integers(len(toxic), size=half)] + [shorter(c, rng.integers(max(1, len(c)))) for c in (clean[k] for k in rng.integers(len(clean), size=half))]
         _, grads = net.learn(chosen, marks, rng)
         adam(grads, RATE * max(0.1, 1 - i / batches))
     logit = np.array(Scorer(net).top(texts))
+    logit, y = logit[np.isfinite(logit)], y[np.isfinite(logit)]
+    if not len(y) or y.min() == y.max():
+        return net
     weight = np.where(y > 0, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     a, b = 1.0, 0.0
     for _ in range(200):
@@ -267,7 +278,7 @@ class Scorer:
             self.table = np.vstack([self.table, *shares])
 
     def top(self, texts: list[str | None]) -> list[float]:
-        """The largest logit of any window of each text."""
+        """The largest logit of any window of each text; minus infinity for a text without words."""
         read = [words(t) for t in texts]
         if len(self.rows) > WORDS_KEPT:
             self._forget()
@@ -289,6 +300,7 @@ class Scorer:
             shares = self.table[k]
             logit = self.net.logits({"f": shares[..., : 3 * STATES], "b": shares[..., 3 * STATES :]}, there)
             np.maximum.at(out, owner[rows], logit)
+        out[sizes == 0] = -np.inf
         return out.tolist()
 
     def __call__(self, texts: list[str | None]) -> list[float]:
@@ -298,13 +310,14 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Network:
     """Trained on a bounded sample: about `sample` documents of each label by a hash of the key, of at most
-    LONGEST_SAMPLE characters, whole; none that is held out. A key with several labels has the larger one."""
+    LONGEST_SAMPLE characters, whole; none that is held out. A key with several labels has the larger one, and
+    of rows that share a key one is learned from, so that no key can fill the sample."""
     marked = labels.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     read = docs.where((remainder(key, HELD_OUT[0]) != HELD_OUT[1]) & (F.length(text) <= LONGEST_SAMPLE)).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     sizes = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     share = F.coalesce(*(F.when(F.col("y") == y, F.lit(int(min(1.0, sample / n) * (1 << 50)))) for y, n in sizes.items()), F.lit(0))
     chosen = marked.where(F.pmod(F.xxhash64("k"), F.lit(1 << 50)) < share)
-    rows = read.join(F.broadcast(chosen), "k").collect()
+    rows = read.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).collect()
     rows = sorted((r.k, r.t, int(r.y > 0)) for r in rows)
     prior = sum(n for y, n in sizes.items() if y > 0) / max(1, sum(sizes.values()))
     return train([t for _, t, _ in rows], [y for _, _, y in rows], prior)
@@ -331,7 +344,7 @@ def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     held_out: crc32(key as text) mod 4 is 2; their labels are never learned from. score: from the most toxic of
     all overlapping windows of the whole text; nothing but the text is looked at. predicted: 1 from THRESHOLD
-    on. Null and empty texts get the score of an empty window. Repeated rows and null keys are rows like any
+    on. Null and empty texts, and those without letters and digits, score next to 0. Repeated rows and null keys are rows like any
     other; without labels of both kinds the network is untrained; an empty table gives no rows.
     """
     net = fit(docs, labels, key=key, text=text, label=label)

@@ -18,7 +18,7 @@ def rows():
     rnd = random.Random(1)
     made = [(i, text(rnd, lang := rnd.choice("abc") * 2, rnd.randrange(8, 80)), lang, "s", 1) for i in range(400)]
     made += [(1000 + i, text(rnd, "aa", 60) + " " + text(rnd, "cc", 20), "aa", "s", 1) for i in range(30)]
-    return made + [(2000, None, "aa", "s", 1), (2001, "", "bb", "s", 1), (2002, "12 34 _ !", "aa", "s", 1), (None, "thaing theon", None, "s", 1), (2003, "que " * 40_000, None, None, None), (2003, "que " * 40_000, None, None, None)]
+    return made + [(2000, None, "aa", "s", 1), (2001, "", "bb", "s", 1), (2002, "12 34 _ ! ² Ⅷ", "aa", "s", 1), (None, "thaing theon", None, "s", 1), (2003, "que " * 40_000, None, None, None), (2003, "que " * 40_000, None, None, None)]
 
 
 def test_held_out_accuracy_and_contract(spark, rows):
@@ -65,4 +65,5 @@ def test_empty_table_and_clashing_columns(none, clashing, docs):
     assert language.identify(none).collect() == []
     rows = lambda d: sorted(map(str, language.identify(d).collect()))
     assert rows(clashing) == rows(docs)
-    assert {r.lang_pred for r in language.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("false").union(docs.limit(3)), lang="source").collect()} <= {"a", "und"}
+    assert {r.lang_pred for r in language.identify(docs, lang="source").collect()} <= {"a", "b", "c", "und"}
+    assert {r.lang_pred for r in language.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("doc_id = 3")).collect()} == {"und"}
