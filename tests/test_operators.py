@@ -114,3 +114,11 @@ def test_send_once_survives_a_replay(spark, tmp_path):
     assert jobs.send_once(batch, f"{tmp_path}/outbox") == 2
     assert jobs.send_once(batch, f"{tmp_path}/outbox") == 0
     assert spark.read.parquet(f"{tmp_path}/outbox").count() == 2
+
+
+def test_functions_have_names_in_sql(spark):
+    from docketmill.functions.registry import register
+
+    assert len(register(spark)) == 4
+    row = spark.sql("select text_likeness('abcd', 'abcx') l, text_likeness(null, 'a') n, changed_words('pay thirty days', 'pay sixty days') w, decode_entities('a &amp; b') d, mark_quotations('<blockquote>x</blockquote>') q").first()
+    assert (row.l, row.n, row.d, row.q.strip()) == (0.75, None, "a & b", "> x") and [(x.removed, x.added) for x in row.w] == [("thirty", "sixty")]

@@ -59,7 +59,14 @@ def test_office_blocks(spark, folder):
     assert [(r.tbl, r.row, r.col) for r in of("a.docx")][7:9] == [(0, 0, 0), (0, 0, 1)]
     assert [r.text for r in of("b.xlsx")] == ["name | 12.5"] and [r.text for r in of("c.pptx")] == ["two", "ten", "said"]
     assert {r.problem for r in rows} == {None}
-    assert {(r.path.split("/")[-1], r.kind) for r in files.package_findings(files.read(spark, folder)).collect()} == {("a.docx", "tracked"), ("a.docx", "author")}
+    assert {(r.path.split("/")[-1], r.kind) for r in files.package_findings(files.read(spark, folder)).collect()} == {("a.docx", "tracked"), ("a.docx", "author"), ("c.pptx", "notes")}
+
+
+def test_leftovers_of_decks_and_workbooks():
+    deck = package({"ppt/presentation.xml": "<p/>", "ppt/slides/slide1.xml": '<s show="0"/>', "ppt/comments/c.xml": "<c/>"})
+    book = package({"xl/workbook.xml": f'<workbook {S}><sheets><sheet state="veryHidden"/></sheets></workbook>', "xl/externalLinks/e.xml": "<e/>"})
+    assert files.deck_leftovers(deck) == {"notes": False, "hidden": True, "comments": True}
+    assert files.workbook_leftovers(book) == {"hidden": True, "comments": False, "links": True}
 
 
 def test_damaged_office_file_is_a_row(spark):
