@@ -15,9 +15,9 @@ from docketmill.llm.common import slices
 #: Bytes of the shortest and longest chunk. A chunk ends where the gear hash's low 16 bits, which the last 16
 #: bytes alone decide, are below a limit: one position in RARITY. The shortest chunk is short beside that, so
 #: that chunkings which enter a passage at different places soon agree.
-SHORTEST, LONGEST, RARITY = 8, 200, 24
+SHORTEST, LONGEST, RARITY = 8, 96, 24
 #: Words that a run of repeated chunks must hold to be a passage. Chunking blurs each end of a passage by about
-#: RARITY bytes, so passages of over 50 words are found but for about one in a thousand, and those under
+#: RARITY bytes, so passages of over 50 words are found but for about two in a thousand, and those under
 #: LEAST_WORDS never.
 LEAST_WORDS = 16
 #: Bytes hashed at a time.
@@ -26,32 +26,42 @@ GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(2
 NO_KEY = -(1 << 63)
 
 
+def rolled(data: np.ndarray) -> np.ndarray:
+    """The gear hash after each byte, by doubling its window: h[i] = 2 h[i-1] + GEAR[b[i]] (mod 2^16)."""
+    h = GEAR[data]
+    for step in (1, 2, 4, 8):
+        older = h[:-step] << np.uint16(step)
+        h = h.copy()
+        h[step:] += older
+    return h
+
+
 def candidates(data: np.ndarray) -> np.ndarray:
-    """Ends of possible chunks, ascending. h[i] = 2 h[i-1] + GEAR[b[i]] (mod 2^16), by doubling the window."""
+    """Ends of possible chunks, ascending: where the hash is below its limit, never inside a character."""
     found = []
     for at in range(0, len(data), BYTES_AT_ONCE):
         back = min(at, 15)
-        h = GEAR[data[at - back : at + BYTES_AT_ONCE]]
-        for step in (1, 2, 4, 8):
-            older = h[:-step] << np.uint16(step)
-            h = h.copy()
-            h[step:] += older
-        ends = np.flatnonzero(h < 65536 // RARITY)
+        ends = np.flatnonzero(rolled(data[at - back : at + BYTES_AT_ONCE]) < 65536 // RARITY)
         found.append(ends[ends >= back] + (at - back + 1))
     ends = np.concatenate(found) if found else np.empty(0, np.int64)
-    inner = ends < len(data)  # never inside a character
+    inner = ends < len(data)
     return ends[inner][data[ends[inner]] & 0xC0 != 0x80]
 
 
 def chunks(data: bytes) -> list[int]:
-    """Ends of the chunks of UTF-8 bytes, the last at their end; nothing for no bytes."""
+    """Ends of the chunks of UTF-8 bytes, the last at their end; nothing for no bytes.
+
+    Where no candidate comes up, as in a word said over and over, the chunk ends at the least hash of the second
+    half of what it may hold: that, too, is decided by the content, wherever the chunk began.
+    """
     array = np.frombuffer(data, np.uint8)
     ends, at, n = [], 0, len(data)
     for c in [*candidates(array).tolist(), n]:
         if c - at < SHORTEST and c < n:
             continue
         while c - at > LONGEST:
-            at += LONGEST
+            low = at + LONGEST // 2
+            at = low + 1 + int(rolled(array[low - 15 : at + LONGEST - 1])[15:].argmin())
             while data[at] & 0xC0 == 0x80:
                 at -= 1
             ends.append(at)

@@ -39,6 +39,13 @@ def test_chunks_cover_the_text_within_bounds_and_resist_shifts():
     assert len(before & after) > 0.95 * len(before)
 
 
+def test_a_word_said_over_and_over_resists_shifts():
+    said = b"over " * 120
+    pieces = lambda d: {d[a:b] for a, b in zip([0, *passages.chunks(d)], passages.chunks(d), strict=False)}
+    for before in (b"", b"x", b"something else in front of it: "):
+        assert pieces(before + said + b"and after") & pieces(b"begun otherwise " + said + b"ended otherwise")
+
+
 def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
     shared = [text(n) for n in (51, 60, 120, 12)]
     rows = [(i, text(200)) for i in range(40)]
