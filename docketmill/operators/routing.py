@@ -120,3 +120,33 @@ def json_problems(payload: Column, required: dict[str, str]) -> Column:
     parsed = F.from_json(payload, schema)
     wrong = {"number": lambda c: c.try_cast("double").isNull(), "boolean": lambda c: ~F.coalesce(c.isin("true", "false"), F.lit(False)), "text": lambda c: c.isNull()}
     return F.array_join(F.array_compact(F.array(*(F.when(wrong[t](parsed[k]), F.lit(k)) for k, t in required.items()))), ", ")
+
+
+def whose_draft(messages: DataFrame, home: str) -> DataFrame:
+    """(msg_id, draft, why): ours or theirs by what the message says, then by who first sent it on, then by the file's
+    author; unknown where nothing tells."""
+    text = F.lower("body")
+    said = F.when(text.rlike(r"\b(?:our|my) (?:draft|paper|form)\b"), "ours").when(text.rlike(r"\b(?:their|the other side's|counterparty's) (?:draft|paper|form)\b"), "theirs")
+    side = lambda address: F.when(F.col(address).isNotNull(), F.when(F.lower(F.substring_index(address, "@", -1)) == home, "ours").otherwise("theirs"))
+    sender, author = side("forwarded_from"), side("author")
+    why = F.when(said.isNotNull(), "words").when(sender.isNotNull(), "sender").when(author.isNotNull(), "author").otherwise("nothing")
+    return messages.select("msg_id", F.coalesce(said, sender, author, F.lit("unknown")).alias("draft"), why.alias("why"))
+
+
+def playbook_intent(body: Column, phrases: dict[str, str], guard: str) -> Column:
+    """A whole message that is a known phrase; else the first phrase in it, unless a guard says that it is not meant."""
+    norm = F.trim(F.regexp_replace(F.lower(body), r"[^a-z]+", " "))
+    table = F.create_map(*(F.lit(x) for p in phrases.items() for x in p))
+    inside = F.coalesce(*(F.when(F.instr(norm, p) > 0, F.lit(i)) for p, i in phrases.items()))
+    return F.coalesce(F.try_element_at(table, norm), F.when(~norm.rlike(guard), inside))
+
+
+def closing_of(messages: DataFrame, aliases: DataFrame, closings: DataFrame) -> DataFrame:
+    """(msg_id, closing_id, how): the closing that a message's thread belongs to; else the one open closing whose name
+    it says; asked about where there are several."""
+    by_thread = messages.join(aliases, "thread_id", "left").select("msg_id", "body", F.col("closing_id").alias("known"))
+    words = by_thread.where("known is null").select("msg_id", F.explode(F.array_distinct(F.split(F.lower("body"), r"[^a-z0-9]+"))).alias("word"))
+    named = words.join(closings.select("closing_id", F.lower("name").alias("word")), "word").groupBy("msg_id").agg(F.count_distinct("closing_id").alias("n"), F.min("closing_id").alias("one"))
+    both = by_thread.join(named, "msg_id", "left")
+    how = F.when(F.col("known").isNotNull(), "thread").when(F.col("n") == 1, "name").when(F.col("n") > 1, "ask").otherwise("none")
+    return both.select("msg_id", F.coalesce("known", F.when(F.col("n") == 1, F.col("one"))).alias("closing_id"), how.alias("how"))

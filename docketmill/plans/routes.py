@@ -114,3 +114,26 @@ def json_problems(spark, sf_dir):
 def located_anchors(spark, sf_dir):
     anchors = agreements(spark, sf_dir).select("doc_id", F.explode(F.array(*map(F.lit, ["is made on", "Goods", "nowhere at all", 'Definitions "Completion']))).alias("anchor"))
     return word.located(lines(spark, sf_dir), anchors)
+
+
+@query("select msg_id, case turn % 4 when 0 then 'ours' when 1 then 'theirs' when 2 then 'ours' else 'unknown' end as draft, case turn % 4 when 0 then 'words' when 1 then 'sender' when 2 then 'author' else 'nothing' end as why from mail")
+def whose_drafts(spark, sf_dir):
+    t = F.col("turn") % 4
+    m = view(spark, sf_dir, "mail").select("msg_id", F.when(t == 0, "this is our draft").otherwise("see attached").alias("body"), F.when(t == 0, "x@acme.example").when(t == 1, "Y@Acme.example").alias("forwarded_from"), F.when(t < 3, "z@firm.example").alias("author"))
+    return routing.whose_draft(m, "firm.example")
+
+
+@query("select msg_id, case turn % 4 when 0 then 'approve' when 1 then 'show' end as intent from mail")
+def playbook_intents(spark, sf_dir):
+    t = F.col("turn") % 4
+    body = F.when(t == 0, "Approve the playbook!").when(t == 1, "Could you show the playbook to Ann?").when(t == 2, "Don't show the playbook yet").otherwise("hello")
+    intent = routing.playbook_intent(body, {"approve the playbook": "approve", "show the playbook": "show"}, r"\b(?:don t|do not|not)\b")
+    return view(spark, sf_dir, "mail").select("msg_id", intent.alias("intent"))
+
+
+@query("select msg_id, case when thread_id % 3 = 0 then 1 when turn % 3 = 0 then 2 end as closing_id, case when thread_id % 3 = 0 then 'thread' when turn % 3 = 0 then 'name' when turn % 3 = 1 then 'ask' else 'none' end as how from mail")
+def closings_of_messages(spark, sf_dir):
+    t = F.col("turn") % 3
+    m = view(spark, sf_dir, "mail").select("msg_id", "thread_id", F.when(t == 0, "about Falcon").when(t == 1, "Falcon and Heron").otherwise("hello").alias("body"))
+    aliases = m.where("thread_id % 3 = 0").select("thread_id", F.lit(1).alias("closing_id")).distinct()
+    return routing.closing_of(m, aliases, spark.createDataFrame([(2, "Falcon"), (3, "Heron")], "closing_id int, name string"))
