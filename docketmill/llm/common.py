@@ -35,10 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/docketmill/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all that cut() wrote for this application, once every result that reads it has been written out."""
+    _delete(spark, _own_folder(spark))
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/docketmill/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -46,11 +60,8 @@ def cut(frame: DataFrame) -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Removes the files behind frames that cut() made and that no later plan reads."""
     for frame in frames:
-        spark = frame.sparkSession
-        jvm = spark.sparkContext._jvm
         for file in frame.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(frame.sparkSession, file.rpartition("/")[0])
 
 
 def remainder(column: str, divisor: int) -> Column:
