@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,14 +22,19 @@ from docketmill.llm.common import cut, slices
 CHUNKS_KEPT, PARTS_KEPT, LONGEST_CHUNK = 600_000, 300_000, 48
 #: Marks that are neither letters nor digits nor part of an elision: a run of them is one word to the tokenizer.
 MARKS = ".,;:!?#$%&*|"
+#: The rules of a tokenizer's file that let a text be cut at blanks and lower-cased beforehand. A file
+#: with other rules is used on whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: Open windows of a partition, and partitions whose leftovers one task of a merging round takes.
 OPEN, FAN_IN = 32, 64
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint, ids binary"
 
 
 class Encoder:
-    """Ids of whole texts. A text is cut at blanks and line ends, where this tokenizer never joins, and each
-    distinct chunk is encoded once while it is remembered; memory stays bounded, results are the tokenizer's."""
+    """Ids of whole texts. A text is cut at blanks and line ends, where a tokenizer with the rules above never joins,
+    and each distinct chunk is encoded once while it is remembered; memory stays bounded, results are the tokenizer's.
+    Any other tokenizer encodes whole texts."""
 
     def __init__(self, path: str, end: int):
         import os
@@ -37,6 +43,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        rules = json.loads(self.tokenizer.to_str())
+        #: Strings that are one id wherever they stand, in just this case.
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        plain = all(not any(c.isspace() for c in t["content"]) and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in rules["added_tokens"])
+        self.cuts = plain and rules["normalizer"] == NORMALIZER and (rules["pre_tokenizer"] or {}).get("pretokenizers", [None])[0] == SPLIT and rules["model"].get("end_of_word_suffix") == "</w>"
         self.known: dict[str, int] = {}
         self.uses, self.start, self.flat = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
         self.parts, self.part_start, self.part_flat = {"": 0}, np.zeros(2, np.int64), np.zeros(0, np.uint32)
@@ -44,10 +57,12 @@ class Encoder:
         self.ends_word = np.zeros(max(words.values()) + 1, bool)
         self.ends_word[[k for w, k in words.items() if w.endswith("</w>")]] = True
 
-    @staticmethod
-    def _lowered(text: str) -> str:
-        """A-Z lower-cased where that cannot change the ids: the tokenizer composes characters, then lower-cases."""
+    def _lowered(self, text: str) -> str:
+        """A-Z lower-cased where that cannot change the ids: the tokenizer takes out added tokens as they are written,
+        composes characters, then lower-cases."""
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        if any(t.lower() in low for t in self.added):
+            return text
         return low if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low) else text
 
     def _trim(self) -> None:
@@ -101,6 +116,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as uint32, its end id last; null is the empty text."""
+        if not self.cuts:
+            return [np.array([*e.ids, self.end], np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [self._lowered(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CHUNKS_KEPT:
             self._trim()

@@ -25,6 +25,26 @@ def test_encoder_gives_the_tokenizer_s_ids(awkward, plain, monkeypatch):
     assert [packing.Encoder(PATH, 2).encode([t])[0].tolist() for t in texts] == [plain(t) for t in texts]
 
 
+def test_added_tokens_in_every_case_and_joined_to_anything(plain):
+    import random
+
+    rnd = random.Random(5)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|STARTOFTEXT|>", "<|EndOfText|>", "<|endoftext", "|>", "<|"]
+    rest = ["a", "B", "É", "e\u0301", " ", "\n", "  ", "'s", "'S", "1", ".", "|", "<", "\u3000", "ſ", "İ"]
+    texts = ["".join(rnd.choice(marks if rnd.random() < 0.4 else rest) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    encoder = packing.Encoder(PATH, 2)
+    assert encoder.cuts
+    assert [x.tolist() for x in encoder.encode(texts)] == [plain(t) for t in texts]
+
+
+def test_a_tokenizer_with_other_rules_encodes_whole_texts(awkward):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    tokenizer, encoder = tokenizers.Tokenizer.from_file(path), packing.Encoder(path, 50256)
+    texts = [r[1] for r in awkward] + ["It'S  <|endoftext|> A\n\n b <|ENDOFTEXT|>"]
+    assert not encoder.cuts
+    assert [x.tolist() for x in encoder.encode(texts)] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 50256] for t in texts]
+
+
 @pytest.mark.parametrize("size,fan", [(4096, 64), (64, 2)])
 def test_every_id_once_and_no_padding(docs, awkward, plain, monkeypatch, size, fan):
     monkeypatch.setattr(packing, "FAN_IN", fan)
