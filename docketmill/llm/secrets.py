@@ -27,39 +27,66 @@ DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 #: Encoding: pattern, alphabet, and the sums of squared and cubed character shares of ordinary words, names
 #: and numbers written in it (the index of coincidence of text; for hexadecimal, digits with few letters).
-ENCODINGS = {
+PLAIN = {
     "hex": (r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", DIGITS + "abcdef", 0.100, 0.0120),
     "HEX": (r"(?=.*[0-9])(?=.*[A-F])[0-9A-F]+", DIGITS + "ABCDEF", 0.100, 0.0120),
     "base32": (r"(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+", UPPER + "234567", 0.060, 0.0055),
     "base36": (r"(?=.*[0-9])(?=.*[a-z])[a-z0-9]+", DIGITS + LOWER, 0.060, 0.0055),
     "BASE36": (r"(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+", DIGITS + UPPER, 0.060, 0.0055),
     "base62": (r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+", DIGITS + UPPER + LOWER, 0.055, 0.0048),
-    "base64": (r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/", 0.055, 0.0048),
+    "base52": (r"(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+", UPPER + LOWER, 0.055, 0.0048),
+    "base26": (r"[a-z]+", LOWER, 0.066, 0.0060),
+    "BASE26": (r"[A-Z]+", UPPER, 0.066, 0.0060),
+    "base10": (r"[0-9]+", DIGITS, 0.115, 0.0145),
 }
+#: Where a token has separators, they are part of base64 if both cases stand in it; else the token is tested without
+#: them, under a name of its own, as it is words joined by hyphens more often than a key in groups.
+BASE64 = (r"(?=.*[+/_-])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/", 0.055, 0.0048)
+ENCODINGS = {"base64": BASE64, **PLAIN, **{f"{name}-": rule for name, rule in PLAIN.items()}}
 #: Lengths at which a stratum of candidates begins; the level of false discoveries within each stratum; and the
 #: level at which a test calls a token not random.
 BANDS = [20, 32, 48, 96]
 FALSE_DISCOVERIES, NOT_RANDOM = 0.05, 0.001
+#: Elements or characters taken at a time where the work would else grow with the square of their number.
+BLOCK = 256
 #: Bins of -ln p: a quarter each, up to e^-100.
 BIN, LAST_BIN = 0.25, 400
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body looks at it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, combine, zero: Column) -> Column:
+    """What `combine` makes of each value and all before it. Values are taken BLOCK at a time, so that the work is in
+    proportion to their number, not to its square."""
+
+    def over(xs: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("out"))
+        return F.aggregate(xs, start, lambda a, x: _let(combine(a["at"], x), lambda now: F.struct(now.alias("at"), F.concat(a["out"], F.array(now)).alias("out"))), lambda a: a["out"])
+
+    def blocks(v: Column) -> Column:
+        first = F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / BLOCK), F.lit(0)).cast("int"))
+        return F.transform(first, lambda b: over(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(parts: Column) -> Column:
+        before = F.concat(F.array(zero), over(F.transform(parts, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), zero))))
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, b: F.transform(p, lambda x: combine(b, x))))
+
+    return _let(values, lambda v: _let(blocks(v), joined))
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a pattern that matches no empty string: array of (s, e, m), code points.
 
     The text between matches and the matches give the positions; a text without a match costs one search.
     """
     matched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matched)), matched, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
-
-    placed = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), placed).otherwise(empty)
+    sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matched)), matched, lambda gap, m: F.struct((F.length(gap) + F.length(m)).alias("n"), m.alias("m")))
+    ends = lambda found: _running(F.transform(found, lambda x: x["n"]), lambda a, x: a + x, F.lit(0))
+    placed = _let(sizes, lambda found: F.zip_with(ends(found), found, lambda e, x: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m"))))
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -94,10 +121,18 @@ def battery(tokens: Column) -> Column:
     encoding: chi-squared of the character counts, Wald-Wolfowitz runs of the alphabet's halves, correlation
     of neighbours. evidence: -ln of the chance that ordinary words and numbers of that length come out as
     evenly spread, by the chi-squared statistic's mean and variance under their own character shares; longer
-    tokens can show more of it. Tokens in which no encoding is seen are left out.
+    tokens can show more of it. Every token with SHORTEST characters of an encoding is tested.
     """
-    encoding = lambda m: F.coalesce(*(F.when(m.rlike(f"^{pattern}$"), F.lit(name)) for name, (pattern, *_) in ENCODINGS.items()))
-    named = F.filter(F.transform(tokens, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.translate(t["m"], "-_", "+/").alias("m"), encoding(t["m"]).alias("enc"))), lambda t: t["enc"].isNotNull())
+    bare = lambda m: F.translate(m, "+/_-", "")
+    kind = lambda m: F.coalesce(*(F.when(m.rlike(f"^{pattern}$"), F.lit(name)) for name, (pattern, *_) in PLAIN.items()))
+
+    def encoded(t: Column) -> Column:
+        """The token as its encoding writes it, and the encoding's name; null where too little is left."""
+        mixed = t["m"].rlike(f"^{BASE64[0]}$")
+        name = F.when(mixed, "base64").when(F.length(bare(t["m"])) >= SHORTEST, F.concat(kind(bare(t["m"])), F.when(t["m"].rlike("[+/_-]"), "-").otherwise("")))
+        return F.struct(t["s"].alias("s"), t["e"].alias("e"), F.when(mixed, F.translate(t["m"], "-_", "+/")).otherwise(bare(t["m"])).alias("m"), name.alias("enc"))
+
+    named = F.filter(F.transform(tokens, encoded), lambda t: t["enc"].isNotNull())
     known = F.transform(named, lambda t: t.withField("alphabet", _choose(t["enc"], lambda a, *_: F.lit(a))).withField("n", F.length(t["m"]).cast("double")))
     coded = F.transform(
         known,
@@ -195,6 +230,32 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     return with_least.select(F.col("k").alias(key), *(F.transform(kind, _place).alias(kind) for kind in KINDS), _found("least", "tested").alias(RANDOM))
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """A text with each group of spans that overlap or touch, in the order of their starts, as one mark.
+
+    The text is cut into blocks once, so that a part of it is taken without a walk from its beginning.
+    """
+
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+        block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+        inside = F.substring(block(first), a % BLOCK + 1, b - a)
+        across = F.concat(F.substring(block(first), a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(block(last), F.lit(1), b % BLOCK))
+        return F.when(first == last, inside).otherwise(across)
+
+    def outside(s: Column, most: Column) -> Column:
+        """The stretches between groups: (a, b). most: the furthest end of each span and those before it."""
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["s"] > F.get(most, i - 2)))
+        made = lambda g: F.transform(g, lambda i: F.struct(F.when(i == 1, 0).otherwise(F.get(most, i - 2)).alias("a"), F.get(s, i - 1)["s"].alias("b")))
+        rest = F.struct(F.element_at(most, F.lit(-1)).alias("a"), F.length(text).alias("b"))
+        return F.concat(made(begins), F.array(rest))
+
+    most = lambda s: _running(F.transform(s, lambda x: x["e"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    kept = _let(spans, lambda s: _let(most(s), lambda m: outside(s, m)))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _let(kept, lambda k: _let(blocks, lambda b: F.array_join(F.transform(k, lambda x: part(b, x["a"], x["b"])), mark)))
+
+
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[redacted]") -> DataFrame:
     """The rows of `docs`, all columns, with each secret of the text replaced by a mark; spans that overlap or
     touch get one mark. Null texts stay null. The texts are read twice, for the thresholds and for the rest, and
@@ -205,14 +266,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[redacted]") ->
     staged = docs.withColumns({own("tested"): battery(occurrences(whole, TOKEN)), own("least"): discoveries(tested)})
     staged = staged.withColumn(own("spans"), F.array_sort(F.concat(*(F.transform(base_spans(whole, kind), _place) for kind in KINDS), _found(own("least"), own("tested")))))
 
-    def step(state: Column, x: Column) -> Column:
-        apart = x["s"] > state["at"]
-        begins = apart | (state["at"] == 0) & (state["out"] == "")
-        kept = F.when(apart, F.substring(F.col(text), state["at"] + 1, x["s"] - state["at"])).otherwise("")
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.when(begins, F.concat(state["out"], kept, F.lit(mark))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(own("spans"), start, step, lambda state: F.concat(state["out"], F.substring(F.col(text), state["at"] + 1, F.length(text))))
+    cleaned = _without(F.col(text), F.col(own("spans")), mark)
     return staged.withColumn(text, F.when(F.size(own("spans")) > 0, cleaned).otherwise(F.col(text))).select(*docs.columns)
 
 
