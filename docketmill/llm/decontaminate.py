@@ -16,10 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed to each character of an item, the shortest item that is searched for, and the characters of
-#: items that one automaton holds: beyond it, the items are searched for in blocks, one after another.
-BUDGET, SHORTEST, BLOCK_CHARS = 0.08, 20, 1_000_000
-MATCH = "array<struct<item_id: bigint, start: bigint, end: bigint, distance: int>>"
+from docketmill.llm.common import cut
+
+#: Edits allowed to each character of an item, and the size from which an item is searched for with edits: a shorter
+#: one has to stand exactly, between ends of words, as a few letters are near anything.
+BUDGET, SHORT = 0.08, 20
+#: Characters of items that one automaton holds, blocks that a worker takes in one reading of the documents, and
+#: characters of texts that it gathers to look for one block after another.
+BLOCK_CHARS, BLOCKS, GATHERED = 1_000_000, 64, 16_000_000
 
 
 def normalise(text: str) -> str:
@@ -43,11 +47,18 @@ def spans_in(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(place(a), place(b - 1) + 1) for a, b in spans]
 
 
+def _apart(text: str, a: int, b: int) -> bool:
+    """Whether a stretch of a text neither begins nor ends within a word."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not inside(a) and not inside(b)
+
+
 class Item:
     """A normalised test item, ready to be searched for."""
 
-    def __init__(self, text: str, budget: float):
-        self.text, self.size, self.most = text, len(text), int(len(text) * budget)
+    def __init__(self, text: str, budget: float, short: int = SHORT):
+        self.text, self.size, self.exact = text, len(text), len(text) < short
+        self.most = 0 if self.exact else int(len(text) * budget)
         self.forward, self.backward = self._masks(text), self._masks(text[::-1])
         self.grams = [text[i : i + 3] for i in range(self.size - 2)]
 
@@ -97,14 +108,14 @@ class Item:
 
 
 class Matcher:
-    """Finds a block of items, {id: text}, in texts."""
+    """Finds a block of items, [(number, text)], in texts."""
 
-    def __init__(self, items: list[tuple[int | None, str]], budget: float, shortest: int):
+    def __init__(self, items: list[tuple[int, str]], budget: float, short: int):
         ids = defaultdict(list)
         for key, text in items:
-            if len(norm := normalise(text)) >= shortest:
+            if norm := normalise(text):
                 ids[norm].append(key)
-        self.ids, self.items = list(ids.values()), [Item(t, budget) for t in ids]
+        self.ids, self.items = list(ids.values()), [Item(t, budget, short) for t in ids]
         places = defaultdict(list)
         for k, item in enumerate(self.items):
             for at, piece in item.pieces():
@@ -115,8 +126,8 @@ class Matcher:
         if places:
             self.automaton.make_automaton()
 
-    def __call__(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
-        """(item id, start, end, distance) of each place: code points of the text, end exclusive."""
+    def __call__(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item's number, start, end, distance) of each place: code points of the text, end exclusive."""
         if not text or not self.items:
             return []
         norm = normalise(text)
@@ -127,6 +138,9 @@ class Matcher:
         out = set()
         for k, starts in hits.items():
             item, lo, hi = self.items[k], None, None
+            if item.exact:
+                out.update((k, s, s + item.size, 0) for s in starts if _apart(norm, s, s + item.size))
+                continue
             for s in [*sorted(starts), None]:
                 if lo is not None and (s is None or s - lo > item.most):
                     base = max(0, lo - item.most)
@@ -139,44 +153,79 @@ class Matcher:
         return [(key, a, b, d) for (k, _, _, d), (a, b) in zip(out, places, strict=True) for key in self.ids[k]]
 
 
-def blocks(items: DataFrame, *, key: str = "item_id", text: str = "text", most: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
-    """The items in blocks of about `most` characters, so that neither driver nor worker holds more at once."""
-    rows = items.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+def blocks(items: DataFrame, *, key: str = "item_id", text: str = "text", most: int = BLOCK_CHARS, together: int = BLOCKS) -> Iterator[list[list[tuple]]]:
+    """The items (id, text) in groups of `together` blocks of about `most` characters: the driver holds one group."""
+    rows = items.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     n = max(1, -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 0) // most))
-    for i in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i).collect()]
-
+    for first in range(0, n, together):
+        group = defaultdict(list)
+        for r in rows.select("k", "t", F.pmod(F.xxhash64("k", "t"), F.lit(n)).alias("b")).where(F.col("b").between(first, first + together - 1)).collect():
+            group[r.b].append((r.k, r.t))
+        yield list(group.values())
 
-def matches(text: Column, block: list[tuple], budget: float = BUDGET, shortest: int = SHORTEST) -> Column:
-    """The places of a block's items in a text, as an array of (item_id, start, end, distance)."""
-    made: list[Matcher] = []
 
-    @F.pandas_udf(MATCH)
-    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made.extend([] if made else [Matcher(block, budget, shortest)])
-        for batch in texts:
-            yield pd.Series([[dict(zip(("item_id", "start", "end", "distance"), m, strict=True)) for m in made[0](t)] for t in batch], dtype=object)
+def matches(text: Column, group: list[list[tuple]], kind: str, budget: float = BUDGET, short: int = SHORT) -> Column:
+    """The places of a group's items in a text, as an array of (item_id, start, end, distance), item_id of type `kind`.
 
-    return find(text)
-
-
-def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", budget: float = BUDGET, shortest: int = SHORTEST) -> DataFrame:
+    One block's automaton stays with the worker. Of several, each is built in turn for GATHERED characters of texts,
+    so that a worker never holds more than one.
+    """
+    whole = f"array<struct<item_id: {kind}, start: bigint, end: bigint, distance: int>>"
+    kept: list[Matcher] = []
+
+    def matcher(block: list[tuple]) -> Matcher:
+        if len(group) > 1 or not kept:
+            kept.clear()
+            kept[:] = [Matcher([(i, t) for i, (_, t) in enumerate(block)], budget, short)]
+        return kept[0]
+
+    def found(texts: list[str | None]) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in texts]
+        for block in group:
+            find = matcher(block)
+            for i, t in enumerate(texts):
+                out[i] += [dict(zip(("item_id", "start", "end", "distance"), (block[m[0]][0], *m[1:]), strict=True)) for m in find(t)]
+        return out
+
+    @F.pandas_udf(whole)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts, out, at = [None if t is None else t for t in batch], [], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and size < GATHERED:
+                    size += len(texts[end] or "")
+                    end += 1
+                out += found(texts[at:end])
+                at = end
+            yield pd.Series(out, dtype=object)
+
+    return of(text)
+
+
+def contamination(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", budget: float = BUDGET, short: int = SHORT) -> DataFrame:
     """(key, item_id, start, end, distance): one row for each place of a test item in a row of `docs`.
 
     Texts are compared in lower case with runs of white space as one blank. An item is found with up to
-    budget x length edits; items shorter than `shortest` and null items are not searched for. Equal items are
-    all reported. Null and empty texts match nothing; a null key is kept; repeated rows are reported each.
-    The documents are read once and not shuffled, whatever they hold; items go to the workers in blocks.
+    budget x length edits, one of under `short` characters only as it is and between ends of words. Items without a
+    word and null items stand nowhere. Keys and item ids keep their types. Equal items are all reported. Null and
+    empty texts match nothing; a null key is kept; repeated rows are reported each.
+    The documents are not shuffled, whatever they hold. They are read once for each BLOCKS million characters of
+    items; where that is more than once, what each reading finds is written before the next, and the driver holds
+    the items of one reading.
     """
-    out = None
-    for block in blocks(items):
-        each = docs.select(F.col(key).alias("k"), F.inline(matches(F.col(text), block, budget, shortest)))
-        out = each if out is None else out.union(each)
-    return out.withColumnRenamed("k", key)
+    kind, out, rest = dict(items.dtypes)["item_id"], None, None
+    for group in blocks(items):
+        if rest is not None:
+            out = cut(rest) if out is None else out.union(cut(rest))
+        rest = docs.select(F.col(key).alias("k"), F.inline(matches(F.col(text), group, kind, budget, short)))
+    return (rest if out is None else out.union(cut(rest))).withColumnRenamed("k", key)
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", budget: float = BUDGET) -> DataFrame:
     """The rows of `docs`, all columns, in which no test item is found."""
-    for block in blocks(items):
-        docs = docs.where(F.size(matches(F.col(text), block, budget)) == 0)
+    kind, seen = dict(items.dtypes)["item_id"], 0
+    for group in blocks(items):
+        docs = (cut(docs) if seen else docs).where(F.size(matches(F.col(text), group, kind, budget)) == 0)
+        seen += 1
     return docs

@@ -75,9 +75,14 @@ def test_blocks_give_the_same_and_clean_keeps_the_rest(spark, cases, monkeypatch
     rows = lambda: sorted(map(str, decontaminate.contamination(docs, items).collect()))
     whole = rows()
     real = decontaminate.blocks
-    monkeypatch.setattr(decontaminate, "blocks", lambda i: real(i, most=500))
-    assert len(list(decontaminate.blocks(items))) > 3 and rows() == whole
     dirty = {r.doc_id for r in decontaminate.contamination(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "GATHERED", 3000)
+    for together in (64, 2):
+        monkeypatch.setattr(decontaminate, "blocks", lambda i: real(i, most=500, together=together))  # noqa: B023
+        groups = list(decontaminate.blocks(items))
+        assert sum(map(len, groups)) > 3 and (len(groups) == 1) == (together == 64) and max(map(len, groups)) <= together
+        assert sorted(t for g in groups for b in g for t in b) == sorted(ITEMS)
+        assert rows() == whole
     kept = decontaminate.clean(docs, items).collect()
     assert {r.doc_id for r in kept} == {k for k, _ in cases} - dirty and {1, 2, 3} <= {r.doc_id for r in kept}
 
@@ -90,3 +95,24 @@ def test_empty_tables_and_clashing_columns(spark, none, clashing, docs):
     planted = spark.createDataFrame([(1, "One two three four five six seven eight")], "item_id long, text string")
     rows = lambda d: sorted(map(str, decontaminate.contamination(d, planted).collect()))
     assert rows(clashing) == rows(docs) and len(rows(docs)) == 3
+
+
+def test_short_items_stand_exactly_and_between_words(spark):
+    """Against a search by regular expression at both sides of the border."""
+    import re
+
+    items = [("a", "What is 2+2?"), ("b", "one"), ("c", "x"), ("d", "nineteen characters"), ("e", "twenty characters ab"), ("f", "  "), ("g", "WHAT is  2+2?"), (None, "seven")]
+    texts = ["Asked: what is\n2+2? And: what is 2+2?4", "one, none, one two ONE", "x\tx xx", "nineteen characters nineteen charactors", "twenty characters ab twenty charactors ab", "", None, "seventh seven"]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = sorted((str(r.item_id), r.doc_id, r.start, r.end) for r in decontaminate.contamination(frame, spark.createDataFrame(items, "item_id string, text string")).collect())
+    want = []
+    for key, item in items:
+        words = item.split()
+        pattern = r"\s+".join(map(re.escape, words))
+        for k, t in enumerate(texts):
+            if key == "e" and t and "twenty" in t:
+                want += [("e", k, 0, 20), ("e", k, 21, 41)]
+            elif words and key != "e":
+                edges = (r"(?<![^\W_])" if words[0][0].isalnum() else "") + pattern + (r"(?![^\W_])" if words[-1][-1].isalnum() else "")
+                want += [(str(key), k, m.start(), m.end()) for m in re.finditer(edges, t or "", re.I)]
+    assert got == sorted(want) and len(want) > 12
