@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from docketmill.llm import licenses
@@ -53,14 +54,84 @@ def test_cosine_against_plain_vectors():
         assert detector.best(unit) == (pytest.approx(want[0]), want[1])
 
 
+EVEN = {t: 2.0 for t in licenses.VOCABULARY} | {"": 3.0}
+
+
 def test_every_template_is_found_and_spans_are_right():
-    detector = licenses.Detector({t: 2.0 for t in licenses.VOCABULARY} | {"": 3.0})
+    detector = licenses.Detector(EVEN)
     for name, notices in licenses.TEMPLATES.items():
         for n in notices:
-            text = f"First line here\n\n{n}\n\nlast line"
-            found = detector(text)
-            assert [f["license"] for f in found] == [name], n
-            assert text[found[0]["start"] : found[0]["end"]] in n or n in text[found[0]["start"] : found[0]["end"]]
+            for text in (f"First line here\n\n{n}\n\nlast line", f"words before it {n} and words after it", f"First. {n.replace(' ', chr(10) + ' * ')}"):
+                found = detector(text)
+                assert [f["license"] for f in found] == [name] and found[0]["score"] > 0.99, (n, found)
+                got = licenses.terms(text[found[0]["start"] : found[0]["end"]])
+                assert [t for t in got if t in licenses.terms(n)] == licenses.terms(n)
+
+
+def test_against_all_parts_of_random_texts():
+    """Every line, sentence, paragraph, whole text and stretch of a template's size is compared by plain vectors."""
+    import random
+    import re
+
+    rnd = random.Random(4)
+    pool = sorted(licenses.VOCABULARY)[::3] + ["MIT", "Released", "under", "the", "License", "zork", "blub"] * 6
+    idf = {t: 1 + len(t) / 5 for t in licenses.VOCABULARY} | {"": 3.0}
+    detector, hits = licenses.Detector(idf), 0
+    notices = [n for v in licenses.TEMPLATES.values() for n in v]
+    for _ in range(25):
+        text = "".join((rnd.choice(notices) if rnd.random() < 0.12 else rnd.choice(pool)) + rnd.choice([" ", " ", " ", ". ", "\n", "\n \n", "! "]) for _ in range(rnd.randint(1, 30)))
+        found = list(licenses.TERM.finditer(text.lower()))
+        places = {(0, len(found))}
+        for pattern in (r"\n", r"[.!?](?=\s)|\n[^\S\n]*\n", r"\n[^\S\n]*\n"):
+            edges = [0, *(m.end() for m in re.finditer(pattern, text)), len(text) + 1]
+            for x, y in zip(edges, edges[1:], strict=False):
+                inside = [i for i, m in enumerate(found) if x <= m.start() < y]
+                if inside:
+                    places.add((inside[0], inside[-1] + 1))
+        scored = []
+        for name, v, size in detector.templates:
+            own = places | {(i, min(i + size, len(found))) for i in range(max(1, len(found) - size + 1))}
+            for a, b in own:
+                u = detector.vector([m[0] for m in found[a:b]])
+                score = round(sum(x * u.get(t, 0) for t, x in v.items()), 9)
+                if score >= licenses.COSINE:
+                    scored.append((-score, a - b, a, name, b))
+        taken = []
+        for score, _, a, name, b in sorted(scored):
+            if all(b <= x or a >= y for x, y, *_ in taken):
+                taken.append((a, b, name, -score))
+        want = [(name, found[a].start(), found[b - 1].end(), pytest.approx(min(1, score))) for a, b, name, score in sorted(taken)]
+        assert [(f["license"], f["start"], f["end"], f["score"]) for f in detector(text)] == want
+        hits += len(want)
+    assert hits > 20
+
+
+def test_notices_without_a_word_of_licensing_and_in_any_setting():
+    detector = licenses.Detector(EVEN)
+    names = lambda t: [f["license"] for f in detector(t)]
+    assert names("x y z\nContent under CC BY 4.0, as ever") == ["CC-BY-4.0"] and names("SPDX-License-Identifier: MPL-2.0") == ["MPL-2.0"]
+    assert names("# Licensed under\n# the Apache\n# License, Version 2.0\n" + "code " * 3000) == ["Apache-2.0"]
+    assert names("permission was released; no license here, the public domain of words") == []
+    assert names("İ" * 30 + " Released under the MIT License") == ["MIT"] and detector("İ Released under the MIT License")[0]["start"] == 2
+
+
+def test_a_notice_of_two_licences_alike_is_the_first_by_name():
+    idf = {t: 2.0 for t in licenses.VOCABULARY} | {"": 3.0}
+    detector = licenses.Detector(idf)
+    detector.templates = [(n, v, s) for n, v, s in detector.templates if n == "MIT"][:1] * 2
+    detector.templates[0] = ("AAA", *detector.templates[0][1:])
+    detector.mass, detector.dots = (np.repeat(x[[next(i for i, t in enumerate(licenses.Detector(idf).templates) if t[0] == "MIT")]], 2, axis=0) for x in (detector.mass, detector.dots))
+    assert [f["license"] for f in detector("Licensed under the MIT License")] == ["AAA"]
+
+
+def test_long_texts_take_time_in_proportion_to_their_length():
+    import time
+
+    detector = licenses.Detector(EVEN)
+    for text in ("licensed words permission of foo bar " * 30_000, "Released under the MIT License and " * 30_000, "x" * 1_000_000, "\n" * 1_000_000):
+        began = time.time()
+        found = detector(text)
+        assert time.time() - began < 12 and len(found) == (30_000 if "MIT" in text else 0)
 
 
 def test_frequencies_are_over_all_texts(spark):
