@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from docketmill.plans.registry import query
 from docketmill.plans.views import base
+from docketmill.ship import shared_folder
 from docketmill.sources import web
 from docketmill.streaming import jobs
 
 
 def _folder(spark) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='docketmill-')).rstrip('/')}/streams"
+    return f"{shared_folder(spark)}/streams"
 
 
 @query("select event_id from events")

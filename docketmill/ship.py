@@ -1,10 +1,11 @@
-"""Sends this package to the executors, once for each Spark context."""
+"""What executors need of the driver: this package, and a folder that all share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,18 @@ def ship(spark: SparkSession) -> None:
                     archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     _sent.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset and all runs in one process
+    on this machine, as in tests, one of our own; on a cluster there is no folder to be guessed, which is an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own(spark.sparkContext.applicationId)
+
+
+@cache
+def _own(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="docketmill-")
