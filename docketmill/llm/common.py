@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketmill.ship import ship
+from docketmill.ship import shared_folder, ship
 
 #: Rows turned into Python objects at a time, so that a large Arrow batch is never doubled.
 ROWS_AT_ONCE = 256
@@ -26,15 +25,6 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents", *columns)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="docketmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/docketmill/{spark.sparkContext.applicationId}"
 
@@ -47,6 +37,11 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def sweep(spark: SparkSession) -> None:
     """Removes all that cut() wrote for this application, once every result that reads it has been written out."""
     _delete(spark, _own_folder(spark))
+    _made.pop(spark.sparkContext.applicationId, None)
+
+
+#: Paths that cut() wrote, by application, in order.
+_made: dict[str, list[str]] = {}
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -54,9 +49,22 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def cut_alone(spark: SparkSession, make: Callable[[], DataFrame], *before: DataFrame) -> DataFrame:
+    """cut() of what `make` returns; all that was cut on the way there is removed, and so are the frames of `before`."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    start = len(made)
+    out = cut(make())
+    for path in made[start:-1]:
+        _delete(spark, path)
+    del made[start:-1]
+    drop(*before)
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
     """Removes the files behind frames that cut() made and that no later plan reads."""
     for frame in frames:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketmill.llm.common import slices
+from docketmill.llm.common import cut, slices
 
 #: Bytes of the shortest and longest chunk. A chunk ends where the gear hash's low 16 bits, which the last 16
 #: bytes alone decide, are below a limit: one position in RARITY. The shortest chunk is short beside that, so
@@ -20,10 +20,12 @@ SHORTEST, LONGEST, RARITY = 8, 96, 24
 #: RARITY bytes, so passages of over 50 words are found but for about two in a thousand, and those under
 #: LEAST_WORDS never.
 LEAST_WORDS = 16
+#: Digests that a worker gathers before it hands on what they come to.
+GATHERED = 1_000_000
 #: Bytes hashed at a time.
 BYTES_AT_ONCE = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) & 0xFFFF for b in range(256)], np.uint16)
-NO_KEY = -(1 << 63)
+SPACE = np.isin(np.arange(256), np.frombuffer(b"\x20\t\n\v\f\r", np.uint8))
 
 
 def rolled(data: np.ndarray) -> np.ndarray:
@@ -71,57 +73,93 @@ def chunks(data: bytes) -> list[int]:
     return ends
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_digest
+def pairs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of each two neighbouring chunks of a text, XXH3 of 64 bits, and where they stand, as one number:
+    start << 22 | length << 14 | words of the first << 7 | words of the second, in code points. A text of one chunk
+    has that alone. Words count where they begin."""
+    data = (text or "").encode("utf-8", "replace")
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.array(chunks(data))
+    array, edges = np.frombuffer(data, np.uint8), np.concatenate([[0], ends])
+    space = SPACE[array]
+    begins = ~space & np.concatenate([[True], space[:-1]])
+    words = np.diff(np.concatenate([[0], np.cumsum(begins)])[edges])
+    places = edges if len(data) == len(text) else np.concatenate([[0], np.cumsum(array & 0xC0 != 0x80)])[edges]
+    if len(ends) == 1:
+        bounds, first, last, words = [(0, len(data))], places[:1], places[1:], np.append(words, 0)
+    else:
+        bounds, first, last = zip(edges[:-2].tolist(), edges[2:].tolist(), strict=True), places[:-2], places[2:]
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in bounds), np.uint64, len(first)).view(np.int64)
+    return digests, first << 22 | (last - first) << 14 | words[:-1] << 7 | words[1:]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(d, first, several) for what each worker gathers: a digest, the least key, whether several documents have it."""
+
+    def rows() -> pa.RecordBatch:
+        order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i]))
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        d, r = np.concatenate(digests), np.repeat(rank, [len(x) for x in digests])
+        by = np.lexsort((r, d))
+        d, r = d[by], r[by]
+        heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        several = np.diff(np.append(heads, len(d))) > 1
+        return pa.RecordBatch.from_arrays([pa.array(d[heads]), pa.array([keys[i] for i in order], kind).take(pa.array(r[heads])), pa.array(several)], names=["d", "first", "several"])
+
+    keys, digests, held, kind = [], [], 0, None
     for batch in slices(batches):
-        keys, counts, starts, stops, words, digests, held = [], [], [], [], [], [], 0
+        kind = batch.column("k").type
         for key, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = (text or "").encode("utf-8", "replace")
-            ends = chunks(data)
-            if not ends:
-                continue
-            pieces = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-            digests += map(digest, pieces)
-            words += [p.count(b" ") + p.count(b"\n") for p in pieces]
-            ends = np.array(ends)
-            if len(data) != len(text):
-                ends = np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)[ends - 1]
-            starts += [np.zeros(1, np.int64), ends[:-1]]
-            stops.append(ends)
-            keys.append(key)
-            counts.append(len(ends))
-            held += len(ends)
-            if held >= 1 << 16:
-                yield _rows(keys, counts, starts, stops, words, digests)
-                keys, counts, starts, stops, words, digests, held = [], [], [], [], [], [], 0
-        if held:
-            yield _rows(keys, counts, starts, stops, words, digests)
-
-
-def _rows(keys: list, counts: list, starts: list, stops: list, words: list, digests: list) -> pa.RecordBatch:
-    start, halves = np.concatenate(starts), np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    place = start << 20 | np.concatenate(stops) - start << 10 | np.array(words)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(place), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["k", "place", "d1", "d2"])
+            found = np.unique(pairs(text)[0])
+            if len(found):
+                keys.append(key)
+                digests.append(found)
+                held += len(found)
+        if held >= GATHERED:
+            yield rows()
+            keys, digests, held = [], [], 0
+    if held:
+        yield rows()
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        ids, found = batch.column("id").to_numpy(), [pairs(t) for t in batch.column("text").to_pylist()]
+        columns = [np.repeat(ids, [len(d) for d, _ in found]), *(np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in zip(*found, strict=True))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "d", "place"])
 
 
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, start, end, n_words, first_doc_id, is_first): maximal runs of chunks that stand in several documents.
 
-    Positions are code points, end exclusive. first_doc_id is the least key that holds one of the run's chunks,
-    is_first tells whether that is this document: a deduplicated corpus keeps those and cuts the others. The
-    key is an integer; null keys count as one key below all others and come back as null. Rows that share a
-    key are one document. Null, empty and shorter texts have no passages. A chunk in a third of all documents
-    is one row of the counts after map-side combining, and its join can be split. Chunks go by their 128-bit
-    digest. Cutting a text again is cheaper than keeping all its chunks, so they are made twice and not stored.
+    Chunks are looked up with their neighbour, by the digest of both, so that a few common words in a row are no
+    repeat by themselves; a run goes on while each chunk and its neighbour are repeated. Positions are code points,
+    end exclusive. first_doc_id is the least key that holds one of the run's chunks, is_first tells whether that is
+    this document: a deduplicated corpus keeps those and cuts the others. Keys may be of any type that sorts. A null
+    key comes after all others: where only such documents share a run, first_doc_id is null and is_first true for
+    all of them, and nothing is cut. Rows that share a key but not their text are documents of their own; rows that
+    share both are the same passages twice. Null, empty and shorter texts have no passages; an empty table gives no
+    rows.
+
+    A digest in a third of all documents is one row of each worker's count. The count is written before it is joined,
+    so the join's rows of a hot digest can be split. Texts are chunked twice, as that is cheaper than keeping all
+    chunks. A digest has 64 bits, but a passage has several in a row: chance alone makes none.
     """
-    pieces = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("k"), F.col(text).alias("text")).mapInArrow(_chunked, "k bigint, place bigint, d1 bigint, d2 bigint")
-    several = pieces.groupBy("d1", "d2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
-    start = F.shiftright("place", 20)
-    stop = start + F.shiftright("place", 10).bitwiseAND(1023)
-    found = pieces.join(several, ["d1", "d2"]).select("k", start.alias("start"), stop.alias("stop"), F.col("place").bitwiseAND(1023).alias("words"), "first")
-    order = Window.partitionBy("k").orderBy("start", "stop")
-    fresh = F.when(F.col("start") > F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)), 1).otherwise(0)
-    runs = found.distinct().withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    spans = runs.groupBy("k", "run").agg(F.min("start").alias("start"), F.max("stop").alias("end"), F.sum("words").alias("n_words"), F.min("first").alias("first_doc_id"))
-    real = lambda c: F.nullif(F.col(c), F.lit(NO_KEY))
-    return spans.where(F.col("n_words") >= least_words).select(real("k").alias(key), "start", "end", "n_words", real("first_doc_id").alias("first_doc_id"), (F.col("k") == F.col("first_doc_id")).alias("is_first"))
+    kind = dict(docs.dtypes)[key]
+    whole = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(key), F.col(text)).alias("id"), F.col(text).alias("text"))
+    counted = whole.select("k", "text").mapInArrow(_counted, f"d bigint, first {kind}, several boolean")
+    several = cut(counted.groupBy("d").agg(F.min("first").alias("first"), ((F.count(F.lit(1)) > 1) | F.max("several")).alias("several")).where("several").select("d", "first"))
+    placed = whole.select("id", "text").mapInArrow(_placed, "id bigint, d bigint, place bigint")
+    start = F.shiftright("place", 22)
+    stop = start + F.shiftright("place", 14).bitwiseAND(255)
+    found = placed.join(several, "d").select("id", start.alias("start"), stop.alias("stop"), F.shiftright("place", 7).bitwiseAND(127).alias("words"), F.col("place").bitwiseAND(127).alias("last_words"), "first")
+    order = Window.partitionBy("id").orderBy("start")
+    once = found.withColumn("before", F.lag("start").over(order)).where("before is null or before <> start")
+    fresh = F.when(F.col("start") >= F.coalesce(F.lag("stop").over(order), F.lit(0)), 1).otherwise(0)
+    runs = once.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("end"), (F.sum("words") + F.max_by("last_words", "start")).alias("n_words"), F.min("first").alias("first_doc_id"))
+    long = spans.where(F.col("n_words") >= least_words).select("id", "start", "end", "n_words", "first_doc_id")
+    named = whole.select("k", "id").join(long, "id")
+    return named.select(F.col("k").alias(key), "start", "end", "n_words", "first_doc_id", F.col("k").eqNullSafe(F.col("first_doc_id")).alias("is_first"))

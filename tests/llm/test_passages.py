@@ -69,15 +69,49 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
     assert all(r.end - r.start > 0.95 * len(whole) for k in (904, 905) for r in spans[k])
 
 
-def test_exact_counts_against_brute_force(docs, awkward):
-    where = {}
-    for key, t, *_ in awkward:
+def by_hand(rows):
+    """(key, start, end, words, first) of runs of neighbouring chunks that stand in several rows, over characters."""
+    where, cut = {}, []
+    for i, (_, t) in enumerate(rows):
         data = (t or "").encode()
-        for a, b in zip([0, *passages.chunks(data)], passages.chunks(data), strict=False):
-            where.setdefault(data[a:b], set()).add(key)
-    covered = {k for d, keys in where.items() if len(keys) > 1 for k in keys}
-    got = {r.doc_id for r in passages.repeated_passages(docs, least_words=0).collect()}
-    assert got == covered and {1, 2, 6, 7} <= got
+        ends = passages.chunks(data)
+        edges = [len(data[:e].decode()) for e in [0, *ends]]
+        each = [(edges[k], edges[min(k + 2, len(ends))]) for k in range(max(1, len(ends) - 1))] if ends else []
+        cut.append(each)
+        for a, b in each:
+            where.setdefault(t[a:b], set()).add(i)
+    out = []
+    for (key, t), each in zip(rows, cut, strict=True):
+        run = []
+        for a, b in [*each, (None, None)]:
+            if a is not None and len(where[t[a:b]]) > 1:
+                run.append((a, b))
+            elif run:
+                s, e = run[0][0], run[-1][1]
+                keys = [rows[i][0] for x, y in run for i in where[t[x:y]] if rows[i][0] is not None]
+                words = sum(not t[i].isspace() and (i == 0 or t[i - 1] in " \t\n\v\f\r") for i in range(s, e))
+                out.append((key, s, e, words, min(keys, default=None)))
+                run = []
+    return sorted(map(str, out))
+
+
+def test_every_run_against_brute_force(spark, docs, awkward):
+    got = sorted(str((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id)) for r in passages.repeated_passages(docs, least_words=0).collect())
+    assert got == by_hand([(r[0], r[1]) for r in awkward]) and len(got) > 6
+    part, other = text(60), text(50)
+    tabbed = part.replace(" ", "\t")
+    rows = [("b", f"{text(20)} {part}"), ("a", f"{part} {text(9)}"), ("a", f"{text(5)}\n{part}"), (None, f"{text(20)} {other}"), (None, f"{other} {text(8)}"), ("c", tabbed), ("d", f"x\v{tabbed}"), ("c", tabbed), ("e", "a b c")]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    assert sorted(str((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id)) for r in found) == [x for x in by_hand(rows) if eval(x)[3] >= passages.LEAST_WORDS]
+    assert sorted((str(r.doc_id), r.is_first) for r in found) == [("None", True), ("None", True), ("a", True), ("a", True), ("b", False), ("c", True), ("c", True), ("d", False)]
+
+
+def test_few_digests_at_a_time_give_the_same(spark, docs, monkeypatch):
+    rows = lambda: sorted(map(str, passages.repeated_passages(docs).collect()))
+    whole = rows()
+    monkeypatch.setattr(passages, "GATHERED", 50)
+    monkeypatch.setattr("docketmill.llm.common.ROWS_AT_ONCE", 3)
+    assert rows() == whole
 
 
 def test_empty_table_and_clashing_columns(none, clashing, docs):
