@@ -63,7 +63,10 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     elif radius != 2:
         raise ValueError("radius is 2 or 4")
     flips = [f - (1 << 64) if f >= 1 << 63 else f for f in flips]
-    balls = distinct.select("fp", F.explode(F.transform(F.lit(flips), lambda f: F.col("fp").bitwiseXOR(f))).alias("v"))
+    # Balls are 65 times what they are made of and more: dealt out first, or a few tasks would make them all.
+    session = distinct.sparkSession
+    dealt = distinct.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), "fp")
+    balls = dealt.select("fp", F.explode(F.transform(F.lit(flips), lambda f: F.col("fp").bitwiseXOR(f))).alias("v"))
     met = balls.select("fp", F.min("fp").over(Window.partitionBy("v")).alias("b"))
     pairs = met.where("b < fp").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
