@@ -19,16 +19,14 @@ HELD_OUT, THRESHOLD = (4, 2), 0.3
 WINDOW, STRIDE = 32, 16
 #: Sizes of the network: frequent words and characters with vectors of their own, the vectors, and the states.
 WORDS, CHARACTERS, WORD_SIZE, CHAR_SIZE, CHAR_STATES, STATES, ATTENTION = 3000, 60, 8, 8, 8, 12, 12
-#: Characters of a word that are read: from both ends where it is longer. Whole texts are read all the same.
-LONGEST_WORD = 14
 #: Bounded training sample: documents of each label and the longest of them in characters; passes and rate.
 SAMPLE, LONGEST_SAMPLE, PASSES, BATCH, RATE = 2500, 20_000, 3, 64, 0.01
 #: Random windows of clean documents to learn from, about (up to six of a document), and the least batches.
 RANDOM_WINDOWS, LEAST_BATCHES = 3000, 200
 #: Share of words that are read by their characters alone in training.
 UNKNOWN = 0.3
-#: Windows scored at once, and words that a worker remembers.
-AT_ONCE, WORDS_KEPT = 512, 120_000
+#: Windows scored at once, words that a worker remembers, and characters of words that are spelled at once.
+AT_ONCE, WORDS_KEPT, SPELLED = 512, 120_000, 60_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -59,15 +57,12 @@ class Network:
         w["out"], w["bias"] = gru.weights(rng, 2 * STATES, 1), np.zeros(1, f)
         self.w, self.scale = w, (1.0, 0.0)
 
-    def codes(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbered characters of words, (words, LONGEST_WORD) with 0 after their end, and their sizes."""
-        half, get = LONGEST_WORD // 2, self.characters.get
-        out, sizes = np.zeros((len(names), LONGEST_WORD), np.int64), np.zeros(len(names), np.int64)
-        for i, name in enumerate(names):
-            name = name if len(name) <= LONGEST_WORD else name[:half] + name[-half:]
-            out[i, : len(name)] = [get(c, 1) for c in name]
-            sizes[i] = len(name)
-        return out, sizes
+    def codes(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbered characters of words, all of them, one word after another; where each begins, and its size."""
+        get = self.characters.get
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        flat = np.fromiter((get(c, 1) for name in names for c in name), np.int64, int(sizes.sum()))
+        return flat, np.cumsum(sizes) - sizes, sizes
 
     def numbers(self, names: list[str], rng: np.random.Generator | None = None) -> np.ndarray:
         """Of words with vectors of their own, 0 for others; with rng, some of them count as others."""
@@ -75,29 +70,27 @@ class Network:
         return out if rng is None else np.where(rng.random(len(out)) < UNKNOWN, 0, out)
 
     def spell(self, names: list[str], numbers: np.ndarray | None = None, record: list | None = None) -> np.ndarray:
-        """The inputs of words: their own vectors and their characters' last states both ways."""
-        codes, sizes = self.codes(names)
+        """The inputs of words: their own vectors and their characters' last states both ways. Words are read longest
+        first, so that those still going on stand in front: the work is that of the characters there are."""
+        flat, begin, sizes = self.codes(names)
         table = {way: self.w["char"] @ self.w[f"cx{way}"] for way in "fb"}
-        steps = int(sizes.max(initial=1))
-        keep = np.arange(steps)[:, None] < sizes[None]
+        order = np.argsort(-sizes, kind="stable")
+        falling = -sizes[order]
         parts = [self.w["word"][self.numbers(names) if numbers is None else numbers]]
         for way in "fb":
-            c = codes[:, :steps]
-            if way == "b":  # the reversed word, then the space after it
-                at = sizes[:, None] - 1 - np.arange(steps)
-                c = np.where(at >= 0, np.take_along_axis(codes, np.maximum(at, 0), 1), 0)
             h, trail = np.zeros((len(names), CHAR_STATES), np.float32), []
-            for t in range(steps):
-                new = table[way][c[:, t]]
+            for t in range(int(sizes.max(initial=0))):
+                on = order[: np.searchsorted(falling, -t, side="left")]  # words of more than t characters
+                c = flat[begin[on] + (t if way == "f" else sizes[on] - 1 - t)]
                 if record is None:
-                    h = np.where(keep[t][:, None], gru.step(new, h, self.w[f"cu{way}"], self.w[f"cb{way}"]), h)
+                    h[on] = gru.step(table[way][c], h[on], self.w[f"cu{way}"], self.w[f"cb{way}"])
                 else:
-                    out, saved = gru.forward(new[None], h, self.w[f"cu{way}"], self.w[f"cb{way}"])
-                    h = np.where(keep[t][:, None], out[0], h)
-                    trail.append(saved)
+                    out, saved = gru.forward(table[way][c][None], h[on], self.w[f"cu{way}"], self.w[f"cb{way}"])
+                    h[on] = out[0]
+                    trail.append((on, c, saved))
             parts.append(h)
             if record is not None:
-                record.append((c, keep, trail))
+                record.append(trail)
         return np.concatenate(parts, axis=1)
 
     def logits(self, x: dict[str, np.ndarray], there: np.ndarray) -> np.ndarray:
@@ -168,17 +161,14 @@ class Network:
         np.add.at(g["word"], numbers, d_in[:, :WORD_SIZE])
         g["char"] = np.zeros_like(w["char"])
         for i, way in enumerate("fb"):
-            c, keep, saved = record[i]
-            d_hc = d_in[:, WORD_SIZE + i * CHAR_STATES : WORD_SIZE + (i + 1) * CHAR_STATES]
+            d_hc = d_in[:, WORD_SIZE + i * CHAR_STATES : WORD_SIZE + (i + 1) * CHAR_STATES].copy()
             g[f"cu{way}"], g[f"cb{way}"], g[f"cx{way}"] = np.zeros_like(w[f"cu{way}"]), np.zeros(CHAR_STATES, np.float32), np.zeros_like(w[f"cx{way}"])
-            for t in reversed(range(len(saved))):
-                d_out = np.where(keep[t][:, None], d_hc, 0)
-                d_x, d_prev, d_u, d_b = gru.backward(d_out[None], saved[t], w[f"cu{way}"])
-                d_hc = np.where(keep[t][:, None], d_prev, d_hc)
+            for on, c, saved in reversed(record[i]):
+                d_x, d_hc[on], d_u, d_b = gru.backward(d_hc[on][None], saved, w[f"cu{way}"])
                 g[f"cu{way}"] += d_u
                 g[f"cb{way}"] += d_b
-                g[f"cx{way}"] += w["char"][c[:, t]].T @ d_x[0]
-                np.add.at(g["char"], c[:, t], d_x[0] @ w[f"cx{way}"].T)
+                g[f"cx{way}"] += w["char"][c].T @ d_x[0]
+                np.add.at(g["char"], c, d_x[0] @ w[f"cx{way}"].T)
         return loss, g
 
 
@@ -274,8 +264,10 @@ class Scorer:
     def _learn(self, names: list[str]) -> None:
         if names:
             self.rows.update(zip(names, range(len(self.rows), len(self.rows) + len(names)), strict=True))
-            shares = [self.net.spell(names[i : i + 4096]) @ np.hstack([self.net.w["xf"], self.net.w["xb"]]) for i in range(0, len(names), 4096)]
-            self.table = np.vstack([self.table, *shares])
+            gates = np.hstack([self.net.w["xf"], self.net.w["xb"]])
+            ends = np.cumsum([len(n) + 1 for n in names])
+            cuts = np.unique(np.searchsorted(ends, np.arange(SPELLED, ends[-1], SPELLED), side="right")).tolist()
+            self.table = np.vstack([self.table, *(self.net.spell(names[a:b]) @ gates for a, b in zip([0, *cuts], [*cuts, len(names)], strict=True) if a < b)])
 
     def top(self, texts: list[str | None]) -> list[float]:
         """The largest logit of any window of each text; minus infinity for a text without words."""

@@ -62,6 +62,61 @@ def test_gradients(rows):
             assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(g[at], rel=0.02, abs=2e-5), name
 
 
+def plainly(net, found):
+    """The largest logit of the windows of a list of words, one word, character and gate at a time."""
+    w, sig = {k: v.astype(np.float64) for k, v in net.w.items()}, lambda x: 1 / (1 + np.exp(-x))
+
+    def gru(inputs, wx, u, b, size):
+        h = np.zeros(size)
+        for x in inputs:
+            i, a = x @ wx, h @ u
+            z, r = sig(i[:size] + a[:size]), sig(i[size : 2 * size] + a[size : 2 * size])
+            new = np.tanh(i[2 * size :] + r * (a[2 * size :] + b))
+            h = (1 - z) * new + z * h
+            yield h
+
+    def spelled(word):
+        chars = [w["char"][net.characters.get(c, 1)] for c in word]
+        last = lambda way, cs: ([np.zeros(toxicity.CHAR_STATES), *gru(cs, w[f"cx{way}"], w[f"cu{way}"], w[f"cb{way}"], toxicity.CHAR_STATES)])[-1]
+        return np.concatenate([w["word"][net.words.get(word, 0)], last("f", chars), last("b", chars[::-1])])
+
+    logits = []
+    for at in toxicity.starts(len(found)):
+        window = found[at : at + toxicity.WINDOW]
+        inputs = [spelled(x) for x in window] + [spelled("")] * (toxicity.WINDOW - len(window))
+        states = toxicity.STATES
+        forward = list(gru(inputs, w["xf"], w["uf"], w["bf"], states))
+        backward = list(gru(inputs[::-1], w["xb"], w["ub"], w["bb"], states))[::-1]
+        h = np.array([np.concatenate(x) for x in zip(forward, backward, strict=True)])[: len(window)]
+        e = np.exp(np.tanh(h @ w["a"]) @ w["v"])[:, 0]
+        logits.append(float((e / e.sum()) @ (h @ w["out"])[:, 0] + w["bias"][0]))
+    return max(logits)
+
+
+def test_scores_of_whole_documents_against_a_plain_forward_pass(rows):
+    net = toxicity.train([t for _, t, _ in rows[:80]], [y for _, _, y in rows[:80]])
+    long = "".join(rnd.choice("abcdefghijz") for _ in range(400))
+    texts = [t for _, t, _ in rows[100:112]] + ["one", " ".join([*text(40), long, *text(40), "Abcdefghijabcdefghij"])]
+    a, b = net.scale
+    want = [1 / (1 + np.exp(-(a * plainly(net, toxicity.words(t)) + b))) for t in texts]
+    assert np.allclose(toxicity.Scorer(net)(texts), want, atol=1e-4)
+
+
+def test_every_character_of_a_long_word_is_read(monkeypatch):
+    net = toxicity.Network([], list("abcdefghijklmnopqrstuvwxyz"))
+    one, other = net.spell(["abcdefgqqqqqqhijklmn"]), net.spell(["abcdefgzzzzhijklmn"])
+    assert np.abs(one - other).max() > 1e-3
+    names = ["a" * n for n in (1, 14, 15, 300, 0, 60)] + ["bcd"]
+    together = net.spell(names)
+    assert np.allclose(together, np.vstack([net.spell([n]) for n in names]), atol=1e-6)
+    whole = toxicity.Scorer(net)
+    whole._learn(names)
+    monkeypatch.setattr(toxicity, "SPELLED", 20)
+    few = toxicity.Scorer(net)
+    few._learn(names)
+    assert np.allclose(whole.table, few.table, atol=1e-6)
+
+
 def test_windows_cover_every_word_and_overlap():
     for n in (0, 1, 31, 32, 33, 100, 1000):
         s = toxicity.starts(n)
