@@ -217,8 +217,13 @@ def check_weekdays(spark, sf_dir):
     return checks.wrong_weekdays(lines(spark, sf_dir))
 
 
-@query(f"""with {DATES}, o as (select d.doc_id, arg_min(day, d.idx) as opening from dates d join blocks b on b.doc_id = d.doc_id and b.idx = d.idx where contains(b.text, 'is made on') group by 1)
- select d.doc_id, d.idx, 'contradictory date' as kind, 1 as severity, d.anchor, concat('opens with ', strftime(opening, '%-d %B %Y')) as note from dates d join blocks b on b.doc_id = d.doc_id and b.idx = d.idx join o on o.doc_id = d.doc_id where contains(b.text, 'date of this Agreement') and day <> opening""")
+def dates_in(lines: str, name: str) -> str:
+    return DATES.replace("from blocks", f"from {lines}").replace("dates as (", f"{name} as (", 1)
+
+
+@query(f"""with opening as (select * from blocks where contains(text, 'is made on')), tied as (select * from blocks where contains(text, 'date of this Agreement')), {dates_in("opening", "od")}, {dates_in("tied", "td")},
+ o as (select doc_id, arg_min(day, idx) as opened from od group by 1)
+ select td.doc_id, idx, 'contradictory date' as kind, 1 as severity, anchor, concat('opens with ', strftime(opened, '%-d %B %Y')) as note from td join o on o.doc_id = td.doc_id where day <> opened""")
 def check_contradictory_dates(spark, sf_dir):
     return checks.contradictory_dates(lines(spark, sf_dir))
 

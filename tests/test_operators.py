@@ -122,3 +122,11 @@ def test_functions_have_names_in_sql(spark):
     assert len(register(spark)) == 4
     row = spark.sql("select text_likeness('abcd', 'abcx') l, text_likeness(null, 'a') n, changed_words('pay thirty days', 'pay sixty days') w, decode_entities('a &amp; b') d, mark_quotations('<blockquote>x</blockquote>') q").first()
     assert (row.l, row.n, row.d, row.q.strip()) == (0.75, None, "a & b", "> x") and [(x.removed, x.added) for x in row.w] == [("thirty", "sixty")]
+
+
+def test_lines_of_a_large_region_are_no_changes_of_each_other():
+    from docketmill.operators import versions
+
+    for n in (50, 201):
+        kinds = [c["kind"] for c in versions.aligned([f"old{chr(97 + i % 26)}{i * i}" for i in range(n)], [f"{i * 7} fresh" for i in range(n)])]
+        assert sorted(kinds) == ["deleted"] * n + ["inserted"] * n

@@ -40,15 +40,16 @@ EML = b"Message-ID: <1@x>\r\nIn-Reply-To: <0@x>\r\nReferences: <a@x> <b@x>\r\nFr
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     to = tmp_path_factory.mktemp("files")
-    bomb = package({"a.txt": "0" * 1_000_000})
-    for name, data in {"a.docx": DOCX, "b.xlsx": XLSX, "c.pptx": PPTX, "d.eml": EML, "e.pdf": b"%PDF-1.7", "f.txt": b"plain", "g.zip": bomb, "h.docx": DOCX[:200], "i.html": b"<p>x"}.items():
+    bomb = package({"a.txt": "0" * 30_000_000})
+    small = package({"a.txt": "0" * 1_000_000})
+    for name, data in {"a.docx": DOCX, "b.xlsx": XLSX, "c.pptx": PPTX, "d.eml": EML, "e.pdf": b"%PDF-1.7", "f.txt": b"plain", "g.zip": bomb, "j.zip": small, "h.docx": DOCX[:200], "i.html": b"<p>x"}.items():
         (to / name).write_bytes(data)
     return str(to)
 
 
 def test_kinds_and_refusals(spark, folder):
     found = {r.path[-1:] + r.path.split("/")[-1][0]: r.kind for r in files.identified(files.read(spark, folder)).collect()}
-    assert {k[1]: v for k, v in found.items()} == {"a": "docx", "b": "xlsx", "c": "pptx", "d": "eml", "e": "pdf", "f": "text", "g": "zip", "h": "zip", "i": "html"}
+    assert {k[1]: v for k, v in found.items()} == {"a": "docx", "b": "xlsx", "c": "pptx", "d": "eml", "e": "pdf", "f": "text", "g": "zip", "h": "zip", "i": "html", "j": "zip"}
     assert {r.path.split("/")[-1]: r.reason for r in files.refused(files.read(spark, folder)).collect()} == {"g.zip": "ratio", "h.docx": "damaged"}
 
 
@@ -62,6 +63,29 @@ def test_office_blocks(spark, folder):
     assert {(r.path.split("/")[-1], r.kind) for r in files.package_findings(files.read(spark, folder)).collect()} == {("a.docx", "tracked"), ("a.docx", "author"), ("c.pptx", "notes")}
 
 
+def test_content_controls_nested_tables_and_moves():
+    sdt = lambda x: f"<w:sdt><w:sdtContent>{x}</w:sdtContent></w:sdt>"
+    nested = f"<w:tbl><w:tr><w:tc>{p('inner')}</w:tc></w:tr></w:tbl>"
+    table = f"<w:tbl>{sdt(f'<w:tr><w:tc>{p(chr(111) + chr(117) + chr(116) + chr(101) + chr(114))}{nested}{p(chr(121))}</w:tc>{sdt(f'<w:tc>{p(chr(122))}</w:tc>')}</w:tr>')}</w:tbl>"
+    moved = '<w:p><w:moveFrom><w:r><w:t>gone</w:t></w:r></w:moveFrom></w:p><w:p><w:moveTo><w:r><w:t>came</w:t></w:r></w:moveTo></w:p>'
+    data = package({"word/document.xml": f"<w:document {W}><w:body>{p('a')}{sdt(p('inside control') + sdt(p('deeper')))}{table}{moved}<w:p>{sdt('<w:r><w:t>in line</w:t></w:r>')}</w:p></w:body></w:document>"})
+    got = [(b["text"], b["tbl"], b["row"], b["col"]) for b in files.docx_blocks(data)]
+    none = (None, None, None)
+    assert got == [("a", *none), ("inside control", *none), ("deeper", *none), ("outer", 0, 0, 0), ("inner", 1, 0, 0), ("y", 0, 0, 0), ("z", 0, 0, 1), ("came", *none), ("in line", *none)]
+
+
+def test_sheets_in_the_order_of_tabs_or_numbers():
+    sheet = lambda t: f'<worksheet {S}><sheetData><row><c t="inlineStr"><is><t>{t}</t></is></c></row></sheetData></worksheet>'
+    parts = {f"xl/worksheets/sheet{i}.xml": sheet(i) for i in range(1, 13)}
+    assert [b["text"] for b in files.xlsx_blocks(package({"xl/workbook.xml": "<w/>", **parts}))] == [str(i) for i in range(1, 13)]
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    tabs = [7, 12, 1]
+    book = f"<workbook {S} {rel}><sheets>{''.join(f'<sheet r:id={chr(34)}r{i}{chr(34)}/>' for i in tabs)}</sheets></workbook>"
+    rels = f"<Relationships>{''.join(f'<Relationship Id={chr(34)}r{i}{chr(34)} Target={chr(34)}worksheets/sheet{i}.xml{chr(34)}/>' for i in tabs)}</Relationships>"
+    got = [b["text"] for b in files.xlsx_blocks(package({"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, **parts}))]
+    assert got == ["7", "12", "1", *(str(i) for i in range(2, 12) if i != 7)]
+
+
 def test_leftovers_of_decks_and_workbooks():
     deck = package({"ppt/presentation.xml": "<p/>", "ppt/slides/slide1.xml": '<s show="0"/>', "ppt/comments/c.xml": "<c/>"})
     book = package({"xl/workbook.xml": f'<workbook {S}><sheets><sheet state="veryHidden"/></sheets></workbook>', "xl/externalLinks/e.xml": "<e/>"})
