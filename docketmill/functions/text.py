@@ -40,16 +40,44 @@ def token_around(text: Column, at: Column) -> Column:
     return F.concat(left, right)
 
 
+#: Words that multiply what stands before them, greatest first, and a pattern of numbers in words.
+SCALES = {"billion": 10**9, "million": 10**6, "thousand": 10**3}
+_WORD = "(?:" + "|".join(sorted([*_ONES, *_TENS, "hundred", *SCALES], key=len, reverse=True)) + ")"
+IN_WORDS = rf"{_WORD}(?:(?: and |[ -]){_WORD})*"
+
+
 def number_of(words: Column) -> Column:
-    """The value of a number word of up to ninety-nine, else null."""
-    table = F.create_map(*(F.lit(x) for pair in NUMBERS.items() for x in pair))
-    return F.try_element_at(table, F.lower(words))
+    """The value of a number in words, up to billions, else null: hundreds multiply what stands before them, a greater
+    scale all since the last one."""
+    table = F.create_map(*(F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for pair in ({w: v for w, v in NUMBERS.items() if "-" not in w} | {"hundred": 100} | SCALES).items() for x in pair))
+    values = F.transform(F.filter(F.split(F.lower(F.trim(words)), r"[\s-]+"), lambda w: w != "and"), lambda w: F.try_element_at(table, w))
+
+    def step(a: Column, v: Column) -> Column:
+        above, below = v >= 1000, v < 100
+        now = F.when(above, F.lit(0)).when(below, a["now"] + v).otherwise(F.greatest(a["now"], F.lit(1)) * v).cast("bigint")
+        return F.struct((a["all"] + F.when(above, F.greatest(a["now"], F.lit(1)) * v).otherwise(0)).cast("bigint").alias("all"), now.alias("now"))
+
+    zero = F.lit(0).cast("bigint")
+    value = F.aggregate(values, F.struct(zero.alias("all"), zero.alias("now")), step, lambda a: a["all"] + a["now"])
+    return F.when(F.forall(values, lambda v: v.isNotNull()) & (F.size(values) > 0), value)
 
 
 def in_words(n: Column) -> Column:
-    """The words of a number of up to ninety-nine, else null."""
-    by_value = sorted(NUMBERS, key=NUMBERS.get)
-    return F.try_element_at(F.array(*map(F.lit, by_value)), (n + 1).cast("int"))
+    """The words of a number below a million million, else null."""
+    by_value = F.array(*map(F.lit, sorted(NUMBERS, key=NUMBERS.get)))
+    small = lambda k: F.try_element_at(by_value, (k + 1).cast("int"))
+
+    def group(k: Column) -> Column:
+        """Of a number below a thousand; empty for zero."""
+        hundreds, rest = F.floor(k / 100), k % 100
+        return F.concat_ws(" ", F.when(hundreds > 0, F.concat(small(hundreds), F.lit(" hundred"))), F.when((hundreds > 0) & (rest > 0), "and"), F.when(rest > 0, small(rest)))
+
+    parts, rest = [], n
+    for name, size in SCALES.items():
+        parts.append(F.when(rest >= size, F.concat(group(F.floor(rest / size)), F.lit(f" {name}"))))
+        rest = rest % size
+    below = F.when(rest > 0, F.when((n >= 1000) & (rest < 100), F.concat(F.lit("and "), group(rest))).otherwise(group(rest)))
+    return F.when(n == 0, "zero").when((n > 0) & (n < 10**12), F.concat_ws(" ", *parts, below))
 
 
 def date_of(text: Column) -> Column:

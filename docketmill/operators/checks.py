@@ -12,16 +12,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketmill.functions.text import MONTHS, all_of, date_of, number_of, written
+from docketmill.functions.text import IN_WORDS, MONTHS, all_of, date_of, number_of, written
 from docketmill.operators import structure as S
 
 FINDING = ["doc_id", "idx", "kind", "severity", "anchor", "note"]
 BLANK = r"\[[A-Z][A-Z ]*\]|_{3,}|\bTBC\b|\bTBD\b"
-MEANS = r'^"([^"]+)" means (.+)$'
-PARENTHESIS = r'\((?:the|each a|together, the) "([^"]+)"\)'
+#: A term in quotes, plain or typographic, and what makes it a definition: a connector after it, brackets around it, a
+#: label before it, or its place at the head of a paragraph. A pointer names the place of a definition instead.
+TERM = "[\"“]([A-Z][A-Za-z0-9 '’-]{1,60})[\"”]"
+CONNECTOR = "(?:shall mean|means?|shall include|includes?|refers? to|is defined as|ha(?:s|ve) the meanings? of)"
+MEANS = rf'{TERM}(?: (?:or|and) ["“][^"”]+["”])?,? {CONNECTOR} ([^;]+)'
+SECOND = rf'["”] (?:or|and) {TERM},? {CONNECTOR} ([^;]+)'
+POINTER = rf"{TERM} (?:shall )?ha(?:s|ve) the meanings? (?:given|set|assigned|ascribed|attributed|specified)"
+BRACKETS = r"\([^()]*\)"
+LABEL = rf"\b(?:(?:each|together|collectively|jointly|individually|severally|hereinafter|herein),? (?:(?:referred to )?as )?|(?:referred to as|called|known as|defined as) )(?:an? |the )?{TERM}"
+LISTED = rf"^\s*(?:\(?[A-Za-z0-9]{{1,4}}[.)] ?)?{TERM}\s*(?:[:–—,-]|$)"
 PHRASE = r"\b[Tt]he ([A-Z][a-z]+(?: [A-Z][a-z]+){1,3})"
 WORD = r"\b[A-Z][a-z]{3,}\b"
-AMOUNT = r"\b([a-z]+(?:-[a-z]+)?) \((\d+)\)"
+#: Words and figures of one number, in both orders: pattern, group of the words, group of the figures.
+AMOUNT = [(rf"\b({IN_WORDS}) \((\d[\d,]*)\)", 1, 2), (rf"\b(\d[\d,]*) \(({IN_WORDS})\)", 2, 1)]
 MONTH = "(?:" + "|".join(MONTHS) + ")"
 DAY_FIRST, MONTH_FIRST = rf"\b\d{{1,2}} {MONTH} \d{{4}}\b", rf"\b{MONTH} \d{{1,2}}, \d{{4}}\b"
 WEEKDAY = rf"\b(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday),? (\d{{1,2}} {MONTH} \d{{4}})\b"
@@ -46,10 +55,18 @@ def blanks(blocks: DataFrame) -> DataFrame:
 
 
 def definitions(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, term, meaning, how): terms that are said to mean something, and parties in brackets."""
-    said = blocks.where(F.col("text").rlike(MEANS)).select("doc_id", "idx", F.regexp_extract("text", MEANS, 1).alias("term"), F.regexp_extract("text", MEANS, 2).alias("meaning"), F.lit("means").alias("how"))
-    named = blocks.select("doc_id", "idx", F.explode(all_of(F.col("text"), PARENTHESIS, 1)).alias("term"), F.lit(None).cast("string").alias("meaning"), F.lit("brackets").alias("how"))
-    return said.unionByName(named)
+    """(doc_id, idx, term, meaning, how): terms that a line defines, each once, by the first of these that holds: it
+    points to the place of a definition, says what the term means, names it in brackets, by a label, or in a list."""
+    quoted = blocks.where(F.col("text").rlike('["“]'))
+    text, null = F.col("text"), F.lit(None).cast("string")
+    row = lambda rank, term, meaning=null: F.struct(term.alias("term"), F.lit(rank).alias("rank"), meaning.alias("meaning"))
+    terms = lambda rank, pattern: F.transform(all_of(text, pattern, 1), lambda t: row(rank, t))
+    meant = lambda pattern: F.zip_with(all_of(text, pattern, 1), all_of(text, pattern, 2), lambda t, m: row(2, t, m))
+    named = F.transform(F.flatten(F.transform(all_of(text, BRACKETS), lambda x: all_of(x, TERM, 1))), lambda t: row(3, t))
+    found = F.array_sort(F.concat(terms(1, POINTER), meant(MEANS), meant(SECOND), named, terms(4, LABEL), terms(5, LISTED)))
+    each = quoted.select("doc_id", "idx", F.posexplode(F.transform(F.array(found), lambda f: F.filter(f, lambda x, i: (i == 0) | (F.get(f, i - 1)["term"] != x["term"])))[0]).alias("at", "x"))
+    how = F.element_at(F.array(*map(F.lit, ("pointer", "means", "brackets", "label", "list"))), F.col("x.rank"))
+    return each.select("doc_id", "idx", "x.term", "x.meaning", how.alias("how"))
 
 
 def unused_terms(blocks: DataFrame) -> DataFrame:
@@ -127,11 +144,14 @@ def numbering(blocks: DataFrame) -> DataFrame:
 
 
 def amounts(blocks: DataFrame) -> DataFrame:
-    """Numbers in words that the figures in brackets after them contradict."""
-    both = F.arrays_zip(all_of(F.col("text"), AMOUNT, 1).alias("words"), all_of(F.col("text"), AMOUNT, 2).alias("figures"))
-    each = blocks.select("doc_id", "idx", F.inline(both)).withColumn("value", number_of(F.col("words")))
-    wrong = each.where(F.col("value").isNotNull() & (F.col("value") != F.col("figures").cast("bigint")))
-    return finding(wrong, "amount", 1, F.concat("words", F.lit(" ("), "figures", F.lit(")")), F.concat(F.lit("words say "), F.col("value").cast("string")))
+    """Numbers in words, up to billions, that the figures beside them contradict: words before figures in brackets, or
+    figures before words in brackets."""
+    lines = blocks.where(F.col("text").rlike(r"\([\da-z]"))
+    row = lambda shown, words, figures: F.struct(shown.alias("shown"), words.alias("words"), figures.alias("figures"))
+    found = F.concat(*(F.zip_with(all_of(F.col("text"), p), F.arrays_zip(all_of(F.col("text"), p, w).alias("w"), all_of(F.col("text"), p, f).alias("f")), lambda m, x: row(m, x["w"], x["f"])) for p, w, f in AMOUNT))
+    each = lines.select("doc_id", "idx", F.inline(found)).withColumn("value", number_of(F.col("words")))
+    wrong = each.where(F.col("value").isNotNull() & (F.col("value") != F.replace("figures", F.lit(","), F.lit("")).cast("bigint")))
+    return finding(wrong, "amount", 1, "shown", F.concat(F.lit("words say "), F.col("value").cast("string")))
 
 
 def currency_notation(blocks: DataFrame) -> DataFrame:

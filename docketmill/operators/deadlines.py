@@ -40,11 +40,38 @@ def anchored(blocks: DataFrame) -> DataFrame:
     return each.withColumns({"lo": lo, "hi": hi})
 
 
+def shifted(day: Column, n: Column, unit: Column) -> Column:
+    """A day so many units later; months and years end on the last day of a month that has no such day."""
+    return F.when(unit == "day", F.date_add(day, n)).when(unit == "week", F.date_add(day, n * 7)).when(unit == "month", F.add_months(day, n)).when(unit == "year", F.add_months(day, n * 12))
+
+
 def due(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, anchor, day): days due, where the period is in days or weeks and its anchor is defined as a date."""
+    """(doc_id, idx, anchor, day): days due, where the period's anchor is defined as a date."""
     fixed = checks.definitions(blocks).where("how = 'means'").select("doc_id", F.col("term").alias("anchor"), checks.date_of(F.regexp_extract("meaning", checks.DAY_FIRST, 0)).alias("from")).where("`from` is not null")
     first = fixed.groupBy("doc_id", "anchor").agg(F.min("from").alias("from"))
-    return anchored(blocks).where("lo = hi").join(first, ["doc_id", "anchor"]).select("doc_id", "idx", "anchor", F.date_add("from", F.col("lo").cast("int")).alias("day"))
+    return anchored(blocks).join(first, ["doc_id", "anchor"]).select("doc_id", "idx", "anchor", shifted(F.col("from"), F.col("n"), F.col("unit")).alias("day"))
+
+
+#: Kinds of periods by the words that tell them, in the order in which they are tried.
+KINDS = {
+    "notice": r"\bnotice\b", "renewal": r"\brenew", "cure": r"\b(?:un)?cure|\bremed", "term": r"\bterm of this|\bcontinues? for|\bremains? in force", "receipt": r"\bdeemed (?:received|served|given|delivered)",
+    "survival": r"\bsurviv", "restrictive": r"\b(?:compete|solicit|employ)\b", "claims": r"\bclaims?\b", "retention": r"\b(?:retention|escrow)\b", "review": r"\breview", "payment": r"\b(?:pay|pays|paid|payable|invoice)\b",
+    "confidentiality": r"\bconfidential", "completion": r"\b(?:complet|closing)",
+}
+
+
+def kind_of(text: Column) -> Column:
+    """The kind of a period by the words of a text; null where none tell."""
+    return F.coalesce(*(F.when(F.lower(text).rlike(p), k) for k, p in KINDS.items()))
+
+
+def classified(blocks: DataFrame) -> DataFrame:
+    """(doc_id, idx, kind, n, unit): periods with their kind, by the clause that holds them (what stands between
+    commas and semicolons), and where that tells nothing by the whole line."""
+    clauses = blocks.select("doc_id", "idx", "text", F.explode(F.split("text", "[,;]")).alias("clause"))
+    both = F.arrays_zip(all_of(F.col("clause"), PERIOD, 2).alias("n"), all_of(F.col("clause"), PERIOD, 3).alias("unit"))
+    each = clauses.select("doc_id", "idx", F.coalesce(kind_of(F.col("clause")), kind_of(F.col("text")), F.lit("period")).alias("kind"), F.inline(both))
+    return each.select("doc_id", "idx", "kind", F.col("n").cast("int").alias("n"), _unit(F.col("unit")).alias("unit"))
 
 
 def table(blocks: DataFrame) -> DataFrame:

@@ -6,19 +6,35 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketmill.functions.text import NUMBERS
+from docketmill.functions.text import NUMBERS, SCALES
 from docketmill.operators import checks, structure
 from docketmill.plans.registry import ORACLES, query
 from docketmill.plans.views import base, view
 
 MONTH = checks.MONTH
-_VALUES = ", ".join(f"('{w}', {n})" for w, n in NUMBERS.items())
 #: Shared by the oracles: lines with the number that they begin, their part and the clause in force.
 PARTED = r"""parted as (select *, last_value(nullif(regexp_extract(text, '^(Schedule \d+)\b', 1), '') ignore nulls) over (partition by doc_id order by idx) as part, try_cast(nullif(regexp_extract(text, '^(\d+)\.\s', 1), '') as int) as num from blocks),
  c as (select *, last_value(num ignore nulls) over (partition by doc_id, part order by idx) as clause from parted),
- defs as (select doc_id, idx, regexp_extract(text, '^"([^"]+)" means (.+)$', 1) as term, regexp_extract(text, '^"([^"]+)" means (.+)$', 2) as meaning from blocks where regexp_matches(text, '^"([^"]+)" means (.+)$')),
- roles as (select doc_id, idx, unnest(regexp_extract_all(text, '\((?:the|each a|together, the) "([^"]+)"\)', 1)) as term from blocks),
- terms as (select doc_id, term from defs union select doc_id, term from roles)"""
+"""
+
+
+def sql(pattern: str) -> str:
+    """A pattern within SQL's quotes."""
+    return pattern.replace("'", "''")
+
+
+def forms(lines: str = "blocks") -> str:
+    """SQL of the terms that lines define: found0 holds every form, found the first of each term of a line."""
+    q = {k: sql(getattr(checks, k)) for k in ("TERM", "MEANS", "SECOND", "POINTER", "BRACKETS", "LABEL", "LISTED")}
+    one = lambda rank, name: f"select doc_id, idx, unnest(regexp_extract_all(text, '{q[name]}', 1)) as term, {rank} as rank, cast(null as varchar) as meaning from {lines}"
+    two = lambda name: f"select doc_id, idx, unnest(regexp_extract_all(text, '{q[name]}', 1)), 2, unnest(regexp_extract_all(text, '{q[name]}', 2)) from {lines}"
+    brackets = f"select doc_id, idx, unnest(regexp_extract_all(b, '{q['TERM']}', 1)), 3, null from (select doc_id, idx, unnest(regexp_extract_all(text, '{q['BRACKETS']}')) as b from {lines})"
+    every = " union all ".join([one(1, "POINTER"), two("MEANS"), two("SECOND"), brackets, one(4, "LABEL"), one(5, "LISTED")])
+    return f"""found0 as ({every}), found as (select doc_id, idx, term, meaning, (['pointer', 'means', 'brackets', 'label', 'list'])[rank] as how from found0 qualify row_number() over (partition by doc_id, idx, term order by rank, meaning) = 1),
+ defs as (select doc_id, idx, term, meaning from found where how = 'means'), terms as (select distinct doc_id, term from found)"""
+
+
+PARTED = f"{PARTED.rstrip().rstrip(',')}, {forms()}"
 
 
 def agreements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +128,7 @@ def check_blanks(spark, sf_dir):
     return checks.blanks(lines(spark, sf_dir))
 
 
-@query(finding("select doc_id, idx, term, meaning, 'means' as how from defs union all select doc_id, idx, term, null, 'brackets' from roles"))
+@query(finding("select doc_id, idx, term, meaning, how from found"))
 def defined_terms(spark, sf_dir):
     return checks.definitions(lines(spark, sf_dir))
 
@@ -180,9 +196,26 @@ def check_numbering(spark, sf_dir):
     return checks.numbering(lines(spark, sf_dir))
 
 
-AMOUNTS = rf"""with v(word, value) as (values {_VALUES}), a0 as (select doc_id, idx, regexp_extract_all(text, '\b([a-z]+(?:-[a-z]+)?) \((\d+)\)', 1) as w, regexp_extract_all(text, '\b([a-z]+(?:-[a-z]+)?) \((\d+)\)', 2) as f from blocks),
- a as (select doc_id, idx, w[i] as words, f[i] as figures from a0, unnest(range(1, len(w) + 1)) as t(i))
- select doc_id, idx, 'amount' as kind, 1 as severity, concat(words, ' (', figures, ')') as anchor, concat('words say ', cast(value as varchar)) as note from a join v on v.word = a.words where v.value <> cast(a.figures as bigint)"""
+def value_sql(words: str) -> str:
+    """The value of a number in words by SQL: what stands before each scale is a number below a thousand."""
+    table = "map {" + ", ".join(f"'{w}': {n}" for w, n in NUMBERS.items() if "-" not in w) + "}"
+    plain = lambda x: f"coalesce(list_sum(list_transform(list_filter(regexp_split_to_array({x}, '[ -]+'), lambda w: w not in ('', 'and', 'hundred')), lambda w: {table}[w])), 0)"
+    before = lambda x: f"regexp_extract({x}, '^(.*)hundred', 1)"
+    below = lambda x: f"(case when contains({x}, 'hundred') then 100 * greatest({plain(before(x))}, 1) + {plain(f'regexp_replace({x}, {chr(39)}^.*hundred{chr(39)}, {chr(39)}{chr(39)})')} else {plain(x)} end)"
+    out, rest = [], words
+    for scale, size in SCALES.items():
+        out.append(f"(case when contains({rest}, '{scale}') then {size} * greatest({below(f'regexp_extract({rest}, {chr(39)}^(.*?){scale}{chr(39)}, 1)')}, 1) else 0 end)")
+        rest = f"regexp_replace({rest}, '^.*?{scale}', '')"
+    return f"cast({' + '.join(out)} + {below(rest)} as bigint)"
+
+
+def amounts_sql(lines: str = "blocks") -> str:
+    each = " union all ".join(f"select doc_id, idx, unnest(regexp_extract_all(text, '{p}')) as shown, unnest(regexp_extract_all(text, '{p}', {w})) as words, unnest(regexp_extract_all(text, '{p}', {f})) as figures from {lines}" for p, w, f in checks.AMOUNT)
+    return f"""with a as ({each}), v as (select *, {value_sql('words')} as value from a)
+ select doc_id, idx, 'amount' as kind, 1 as severity, shown as anchor, concat('words say ', cast(value as varchar)) as note from v where value <> cast(replace(figures, ',', '') as bigint)"""
+
+
+AMOUNTS = amounts_sql()
 
 
 @query(AMOUNTS)
@@ -324,3 +357,19 @@ EVERY = " union all ".join(f"select doc_id, idx, kind, severity, anchor, note fr
 def all_findings(spark, sf_dir):
     """Every check over every agreement."""
     return checks.run_all(kept_lines(spark, sf_dir))
+
+
+def deed_lines(spark, sf_dir):
+    return structure.blocks(view(spark, sf_dir, "deeds"))
+
+
+@query(f"with {forms('deed_lines')} select doc_id, idx, term, meaning, how from found")
+def definition_forms(spark, sf_dir):
+    """Every form of definition, over deeds that hold them all, and quoted words that define nothing."""
+    return checks.definitions(deed_lines(spark, sf_dir))
+
+
+@query(amounts_sql("deed_lines"))
+def check_written_amounts(spark, sf_dir):
+    """Words against figures, in both orders and up to millions."""
+    return checks.amounts(deed_lines(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketmill.operators import deadlines, money
-from docketmill.plans.documents import DATES, lines
+from docketmill.plans.documents import DATES, deed_lines, lines
 from docketmill.plans.registry import query
 from docketmill.plans.views import view
 
@@ -79,12 +79,33 @@ def anchored_periods(spark, sf_dir):
     return deadlines.anchored(lines(spark, sf_dir))
 
 
-@query(f"""with {ANCHORED}, d as (select doc_id, regexp_extract(text, '^"([^"]+)" means (.+)$', 1) as term, min(cast(strptime(regexp_extract(text, '\\d+ [A-Z][a-z]+ \\d{{4}}'), '%-d %B %Y') as date)) as day from blocks where regexp_matches(text, '^"([^"]+)" means \\d') group by 1, 2)
- select a.doc_id, a.idx, a.anchor, cast(d.day + cast(a.lo as int) as date) as day from a join d on d.doc_id = a.doc_id and d.term = a.anchor where a.lo = a.hi""")
+def due_sql(lines: str) -> str:
+    """SQL of days due; DuckDB's months end on a month's last day, too."""
+    return f"""with {ANCHORED.replace("from blocks", f"from {lines}")}, d as (select doc_id, regexp_extract(text, '"([^"]+)" means', 1) as term, min(cast(strptime(regexp_extract(text, '\\d+ [A-Z][a-z]+ \\d{{4}}'), '%-d %B %Y') as date)) as day from {lines} where regexp_matches(text, '"[^"]+" means \\d') group by 1, 2)
+ select a.doc_id, a.idx, a.anchor, cast(case a.unit when 'day' then d.day + to_days(cast(a.n as int)) when 'week' then d.day + to_days(cast(7 * a.n as int)) when 'month' then d.day + to_months(cast(a.n as int)) else d.day + to_months(cast(12 * a.n as int)) end as date) as day from a join d on d.doc_id = a.doc_id and d.term = a.anchor"""
+
+
+@query(due_sql("blocks"))
 def days_due(spark, sf_dir):
     return deadlines.due(lines(spark, sf_dir))
 
 
+@query(due_sql("deed_lines"))
+def months_due(spark, sf_dir):
+    """Days due over deeds, whose periods are in months, too, and whose dates lie at the ends of months."""
+    return deadlines.due(deed_lines(spark, sf_dir))
+
+
+_KINDS = " ".join(f"when regexp_matches(lower(X), '{p}') then '{k}'" for k, p in deadlines.KINDS.items())
+
+
+@query(rf"""with c as (select doc_id, idx, text, unnest(regexp_split_to_array(text, '[,;]')) as clause from deed_lines),
+ p as (select doc_id, idx, case {_KINDS.replace('X', 'clause')} {_KINDS.replace('X', 'text')} else 'period' end as kind, unnest(regexp_extract_all(clause, '{deadlines.PERIOD}', 2)) as n, unnest(regexp_extract_all(clause, '{deadlines.PERIOD}', 3)) as unit from c)
+ select doc_id, idx, kind, cast(n as int) as n, regexp_replace(unit, 's$', '') as unit from p""")
+def kinds_of_periods(spark, sf_dir):
+    return deadlines.classified(deed_lines(spark, sf_dir))
+
+
 TABLE = f"""{DATES}, {PERIODS}, tab as (select doc_id, idx, 'date' as kind, anchor as what, day, cast(null as double) as lo, cast(null as double) as hi from dates union all select doc_id, idx, 'period', concat(cast(n as varchar), ' ', unit), null, lo, hi from p)"""
 
 
