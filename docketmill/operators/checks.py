@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,7 +260,17 @@ def capped(findings: DataFrame, most: int = PER_KIND) -> DataFrame:
 def run_all(blocks: DataFrame, checks: list = CHECKS) -> DataFrame:
     """Every check, first findings only, capped by kind. Each check reads the blocks anew: persist them where making
     them costs more than reading them back. Kept blocks stay dealt out by document."""
-    return capped(deduplicated(reduce(DataFrame.union, (c(blocks) for c in checks))))
+    return capped(deduplicated(reduce(DataFrame.union, (tried(c, blocks) for c in checks))))
+
+
+def tried(check, blocks: DataFrame) -> DataFrame:
+    """A check's findings; where it can't be set up over these blocks, one finding that says so, and the others go on."""
+    try:
+        return check(blocks).select(*FINDING)
+    except PySparkException as e:
+        schema = "idx int, kind string, severity int, anchor string, note string"
+        failed = blocks.sparkSession.createDataFrame([(None, "not checked", 2, check.__name__, type(e).__name__)], schema)
+        return failed.select(F.lit(None).cast(dict(blocks.dtypes).get("doc_id", "bigint")).alias("doc_id"), *FINDING[1:])
 
 
 def verdicts(findings: DataFrame, docs: DataFrame) -> DataFrame:

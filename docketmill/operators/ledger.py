@@ -207,3 +207,41 @@ def left_open(events: DataFrame, opening: str, closing: str, before: Column) ->
     """Jobs whose last opening event lies before a time and has no closing event after it."""
     last = events.groupBy("job_id").agg(F.max(F.when(F.col("step") == opening, F.col("ts"))).alias("opened"), F.max(F.when(F.col("step") == closing, F.col("ts"))).alias("closed"))
     return last.where(F.col("opened").isNotNull() & (F.col("opened") < before) & (F.col("closed").isNull() | (F.col("closed") < F.col("opened")))).select("job_id", "opened")
+
+
+def matters_of_clients(links: DataFrame, seen: DataFrame) -> DataFrame:
+    """(client, matter): matters linked to a client (client, matter), and those seen anywhere (matter) that carry a
+    client's number before a hyphen and are linked to no other client."""
+    linked = links.select(F.lower("client").alias("client"), F.lower("matter").alias("matter"))
+    free = seen.select(F.lower("matter").alias("matter")).where("matter <> ''").distinct().join(linked.select("matter"), "matter", "left_anti")
+    numbered = free.select(F.regexp_extract("matter", r"^([a-z0-9]+)-\d+$", 1).alias("client"), "matter").where("client <> ''")
+    return linked.union(numbered.join(linked.select("client").distinct(), "client", "left_semi")).distinct()
+
+
+def expired_closings(closings: DataFrame, pages: DataFrame, cutoff: Column) -> DataFrame:
+    """(closing_id, n_pages): closings (closing_id, updated_at) without activity since a time, and how many signed
+    pages (closing_id) go with each."""
+    old = closings.where(F.col("updated_at") < cutoff).select("closing_id")
+    held = pages.groupBy("closing_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    return old.join(held, "closing_id", "left").select("closing_id", F.coalesce("n_pages", F.lit(0)).cast("bigint").alias("n_pages"))
+
+
+def archived(kept: DataFrame, arrivals: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that an archive has to take in: of arrivals that share a key the one with the least `seq`, and none whose
+    key is kept already, so that a replay adds nothing."""
+    w = Window.partitionBy(*keys).orderBy("seq")
+    first = arrivals.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return first.join(kept.select(*keys), keys, "left_anti")
+
+
+def access_log(reads: DataFrame, kept: DataFrame) -> DataFrame:
+    """(reader, msg_id, at, found): every read of the archive (reader, msg_id, at) is logged, whether or not it is there."""
+    there = kept.select("msg_id").distinct().withColumn("__there", F.lit(True))
+    return reads.join(there, "msg_id", "left").select("reader", "msg_id", "at", F.col("__there").isNotNull().alias("found"))
+
+
+def notices_due(jobs: DataFrame, after: int = 600) -> DataFrame:
+    """(job_id, due): when a slow job's notice is due: so many seconds after its start; none for jobs without a model to
+    wait for, or on a document that was sent already."""
+    owed = F.col("model") & (F.col("entry") != "sent") & F.lit(after > 0)
+    return jobs.select("job_id", F.when(owed, F.col("started") + F.make_dt_interval(secs=F.lit(after))).alias("due"))

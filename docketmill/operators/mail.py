@@ -162,3 +162,50 @@ def quote_found(quote: Column, text: Column) -> Column:
 def conversations_by_stem(files: DataFrame) -> DataFrame:
     """(stem, n, first, last): messages whose attachments are versions of one document."""
     return files.withColumn("stem", stem_of(F.col("filename"))).groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.min("msg_id").alias("first"), F.max("msg_id").alias("last"))
+
+
+#: What a note says was taken out, up to a word or mark that ends the phrase.
+REMOVED = r"\b(?:removed|deleted|took out|taken out|struck out) (?:the )?([a-z][a-z ]*?)(?: (?:clause|wording|language|from|as|and|per|so)\b|[.,;:!?]|$)"
+
+
+def removals_still_there(notes: DataFrame) -> DataFrame:
+    """(msg_id, phrase): phrases of two words or more that a note (msg_id, body, doc) says were taken out and that the
+    document still holds."""
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    each = notes.select("msg_id", flat(F.col("doc")).alias("doc"), F.explode(F.array_distinct(all_of(flat(F.col("body")), REMOVED, 1))).alias("phrase"))
+    return each.where((F.instr(F.trim("phrase"), " ") > 0) & (F.length(F.trim("phrase")) >= 6) & (F.instr("doc", F.trim("phrase")) > 0)).select("msg_id", F.trim("phrase").alias("phrase"))
+
+
+def clean_but_marked(notes: DataFrame) -> DataFrame:
+    """(msg_id, carries): attachments that their name or note calls clean and that carry changes or comments (notes
+    has the booleans tracked and comments)."""
+    called = F.lower("filename").rlike(r"\bclean\b") | F.lower("body").rlike(r"\bclean (?:copy|version|draft)\b")
+    carries = F.concat_ws(", ", F.when(F.col("tracked"), "changes"), F.when(F.col("comments"), "comments"))
+    return notes.where(called).select("msg_id", carries.alias("carries")).where("carries <> ''")
+
+
+def companies_not_there(notes: DataFrame, company: str) -> DataFrame:
+    """(msg_id, company): companies in the sentences that hand a document over which neither it nor its name holds.
+    Law firms (LLP) and the sender's own are left out, and documents that name no company tell nothing."""
+    own = F.regexp_replace(domain_of(bare_address(F.col("sender"))), r"\..*$", "")
+    handed = F.array_join(handed_over(F.col("body")), "\n")
+    named = notes.where(F.col("doc").rlike(company)).withColumn("__handed", handed).select("msg_id", "doc", "filename", own.alias("own"), F.inline(F.arrays_zip(all_of(F.col("__handed"), company, 1).alias("base"), all_of(F.col("__handed"), company, 2).alias("suffix"))))
+    base = F.lower(F.trim("base"))
+    there = (F.instr(F.lower("doc"), base) > 0) | (F.instr(F.lower("filename"), base) > 0)
+    theirs = F.instr(F.replace(base, F.lit(" "), F.lit("")), F.col("own")) > 0
+    return named.where(~there & ~theirs & (F.col("suffix") != "LLP")).select("msg_id", F.concat_ws(" ", F.trim("base"), "suffix").alias("company")).distinct()
+
+
+def all_checks(notes: DataFrame, checks: dict) -> DataFrame:
+    """(msg_id, kind, note): every check of messages, {kind: (function, column of the note)}. A check that can't be set
+    up over these columns is told in a row of its own, without a message, and the others go on."""
+    from pyspark.errors import PySparkException
+
+    out = None
+    for kind, (check, column) in checks.items():
+        try:
+            found = check(notes).select(F.col("msg_id").cast("bigint").alias("msg_id"), F.lit(kind).alias("kind"), F.col(column).cast("string").alias("note"))
+        except PySparkException as e:
+            found = notes.sparkSession.createDataFrame([(None, kind, f"not run: {type(e).__name__}")], "msg_id bigint, kind string, note string")
+        out = found if out is None else out.union(found)
+    return out

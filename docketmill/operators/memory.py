@@ -88,3 +88,23 @@ def introduced(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings (doc_id, kind, anchor) that a repair brought in."""
     keys = ["doc_id", "kind", "anchor"]
     return after.select(*keys).distinct().join(before.select(*keys), keys, "left_anti")
+
+
+#: Longest note, and notes that one review may leave.
+LONGEST_NOTE, MOST_NOTES = 300, 3
+
+
+def noted(notes: DataFrame) -> DataFrame:
+    """(note_id, verdict): what becomes of notes (note_id, review_id, scope, matter, client, statement) that a review
+    leaves: pending until somebody confirms it, or the first reason against it. Firm-wide notes are never taken; a
+    personal one may hold no figure and no company; a review's notes beyond MOST_NOTES are refused in their order."""
+    text = F.trim(F.coalesce("statement", F.lit("")))
+    reason = (
+        F.when(~F.col("scope").isin("personal", "client", "matter", "firm"), "no such scope").when(F.col("scope") == "firm", "firm notes come from the playbook").when((F.col("scope") == "matter") & F.col("matter").isNull(), "no matter")
+        .when((F.col("scope") == "client") & F.col("client").isNull(), "no client").when(text == "", "empty").when(F.length(text) > LONGEST_NOTE, "too long")
+        .when((F.col("scope") == "personal") & text.rlike(r"\d|\b[A-Z][a-z]+ (?:Limited|Ltd|LLP|Inc)\b"), "personal notes are of style only")
+    )
+    staged = notes.select("note_id", "review_id", reason.alias("reason"))
+    w = Window.partitionBy("review_id", F.col("reason").isNull()).orderBy("note_id")
+    over = F.col("reason").isNull() & (F.row_number().over(w) > MOST_NOTES)
+    return staged.withColumn("over", over).select("note_id", F.when(F.col("over"), "too many").otherwise(F.coalesce("reason", F.lit("pending"))).alias("verdict"))

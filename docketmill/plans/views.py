@@ -58,6 +58,12 @@ select conv_id * 100 + turn as msg_id, conv_id as thread_id, turn, concat('u', c
  concat(case when turn % 4 = 0 then 'Please find attached version 2. ' when turn % 4 = 1 then 'thanks' when turn % 4 = 2 then 'undo 1 and 3. ' else 'Schedule 2 will follow. ' end, case when turn % 4 = 1 then '' else text end) as body
  from conversations"""
 
+NOTES = """
+select conv_id * 100 + turn as msg_id, concat('u', cast(conv_id % 7 as varchar(10)), '@firm.example') as sender, case when turn % 3 = 0 then 'Deed (clean).docx' else 'Deed.docx' end as filename, turn % 2 = 0 as tracked, conv_id % 3 = 0 as comments,
+ concat(case (conv_id + turn) % 9 when 0 then 'I removed the exclusivity  period wording.' when 1 then 'We took out the long stop date, as agreed.' when 2 then 'I deleted the indemnity.' when 3 then 'Please find attached the deed with Bluewater Ports Limited.' when 4 then 'Attached is the Acme Mills Ltd deed. Harbour Bank plc asks for it.'
+  when 5 then 'The paper for Bluewater Ports Limited will follow. Find a clean copy enclosed.' when 6 then 'Enclosed for Strand LLP and Firm Holdings Limited.' else 'Struck out the non-solicit clause; see attached.' end, chr(10), 'Regards') as body,
+ concat('This deed is made between Acme Mills Limited and another. The exclusivity period', chr(10), 'runs for a year. ', case when conv_id % 2 = 0 then 'The long stop' || chr(10) || 'date is fixed. ' else '' end, 'An indemnity is given.') as doc from conversations"""
+
 OUTCOMES = """
 select event_id, ts as observed_at, concat('u', cast(user_id as varchar(10))) as user_address, cast(user_id % 5 as int) as client_id,
  concat('cat', cast(event_id % 6 as varchar(10))) as category,
@@ -77,9 +83,9 @@ select o_orderkey as doc_id, concat_ws(chr(10), '1. Definitions',
 
 AUDIT_EVENTS = "select event_id, ts, user_id % 40 as job_id, event_type as step, value from events"
 
-VIEWS = {"agreements": AGREEMENTS, "deeds": DEEDS, "versions": VERSIONS, "cells": CELLS, "mail": MAIL, "outcomes": OUTCOMES, "audit_events": AUDIT_EVENTS}
+VIEWS = {"agreements": AGREEMENTS, "deeds": DEEDS, "versions": VERSIONS, "cells": CELLS, "mail": MAIL, "notes": NOTES, "outcomes": OUTCOMES, "audit_events": AUDIT_EVENTS}
 ROWS_OF = {"agreements": ("orders", "o_orderkey", ["o_orderkey", "o_custkey"]), "deeds": ("orders", "o_orderkey", ["o_orderkey"])}
-NEEDS = {"agreements": ["orders", "customer"], "deeds": ["orders"], "versions": ["orders", "customer"], "cells": ["lineitem"], "mail": ["conversations"], "outcomes": ["events"], "audit_events": ["events"]}
+NEEDS = {"agreements": ["orders", "customer"], "deeds": ["orders"], "versions": ["orders", "customer"], "cells": ["lineitem"], "mail": ["conversations"], "notes": ["conversations"], "outcomes": ["events"], "audit_events": ["events"]}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
