@@ -17,12 +17,13 @@ def _star(edges: DataFrame, *, large: bool) -> DataFrame:
     The least neighbour is an aggregate with map-side combining and comes back by a join, so that the links of
     a node with very many neighbours are never gathered in one row, and a hot node's join can be split.
     """
-    links = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    # a > b holds for every stored edge: for small stars each node looks at its smaller neighbours only.
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    joined = links.join(least, "a")
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    # a > b holds for every stored edge: for small stars each node looks at its smaller neighbours only, for large ones
+    # the least of all neighbours goes to those above the node.
+    least = (edges.union(turned) if large else edges).groupBy("a").agg(F.min("b").alias("m"))
+    joined = (turned if large else edges).join(least, "a")
     if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        out = joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
