@@ -130,3 +130,36 @@ def test_lines_of_a_large_region_are_no_changes_of_each_other():
     for n in (50, 201):
         kinds = [c["kind"] for c in versions.aligned([f"old{chr(97 + i % 26)}{i * i}" for i in range(n)], [f"{i * 7} fresh" for i in range(n)])]
         assert sorted(kinds) == ["deleted"] * n + ["inserted"] * n
+
+
+def test_numbers_in_words_and_back(spark):
+    from pyspark.sql import functions as F
+
+    from docketmill.functions import text as T
+
+    values = [0, 1, 19, 20, 21, 99, 100, 101, 110, 999, 1000, 1001, 1100, 20_000, 100_000, 999_999, 10**6, 10**6 + 1, 2_500_000, 10**9, 999_999_999_999]
+    frame = spark.createDataFrame([(v,) for v in values], "n long")
+    rows = frame.select("n", T.in_words(F.col("n")).alias("w")).withColumn("back", T.number_of(F.col("w"))).collect()
+    assert all(r.n == r.back for r in rows), rows
+    words = {r.n: r.w for r in rows}
+    assert words[1001] == "one thousand and one" and words[2_500_000] == "two million five hundred thousand"
+    odd = spark.createDataFrame([("a hundred",), ("",), (None,), ("Thousand",), ("forty-two",)], "w string")
+    assert [r.n for r in odd.select(T.number_of(F.col("w")).alias("n")).collect()] == [None, None, None, 1000, 42]
+
+
+def test_definitions_in_every_form_and_a_broken_check(spark):
+    from docketmill.operators import checks
+
+    lines = [
+        (0, '"Day" shall mean a working day; "Fee" includes tax', [("Day", "means", "a working day"), ("Fee", "means", "tax")]),
+        (1, 'X Ltd (the "Buyer" or "Purchaser"), together the “Sellers”', [("Buyer", "brackets", None), ("Purchaser", "brackets", None), ("Sellers", "label", None)]),
+        (2, '"Loss" has the meaning given in clause 2', [("Loss", "pointer", None)]),
+        (3, '(a) "Charge":', [("Charge", "list", None)]),
+        (4, 'marked "Secret" and kept', []),
+        (5, '"A Group" or "Groups" means all', [("A Group", "means", "all"), ("Groups", "means", "all")]),
+    ]
+    frame = spark.createDataFrame([(1, i, t) for i, t, _ in lines], "doc_id long, idx int, text string")
+    got = sorted((r.idx, r.term, r.how, r.meaning) for r in checks.definitions(frame).collect())
+    assert got == sorted((i, *x) for i, _, found in lines for x in found)
+    found = checks.run_all(frame, [checks.blanks, lambda b: b.select("nothing"), checks.punctuation]).collect()
+    assert [r.kind for r in found if r.doc_id is None] == ["not checked"]
