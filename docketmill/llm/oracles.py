@@ -21,4 +21,32 @@ QUALITY = rf"""with d as (select row_number() over () as rid, doc_id, lang, sour
   join f b on b.lv = 1 and b.lang is not distinct from x.lang and b.rate = x.rate join f e on e.lv = 2 and e.rate = x.rate group by x.rid)
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and inside as kept, n_lines from c join k on k.rid = c.rid"""
 
-ORACLES = {"op8_quality": QUALITY}
+EXACT = r"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+ select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = min(doc_id) over g as kept, sha256(t) as text_sha256 from d window g as (partition by t)"""
+
+SEARCH = r"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+ q as (select item_id, t, count(*) as qn from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by all),
+ a as (select cast(sum(case when len(ts) > 0 then 1 else 0 end) as bigint) as nn, cast(sum(len(ts)) as bigint) as ll from d),
+ p as (select doc_id, t, count(*) as tf, any_value(n) as n from (select doc_id, len(ts) as n, unnest(ts) as t from d) where t in (select t from q) group by doc_id, t),
+ f as (select t, cast(floor(1000 * ln(cast(2 * nn + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from p, a group by t, nn),
+ s as (select item_id, doc_id, cast(sum(w * qn * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) as bigint) as score from q join f using (t) join p using (t), a group by item_id, doc_id)
+ select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0 qualify rank <= 10"""
+
+
+def _centroids(rounds: int = 5, centres: int = 40, size: int = 64) -> str:
+    """Each round's centres and assignment is a table of its own; SQL has no loop for an aggregate."""
+    near = "select v.vec_id, q, (select min_by(c, list_sum(list_transform(list_zip(q, p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 1000 + c) from c{i}) as c from v"
+    steps = [
+        f"v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size})",
+        f"c0 as materialized (select cast(row_number() over (order by sha256('2:' || vec_id)) - 1 as bigint) as c, q as p from v order by sha256('2:' || vec_id) limit {centres})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized ({near.format(i=i)})")
+        if i < rounds:
+            steps.append(f"m{i} as (select c, list(m order by k) as p from (select c, k, (sum(x)::bigint - ((sum(x)::bigint % count(*)) + count(*)) % count(*)) // count(*) as m from (select c, unnest(q) as x, unnest(range({size})) as k from a{i}) group by c, k) group by c)")
+            steps.append(f"c{i + 1} as materialized (select c{i}.c, coalesce(m{i}.p, c{i}.p) as p from c{i} left join m{i} on m{i}.c = c{i}.c)")
+    steps.append(f"r as (select vec_id, a{rounds}.c, cast(list_sum(list_transform(list_zip(q, p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as distance, p from a{rounds} join c{rounds} on a{rounds}.c = c{rounds}.c)")
+    return "with " + ", ".join(steps) + " select vec_id, cast(c as int) as cluster, distance, cast(sum(distance) over (partition by c) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(p, ',')) as centroid_sha256 from r"
+
+
+ORACLES = {"op8_quality": QUALITY, "op11_centroids": _centroids(), "op12_search": SEARCH, "op13_exact": EXACT}

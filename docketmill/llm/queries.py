@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketmill.llm import decontaminate, language, licenses, lm, packing, passages, quality, secrets, simhash, toxicity
+from docketmill.llm import centroids, decontaminate, exact, language, licenses, lm, packing, passages, quality, secrets, simhash, toxicity, wand
 from docketmill.llm.common import documents, table
 from docketmill.llm.oracles import ORACLES  # noqa: F401
 
@@ -65,4 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir, "doc_id", "text"), labels)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op6_language, op7_licenses, op8_quality, op9_lm, op10_toxicity)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(*centroids.clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return wand.ranked(documents(spark, sf_dir, "doc_id", "text"), items)
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(documents(spark, sf_dir, "doc_id", "text"), every_digest=True)
+    return found.select("doc_id", F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_simhash, op4_packing, op5_passages, op6_language, op7_licenses, op8_quality, op9_lm, op10_toxicity, op11_centroids, op12_search, op13_exact)}
