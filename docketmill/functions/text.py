@@ -46,11 +46,24 @@ _WORD = "(?:" + "|".join(sorted([*_ONES, *_TENS, "hundred", *SCALES], key=len, r
 IN_WORDS = rf"{_WORD}(?:(?: and |[ -]){_WORD})*"
 
 
+_below_100 = rf"(?:(?:{'|'.join(_TENS)})(?: (?:{'|'.join(_ONES[1:10])}))?|{'|'.join(reversed(_ONES[1:]))})"
+_below_1000 = rf"(?:(?:{_below_100} )?hundred(?: {_below_100})?|{_below_100})"
+#: What is a number, of words with one blank after each and without "and": each scale once and in order, a number below a
+#: thousand before each, tens before ones.
+NUMBER = "^(?:zero |" + "".join(rf"(?:(?:{_below_1000} )?{s} )?" for s in SCALES) + rf"(?:{_below_1000} )?)$"
+
+
+def number_words(words: Column) -> Column:
+    """A number's words in lower case with one blank after each, without hyphens and "and"."""
+    return F.regexp_replace(F.regexp_replace(F.concat(F.lower(F.trim(words)), F.lit(" ")), r"[\s-]+", " "), r"\band ", "")
+
+
 def number_of(words: Column) -> Column:
     """The value of a number in words, up to billions, else null: hundreds multiply what stands before them, a greater
-    scale all since the last one."""
+    scale all since the last one. Number words in a row that are no number, like nine and ten, have no value."""
     table = F.create_map(*(F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for pair in ({w: v for w, v in NUMBERS.items() if "-" not in w} | {"hundred": 100} | SCALES).items() for x in pair))
-    values = F.transform(F.filter(F.split(F.lower(F.trim(words)), r"[\s-]+"), lambda w: w != "and"), lambda w: F.try_element_at(table, w))
+    plain = number_words(words)
+    values = F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.try_element_at(table, w))
 
     def step(a: Column, v: Column) -> Column:
         above, below = v >= 1000, v < 100
@@ -59,7 +72,7 @@ def number_of(words: Column) -> Column:
 
     zero = F.lit(0).cast("bigint")
     value = F.aggregate(values, F.struct(zero.alias("all"), zero.alias("now")), step, lambda a: a["all"] + a["now"])
-    return F.when(F.forall(values, lambda v: v.isNotNull()) & (F.size(values) > 0), value)
+    return F.when(plain.rlike(NUMBER) & (F.length(plain) > 1), value)
 
 
 def in_words(n: Column) -> Column:

@@ -18,16 +18,19 @@ from docketmill.operators import structure as S
 
 FINDING = ["doc_id", "idx", "kind", "severity", "anchor", "note"]
 BLANK = r"\[[A-Z][A-Z ]*\]|_{3,}|\bTBC\b|\bTBD\b"
-#: A term in quotes, plain or typographic, and what makes it a definition: a connector after it, brackets around it, a
-#: label before it, or its place at the head of a paragraph. A pointer names the place of a definition instead.
-TERM = "[\"“]([A-Z][A-Za-z0-9 '’-]{1,60})[\"”]"
-CONNECTOR = "(?:shall mean|means?|shall include|includes?|refers? to|is defined as|ha(?:s|ve) the meanings? of)"
-MEANS = rf'{TERM}(?: (?:or|and) ["“][^"”]+["”])?,? {CONNECTOR} ([^;]+)'
-SECOND = rf'["”] (?:or|and) {TERM},? {CONNECTOR} ([^;]+)'
-POINTER = rf"{TERM} (?:shall )?ha(?:s|ve) the meanings? (?:given|set|assigned|ascribed|attributed|specified)"
-BRACKETS = r"\([^()]*\)"
-LABEL = rf"\b(?:(?:each|together|collectively|jointly|individually|severally|hereinafter|herein),? (?:(?:referred to )?as )?|(?:referred to as|called|known as|defined as) )(?:an? |the )?{TERM}"
-LISTED = rf"^\s*(?:\(?[A-Za-z0-9]{{1,4}}[.)] ?)?{TERM}\s*(?:[:–—,-]|$)"
+#: Quotation marks, and what may stand between them as a term.
+QUOTE, TERM = '["“”]', "^[A-Z][A-Za-z0-9 &'’-]{0,60}$"
+#: What stands after a term whose meaning is stated, and after one whose meaning is said to stand elsewhere.
+SAYS = r"^,?\s*(?:(?:shall|will|is to) )?(?:means?|denotes?|signif(?:y|ies)|includes?|comprises?|refers? to|ha(?:s|ve) the (?:same )?meanings?)\b"
+ELSEWHERE = r"^,?\s*(?:(?:shall|will) )?ha(?:s|ve) the (?:same )?meanings?\b[^.;]*\b(?:in|by|under)\b"
+#: What stands before a term that gives something a name: a bracket just opened, or a word of naming. Words that quote
+#: what is written somewhere give no name.
+NAMES = r"\((?:[a-z]+,? ){0,5}$|\b(?:called|named|termed|styled|known as|referred to as|together|jointly|collectively)(?: (?:the|an?|each|its))*\s*$"
+WRITTEN = r"\b(?:marked|headed|entitled|titled|stamped|words?|letters?) (?:the |an? )?$"
+#: A term at the head of a line, after its number at most, with a mark or nothing after it.
+HEAD, MARK = r"^\s*(?:\(?[A-Za-z0-9]{1,4}[.)])?\s*$", r"^\s*(?:[:–—-]|$)"
+#: What joins two terms that share what stands before the first or after the last.
+JOINED = r"^\s*,?\s*(?:or|and)\s+(?:the |an? )?$"
 PHRASE = r"\b[Tt]he ([A-Z][a-z]+(?: [A-Z][a-z]+){1,3})"
 WORD = r"\b[A-Z][a-z]{3,}\b"
 #: Words and figures of one number, in both orders: pattern, group of the words, group of the figures.
@@ -40,6 +43,7 @@ NOTATIONS = {("USD", "USD"): r"\bUSD\s?\d", ("USD", "US$"): r"US\$\s?\d", ("GBP"
 #: Company suffixes and their families: forms of one family are one kind of company.
 SUFFIXES = {"Limited": "ltd", "Ltd": "ltd", "LLP": "llp", "Inc": "inc", "Incorporated": "inc", "Corp": "corp", "Corporation": "corp", "GmbH": "gmbh", "PLC": "plc", "plc": "plc"}
 COMPANY = r"\b((?:[A-Z][A-Za-z0-9]* ){1,3})(" + "|".join(SUFFIXES) + r")\b"
+HOW = ("elsewhere", "stated", "named", "headed")
 UNUSED_FROM, PER_KIND = 12, 10
 
 
@@ -56,23 +60,34 @@ def blanks(blocks: DataFrame) -> DataFrame:
 
 
 def definitions(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, term, meaning, how): terms that a line defines, each once, by the first of these that holds: it
-    points to the place of a definition, says what the term means, names it in brackets, by a label, or in a list."""
-    quoted = blocks.where(F.col("text").rlike('["“]'))
-    text, null = F.col("text"), F.lit(None).cast("string")
-    row = lambda rank, term, meaning=null: F.struct(term.alias("term"), F.lit(rank).alias("rank"), meaning.alias("meaning"))
-    terms = lambda rank, pattern: F.transform(all_of(text, pattern, 1), lambda t: row(rank, t))
-    meant = lambda pattern: F.zip_with(all_of(text, pattern, 1), all_of(text, pattern, 2), lambda t, m: row(2, t, m))
-    named = F.transform(F.flatten(F.transform(all_of(text, BRACKETS), lambda x: all_of(x, TERM, 1))), lambda t: row(3, t))
-    found = F.array_sort(F.concat(terms(1, POINTER), meant(MEANS), meant(SECOND), named, terms(4, LABEL), terms(5, LISTED)))
-    each = quoted.select("doc_id", "idx", F.posexplode(F.transform(F.array(found), lambda f: F.filter(f, lambda x, i: (i == 0) | (F.get(f, i - 1)["term"] != x["term"])))[0]).alias("at", "x"))
-    how = F.element_at(F.array(*map(F.lit, ("pointer", "means", "brackets", "label", "list"))), F.col("x.rank"))
-    return each.select("doc_id", "idx", "x.term", "x.meaning", how.alias("how"))
+    """(doc_id, idx, term, meaning, how): terms that a line defines, each once, by what stands around it.
+
+    A line is cut at its quotation marks, so every second piece is quoted; an opened quotation that is never closed is
+    none. Of a quoted term, the pieces before and after tell how it is defined: its meaning is stated (and runs to the
+    next semicolon or quotation), stands elsewhere, is what the term names, or follows the term at the head of a line. Where
+    several hold, a place elsewhere comes first, then a stated meaning, a name, a head; of several places the first.
+    """
+    lines = blocks.where(F.col("text").rlike(QUOTE)).select("doc_id", "idx", F.split("text", QUOTE, -1).alias("p"))
+    of = lambda i: F.get("p", i.cast("int"))
+    joined = lambda x, far: F.when(x.rlike(JOINED) & far.isNotNull(), far).otherwise(x)
+
+    def told(k: Column) -> Column:
+        before, after = joined(of(2 * k), of(2 * k - 2)), joined(of(2 * k + 2), of(2 * k + 4))
+        rank = F.when(after.rlike(ELSEWHERE), 1).when(after.rlike(SAYS), 2).when(before.rlike(NAMES) & ~before.rlike(WRITTEN), 3).when(before.rlike(HEAD) & after.rlike(MARK), 4)
+        rank = F.when(of(2 * k + 1).rlike(TERM), rank)
+        return F.struct(of(2 * k + 1).alias("term"), rank.alias("rank"), k.alias("k"), F.when(rank == 2, F.trim(F.regexp_extract(after, SAYS + r"\s*([^;]*)", 1))).alias("meaning"))
+
+    pairs = F.floor((F.size("p") - 1) / 2)
+    found = F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), pairs - 1), told), lambda x: x["rank"].isNotNull())
+    sorted_ = lines.where(pairs > 0).select("doc_id", "idx", F.array_sort(found).alias("f"))
+    each = sorted_.select("doc_id", "idx", F.inline(F.filter("f", lambda x, i: (i == 0) | (F.get("f", i - 1)["term"] != x["term"]))))
+    how = F.element_at(F.array(*map(F.lit, HOW)), F.col("rank"))
+    return each.select("doc_id", "idx", "term", "meaning", how.alias("how"))
 
 
 def unused_terms(blocks: DataFrame) -> DataFrame:
     """Terms that are defined and stand nowhere else, in documents of UNUSED_FROM lines or more."""
-    defined = definitions(blocks).where("how = 'means'").select("doc_id", "term", F.col("idx").alias("at"))
+    defined = definitions(blocks).where("how = 'stated'").select("doc_id", "term", F.col("idx").alias("at"))
     sized = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= UNUSED_FROM).select("doc_id")
     used = blocks.join(defined, "doc_id").where((F.col("idx") != F.col("at")) & (F.instr(F.col("text"), F.col("term")) > 0)).select("doc_id", "term", "at").distinct()
     unused = defined.join(sized, "doc_id", "left_semi").join(used, ["doc_id", "term", "at"], "left_anti").withColumnRenamed("at", "idx")
@@ -82,7 +97,7 @@ def unused_terms(blocks: DataFrame) -> DataFrame:
 def early_terms(blocks: DataFrame, gap: int = 2) -> DataFrame:
     """Terms used `gap` or more clauses before the one that defines them."""
     c = S.with_clauses(blocks)
-    defined = definitions(blocks).where("how = 'means'").join(c.select("doc_id", "idx", F.coalesce("clause", F.lit(0)).alias("home")), ["doc_id", "idx"]).groupBy("doc_id", "term").agg(F.min("home").alias("home"))
+    defined = definitions(blocks).where("how = 'stated'").join(c.select("doc_id", "idx", F.coalesce("clause", F.lit(0)).alias("home")), ["doc_id", "idx"]).groupBy("doc_id", "term").agg(F.min("home").alias("home"))
     used = c.join(defined, "doc_id").where(F.instr(F.col("text"), F.col("term")) > 0).where(F.coalesce("clause", F.lit(0)) + gap <= F.col("home"))
     first = used.groupBy("doc_id", "term").agg(F.min("idx").alias("idx"), F.min("home").alias("home"))
     return finding(first, "early term", 2, "term", F.concat(F.lit("defined only in clause "), F.col("home").cast("string")))
@@ -91,7 +106,7 @@ def early_terms(blocks: DataFrame, gap: int = 2) -> DataFrame:
 def repeated_definitions(blocks: DataFrame) -> DataFrame:
     """Second and later definitions of a term: to the same effect, or to another."""
     w = Window.partitionBy("doc_id", "term").orderBy("idx")
-    seen = definitions(blocks).where("how = 'means'").withColumns({"n": F.row_number().over(w), "first": F.first("meaning").over(w)}).where("n > 1")
+    seen = definitions(blocks).where("how = 'stated'").withColumns({"n": F.row_number().over(w), "first": F.first("meaning").over(w)}).where("n > 1")
     same = F.lower(F.trim("meaning")) == F.lower(F.trim("first"))
     return finding(seen, "repeated definition", F.when(same, 3).otherwise(1), "term", F.when(same, "defined twice alike").otherwise("defined twice differently"))
 
@@ -105,21 +120,35 @@ def undefined_terms(blocks: DataFrame, most: int = 5) -> DataFrame:
     return finding(ranked, "undefined term", 2, "phrase", F.concat(F.lit("used "), F.col("n").cast("string"), F.lit(" times")))
 
 
+def _variants(word: Column) -> Column:
+    """A word and all that is left of it when one letter goes: two words at most one edit apart share one of these."""
+    without = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), without))
+
+
 def misspelt_terms(blocks: DataFrame) -> DataFrame:
-    """Words one edit from a defined single-word term, used once, that are no defined term themselves."""
+    """Words one edit from a defined single-word term, used once, that are no defined term themselves.
+
+    Words and terms of a document meet on what is left of them without a letter, so the work is in proportion to their
+    letters, and never all words of a document by all its terms."""
     terms = definitions(blocks).where(~F.col("term").contains(" ")).select("doc_id", "term").distinct()
     words = blocks.select("doc_id", "idx", F.explode(all_of(F.col("text"), WORD)).alias("word"))
     rare = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx")).where("n = 1")
-    near = rare.join(terms, "doc_id").where((F.levenshtein("word", "term", 1) == 1) & (F.concat("term", F.lit("s")) != F.col("word")) & (F.concat("word", F.lit("s")) != F.col("term")))
-    near = near.join(terms.withColumnRenamed("term", "word"), ["doc_id", "word"], "left_anti")
+    rare = rare.join(terms.withColumnRenamed("term", "word"), ["doc_id", "word"], "left_anti")
+    left = rare.select("doc_id", "idx", "word", F.explode(_variants(F.col("word"))).alias("variant"))
+    right = terms.select("doc_id", "term", F.explode(_variants(F.col("term"))).alias("variant"))
+    near = left.join(right, ["doc_id", "variant"]).select("doc_id", "idx", "word", "term").distinct()
+    near = near.where((F.levenshtein("word", "term", 1) == 1) & (F.concat("term", F.lit("s")) != F.col("word")) & (F.concat("word", F.lit("s")) != F.col("term")))
     return finding(near, "misspelt term", 2, "word", F.concat(F.lit("for "), F.col("term")))
 
 
 def lower_case_terms(blocks: DataFrame) -> DataFrame:
-    """Defined terms of several words in lower case."""
-    terms = definitions(blocks).where(F.col("term").contains(" ")).select("doc_id", "term").distinct()
-    met = blocks.join(terms, "doc_id").where(F.instr(F.col("text"), F.lower("term")) > 0)
-    return finding(met, "lower-case term", 3, F.lower("term"), F.concat(F.lit("for "), F.col("term")))
+    """Defined terms of several words that stand in lower case as whole words, other than in a line that defines them."""
+    defined = definitions(blocks).where(F.col("term").contains(" ")).select("doc_id", "term", "idx")
+    terms = defined.groupBy("doc_id", F.lower("term").alias("low")).agg(F.min("term").alias("term"), F.collect_set("idx").alias("at"))
+    met = blocks.join(terms, "doc_id").where(F.contains("text", "low") & ~F.array_contains("at", F.col("idx")))
+    whole = F.contains(F.concat(F.lit(" "), F.regexp_replace("text", "[^A-Za-z0-9'’-]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("low", "[^a-z0-9'’-]+", " "), F.lit(" ")))
+    return finding(met.where(whole), "lower-case term", 3, "low", F.concat(F.lit("for "), F.col("term")))
 
 
 def broken_references(blocks: DataFrame) -> DataFrame:
@@ -151,7 +180,8 @@ def amounts(blocks: DataFrame) -> DataFrame:
     row = lambda shown, words, figures: F.struct(shown.alias("shown"), words.alias("words"), figures.alias("figures"))
     found = F.concat(*(F.zip_with(all_of(F.col("text"), p), F.arrays_zip(all_of(F.col("text"), p, w).alias("w"), all_of(F.col("text"), p, f).alias("f")), lambda m, x: row(m, x["w"], x["f"])) for p, w, f in AMOUNT))
     each = lines.select("doc_id", "idx", F.inline(found)).withColumn("value", number_of(F.col("words")))
-    wrong = each.where(F.col("value").isNotNull() & (F.col("value") != F.replace("figures", F.lit(","), F.lit("")).cast("bigint")))
+    figures = F.replace("figures", F.lit(","), F.lit("")).try_cast("bigint")  # null: more than any number in words
+    wrong = each.where(F.col("value").isNotNull() & ~F.col("value").eqNullSafe(figures))
     return finding(wrong, "amount", 1, "shown", F.concat(F.lit("words say "), F.col("value").cast("string")))
 
 
@@ -229,8 +259,8 @@ def punctuation(blocks: DataFrame) -> DataFrame:
 
 def notice_and_term(blocks: DataFrame) -> DataFrame:
     """Notice periods that are longer than the term on every reading: days against months of 28 to 31 days."""
-    notice = blocks.where(F.col("text").rlike(r"\b\d+ days notice\b")).select("doc_id", "idx", F.regexp_extract("text", r"\b(\d+) days notice\b", 1).cast("int").alias("notice"))
-    term = blocks.where(F.col("text").rlike(r"\bterm of this Agreement is \d+ months\b")).select("doc_id", F.regexp_extract("text", r"term of this Agreement is (\d+) months", 1).cast("int").alias("months"))
+    notice = blocks.where(F.col("text").rlike(r"\b\d+ days notice\b")).select("doc_id", "idx", F.regexp_extract("text", r"\b(\d{1,4}) days notice\b", 1).cast("int").alias("notice"))
+    term = blocks.where(F.col("text").rlike(r"\bterm of this Agreement is \d{1,4} months\b")).select("doc_id", F.regexp_extract("text", r"term of this Agreement is (\d{1,4}) months", 1).cast("int").alias("months"))
     one = term.groupBy("doc_id").agg(F.count_distinct("months").alias("n"), F.min("months").alias("months")).where("n = 1")
     both = notice.join(one, "doc_id").where(F.col("notice") > F.col("months") * 31)
     return finding(both, "time limits", 1, F.concat(F.col("notice").cast("string"), F.lit(" days notice")), F.concat(F.lit("term is "), F.col("months").cast("string"), F.lit(" months")))

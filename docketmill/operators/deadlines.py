@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from docketmill.functions.text import all_of, number_of
 from docketmill.operators import checks
 
-PERIOD = r"\b(within|on|after|for|is) (?:[a-z-]+ \()?(\d+)\)? (days?|weeks?|months?|years?)\b"
-AFTER = r"\b(\d+)\)? (days?|weeks?|months?|years?) after (?:the )?([A-Z][A-Za-z]+(?: [A-Z][a-z]+)*|[a-z]+)"
+PERIOD = r"\b([Ww]ithin|[Oo]n|[Aa]fter|for|is) (?:[a-z-]+ \()?(\d{1,4})\)? (days?|weeks?|months?|years?)\b"
+AFTER = r"\b(\d{1,4})\)? (days?|weeks?|months?|years?) (after|from and including|beginning (?:on|with)) (?:the )?([A-Z][A-Za-z]+(?: [A-Z][a-z]+)*|[a-z]+)"
 #: Fewest and most days of a unit; a month is a range on purpose.
 DAYS = {"day": (1.0, 1.0), "week": (7.0, 7.0), "month": (28.0, 31.0), "year": (365.0, 366.0)}
 
@@ -33,45 +33,63 @@ def periods(blocks: DataFrame) -> DataFrame:
 
 
 def anchored(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, n, unit, anchor, lo, hi): periods counted from an event."""
-    three = F.arrays_zip(*(all_of(F.col("text"), AFTER, i).alias(c) for i, c in ((1, "n"), (2, "unit"), (3, "anchor"))))
-    each = blocks.select("doc_id", "idx", F.inline(three)).select("doc_id", "idx", F.col("n").cast("int").alias("n"), _unit(F.col("unit")).alias("unit"), "anchor")
+    """(doc_id, idx, n, unit, inclusive, anchor, lo, hi): periods counted from an event, whose own day counts or not. A
+    number of more than four digits is no period."""
+    four = F.arrays_zip(*(all_of(F.col("text"), AFTER, i).alias(c) for i, c in ((1, "n"), (2, "unit"), (3, "how"), (4, "anchor"))))
+    each = blocks.select("doc_id", "idx", F.inline(four)).select("doc_id", "idx", F.col("n").cast("int").alias("n"), _unit(F.col("unit")).alias("unit"), (F.col("how") != "after").alias("inclusive"), "anchor")
     lo, hi = bounds(F.col("n"), F.col("unit"))
     return each.withColumns({"lo": lo, "hi": hi})
 
 
 def shifted(day: Column, n: Column, unit: Column) -> Column:
-    """A day so many units later; months and years end on the last day of a month that has no such day."""
-    return F.when(unit == "day", F.date_add(day, n)).when(unit == "week", F.date_add(day, n * 7)).when(unit == "month", F.add_months(day, n)).when(unit == "year", F.add_months(day, n * 12))
+    """A day so many units later; months and years end on the last day of a month that has no such day. Null
+    after the year 9999."""
+    end = F.when(unit == "day", F.date_add(day, n)).when(unit == "week", F.date_add(day, n * 7)).when(unit == "month", F.add_months(day, n)).when(unit == "year", F.add_months(day, n * 12))
+    return F.when(end <= F.lit("9999-12-31").cast("date"), end)
 
 
 def due(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, anchor, day): days due, where the period's anchor is defined as a date."""
-    fixed = checks.definitions(blocks).where("how = 'means'").select("doc_id", F.col("term").alias("anchor"), checks.date_of(F.regexp_extract("meaning", checks.DAY_FIRST, 0)).alias("from")).where("`from` is not null")
+    """(doc_id, idx, anchor, day): days due, where the period's anchor is defined as a date. A period that counts its first
+    day in ends a day earlier."""
+    fixed = checks.definitions(blocks).where("how = 'stated'").select("doc_id", F.col("term").alias("anchor"), checks.date_of(F.regexp_extract("meaning", checks.DAY_FIRST, 0)).alias("from")).where("`from` is not null")
     first = fixed.groupBy("doc_id", "anchor").agg(F.min("from").alias("from"))
-    return anchored(blocks).join(first, ["doc_id", "anchor"]).select("doc_id", "idx", "anchor", shifted(F.col("from"), F.col("n"), F.col("unit")).alias("day"))
+    return anchored(blocks).join(first, ["doc_id", "anchor"]).select("doc_id", "idx", "anchor", F.date_sub(shifted(F.col("from"), F.col("n"), F.col("unit")), F.col("inclusive").cast("int")).alias("day"))
 
 
-#: Kinds of periods by the words that tell them, in the order in which they are tried.
-KINDS = {
-    "notice": r"\bnotice\b", "renewal": r"\brenew", "cure": r"\b(?:un)?cure|\bremed", "term": r"\bterm of this|\bcontinues? for|\bremains? in force", "receipt": r"\bdeemed (?:received|served|given|delivered)",
-    "survival": r"\bsurviv", "restrictive": r"\b(?:compete|solicit|employ)\b", "claims": r"\bclaims?\b", "retention": r"\b(?:retention|escrow)\b", "review": r"\breview", "payment": r"\b(?:pay|pays|paid|payable|invoice)\b",
-    "confidentiality": r"\bconfidential", "completion": r"\b(?:complet|closing)",
+#: Kinds of periods, and the beginnings of the words that tell them: what clauses about time are headed, and their verbs.
+CUES = {
+    "payment": ["pay", "due", "invoic", "instal", "remit"], "ending": ["terminat", "notice", "rescind"], "duration": ["term", "continu", "last", "in force"], "extension": ["renew", "extend", "extension"],
+    "remedy": ["remed", "cure", "rectif", "put right"], "service": ["deemed", "served", "deliver", "post"], "survival": ["surviv", "outlast"], "restraint": ["compet", "solicit", "poach", "employ"],
+    "claim": ["claim", "warrant", "indemn"], "holdback": ["retention", "retain", "escrow", "withh"], "secrecy": ["confiden", "secre", "disclos"], "closing": ["complet", "clos", "settle"], "review": ["review", "audit", "inspect"],
 }
+ANY_CUE = r"\b(" + "|".join(w for ws in CUES.values() for w in ws) + ")"
+#: The last cue of what stands before a period with all before it, what stands before the first cue after one.
+LAST_CUE, FIRST_CUE, OWN_SENTENCE = (rf"^.*{ANY_CUE}", rf"^(.*?){ANY_CUE}", ("[^.;]*$", "^[^.;]*"))
 
 
-def kind_of(text: Column) -> Column:
-    """The kind of a period by the words of a text; null where none tell."""
-    return F.coalesce(*(F.when(F.lower(text).rlike(p), k) for k, p in KINDS.items()))
+def kind_of(before: Column, after: Column) -> Column:
+    """The kind that the cue nearest to a period tells, of equally near ones the one before it; null without a cue."""
+    before, after = F.lower(before), F.lower(after)
+    last, first = F.regexp_extract(before, LAST_CUE, 1), F.regexp_extract(after, FIRST_CUE, 2)
+    behind = F.length(before) - F.length(F.regexp_extract(before, LAST_CUE, 0))
+    ahead = F.length(F.regexp_extract(after, FIRST_CUE, 1))
+    cue = F.when((last != "") & ((first == "") | (behind <= ahead)), last).otherwise(first)
+    return F.coalesce(*(F.when(cue.isin(ws), k) for k, ws in CUES.items()))
 
 
 def classified(blocks: DataFrame) -> DataFrame:
-    """(doc_id, idx, kind, n, unit): periods with their kind, by the clause that holds them (what stands between
-    commas and semicolons), and where that tells nothing by the whole line."""
-    clauses = blocks.select("doc_id", "idx", "text", F.explode(F.split("text", "[,;]")).alias("clause"))
-    both = F.arrays_zip(all_of(F.col("clause"), PERIOD, 2).alias("n"), all_of(F.col("clause"), PERIOD, 3).alias("unit"))
-    each = clauses.select("doc_id", "idx", F.coalesce(kind_of(F.col("clause")), kind_of(F.col("text")), F.lit("period")).alias("kind"), F.inline(both))
-    return each.select("doc_id", "idx", "kind", F.col("n").cast("int").alias("n"), _unit(F.col("unit")).alias("unit"))
+    """(doc_id, idx, kind, n, unit): periods with their kind, told by the nearest cue of their sentence, and where that
+    has none by the nearest of the line. A line is cut at its periods, so what stands between two is before one and
+    after the other."""
+    marked = F.split(F.regexp_replace("text", PERIOD, "\x01$2 $3\x01"), "\x01", -1)
+    lines = blocks.where(F.col("text").rlike(PERIOD)).select("doc_id", "idx", marked.alias("p"))
+    pairs = F.floor((F.size("p") - 1) / 2)
+    of = lambda i: F.get("p", i.cast("int"))
+    each = lines.select("doc_id", "idx", F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), pairs - 1), lambda k: F.struct(of(2 * k).alias("before"), of(2 * k + 1).alias("period"), of(2 * k + 2).alias("after")))))
+    inner = [F.regexp_extract(c, p, 0) for c, p in zip(("before", "after"), OWN_SENTENCE, strict=True)]
+    kind = F.coalesce(kind_of(*inner), kind_of(F.col("before"), F.col("after")), F.lit("period"))
+    n, unit = F.substring_index("period", " ", 1).cast("int"), F.substring_index("period", " ", -1)
+    return each.select("doc_id", "idx", kind.alias("kind"), n.alias("n"), _unit(unit).alias("unit"))
 
 
 def table(blocks: DataFrame) -> DataFrame:

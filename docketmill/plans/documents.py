@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketmill.functions.text import NUMBERS, SCALES
+from docketmill.functions.text import NUMBER, NUMBERS, SCALES
 from docketmill.operators import checks, structure
 from docketmill.plans.registry import ORACLES, query
 from docketmill.plans.views import base, view
@@ -24,14 +24,13 @@ def sql(pattern: str) -> str:
 
 
 def forms(lines: str = "blocks") -> str:
-    """SQL of the terms that lines define: found0 holds every form, found the first of each term of a line."""
-    q = {k: sql(getattr(checks, k)) for k in ("TERM", "MEANS", "SECOND", "POINTER", "BRACKETS", "LABEL", "LISTED")}
-    one = lambda rank, name: f"select doc_id, idx, unnest(regexp_extract_all(text, '{q[name]}', 1)) as term, {rank} as rank, cast(null as varchar) as meaning from {lines}"
-    two = lambda name: f"select doc_id, idx, unnest(regexp_extract_all(text, '{q[name]}', 1)), 2, unnest(regexp_extract_all(text, '{q[name]}', 2)) from {lines}"
-    brackets = f"select doc_id, idx, unnest(regexp_extract_all(b, '{q['TERM']}', 1)), 3, null from (select doc_id, idx, unnest(regexp_extract_all(text, '{q['BRACKETS']}')) as b from {lines})"
-    every = " union all ".join([one(1, "POINTER"), two("MEANS"), two("SECOND"), brackets, one(4, "LABEL"), one(5, "LISTED")])
-    return f"""found0 as ({every}), found as (select doc_id, idx, term, meaning, (['pointer', 'means', 'brackets', 'label', 'list'])[rank] as how from found0 qualify row_number() over (partition by doc_id, idx, term order by rank, meaning) = 1),
- defs as (select doc_id, idx, term, meaning from found where how = 'means'), terms as (select distinct doc_id, term from found)"""
+    """SQL of the terms that lines define: found has the first place of each term of a line."""
+    q = {k: sql(getattr(checks, k)) for k in ("QUOTE", "TERM", "SAYS", "ELSEWHERE", "NAMES", "WRITTEN", "HEAD", "MARK", "JOINED")}
+    return rf"""q0 as (select doc_id, idx, regexp_split_to_array(text, '{q['QUOTE']}') as p from {lines} where regexp_matches(text, '{q['QUOTE']}')),
+ q1 as (select doc_id, idx, k, p[2 * k] as term, case when regexp_matches(p[2 * k - 1], '{q['JOINED']}') and k > 1 then p[2 * k - 3] else p[2 * k - 1] end as b, case when regexp_matches(p[2 * k + 1], '{q['JOINED']}') and len(p) >= 2 * k + 3 then p[2 * k + 3] else p[2 * k + 1] end as a from q0, unnest(range(1, (len(p) - 1) // 2 + 1)) as t(k)),
+ q2 as (select *, case when regexp_matches(a, '{q['ELSEWHERE']}') then 1 when regexp_matches(a, '{q['SAYS']}') then 2 when regexp_matches(b, '{q['NAMES']}') and not regexp_matches(b, '{q['WRITTEN']}') then 3 when regexp_matches(b, '{q['HEAD']}') and regexp_matches(a, '{q['MARK']}') then 4 end as rank from q1 where regexp_matches(term, '{q['TERM']}')),
+ found as (select doc_id, idx, term, case when rank = 2 then trim(regexp_extract(a, '{q['SAYS']}\s*([^;]*)', 1)) end as meaning, (['elsewhere', 'stated', 'named', 'headed'])[rank] as how from q2 where rank is not null qualify row_number() over (partition by doc_id, idx, term order by rank, k) = 1),
+ defs as (select doc_id, idx, term, meaning from found where how = 'stated'), terms as (select distinct doc_id, term from found)"""
 
 
 PARTED = f"{PARTED.rstrip().rstrip(',')}, {forms()}"
@@ -106,7 +105,7 @@ def renumbered_clauses(spark, sf_dir):
  a as (select distinct doc_id, term as anchor from defs) select a.doc_id, a.anchor, arg_min(label, idx) as label from a join l on a.doc_id = l.doc_id and instr(l.text, a.anchor) > 0 group by 1, 2""")
 def anchor_labels(spark, sf_dir):
     b = lines(spark, sf_dir)
-    return structure.first_place(b, checks.definitions(b).where("how = 'means'").select("doc_id", F.col("term").alias("anchor")).distinct())
+    return structure.first_place(b, checks.definitions(b).where("how = 'stated'").select("doc_id", F.col("term").alias("anchor")).distinct())
 
 
 @query(r"""with b as (select *, lag(text) over (partition by doc_id order by idx) as before from blocks),
@@ -169,7 +168,11 @@ def check_misspelt_terms(spark, sf_dir):
     return checks.misspelt_terms(lines(spark, sf_dir))
 
 
-@query(finding("select b.doc_id, b.idx, 'lower-case term' as kind, 3 as severity, lower(term) as anchor, concat('for ', term) as note from blocks b join (select distinct * from terms where contains(term, ' ')) t on t.doc_id = b.doc_id and instr(b.text, lower(term)) > 0"))
+SPACED = "concat(' ', regexp_replace({x}, '[^A-Za-z0-9''’-]+', ' ', 'g'), ' ')"
+
+
+@query(finding(f""", low as (select doc_id, lower(term) as low, min(term) as term, list(idx) as places from found where contains(term, ' ') group by 1, 2)
+ select b.doc_id, b.idx, 'lower-case term' as kind, 3 as severity, low as anchor, concat('for ', term) as note from blocks b join low on low.doc_id = b.doc_id where contains(b.text, low) and not list_contains(places, b.idx) and contains({SPACED.format(x='b.text')}, {SPACED.format(x='low')})"""))
 def check_lower_case_terms(spark, sf_dir):
     return checks.lower_case_terms(lines(spark, sf_dir))
 
@@ -197,22 +200,24 @@ def check_numbering(spark, sf_dir):
 
 
 def value_sql(words: str) -> str:
-    """The value of a number in words by SQL: what stands before each scale is a number below a thousand."""
+    """The value of a number in words by SQL: what stands before each scale is a number below a thousand; null for words in
+    a row that are no number."""
     table = "map {" + ", ".join(f"'{w}': {n}" for w, n in NUMBERS.items() if "-" not in w) + "}"
-    plain = lambda x: f"coalesce(list_sum(list_transform(list_filter(regexp_split_to_array({x}, '[ -]+'), lambda w: w not in ('', 'and', 'hundred')), lambda w: {table}[w])), 0)"
+    named = f"regexp_replace(regexp_replace(concat(lower(trim({words})), ' '), '[\\s-]+', ' ', 'g'), '\\band ', '', 'g')"
+    plain = lambda x: f"coalesce(list_sum(list_transform(list_filter(string_split({x}, ' '), lambda w: w not in ('', 'hundred')), lambda w: {table}[w])), 0)"
     before = lambda x: f"regexp_extract({x}, '^(.*)hundred', 1)"
     below = lambda x: f"(case when contains({x}, 'hundred') then 100 * greatest({plain(before(x))}, 1) + {plain(f'regexp_replace({x}, {chr(39)}^.*hundred{chr(39)}, {chr(39)}{chr(39)})')} else {plain(x)} end)"
-    out, rest = [], words
+    out, rest = [], named
     for scale, size in SCALES.items():
         out.append(f"(case when contains({rest}, '{scale}') then {size} * greatest({below(f'regexp_extract({rest}, {chr(39)}^(.*?){scale}{chr(39)}, 1)')}, 1) else 0 end)")
         rest = f"regexp_replace({rest}, '^.*?{scale}', '')"
-    return f"cast({' + '.join(out)} + {below(rest)} as bigint)"
+    return f"case when regexp_matches({named}, '{NUMBER}') then cast({' + '.join(out)} + {below(rest)} as bigint) end"
 
 
 def amounts_sql(lines: str = "blocks") -> str:
     each = " union all ".join(f"select doc_id, idx, unnest(regexp_extract_all(text, '{p}')) as shown, unnest(regexp_extract_all(text, '{p}', {w})) as words, unnest(regexp_extract_all(text, '{p}', {f})) as figures from {lines}" for p, w, f in checks.AMOUNT)
     return f"""with a as ({each}), v as (select *, {value_sql('words')} as value from a)
- select doc_id, idx, 'amount' as kind, 1 as severity, shown as anchor, concat('words say ', cast(value as varchar)) as note from v where value <> cast(replace(figures, ',', '') as bigint)"""
+ select doc_id, idx, 'amount' as kind, 1 as severity, shown as anchor, concat('words say ', cast(value as varchar)) as note from v where value is not null and value is distinct from try_cast(replace(figures, ',', '') as bigint)"""
 
 
 AMOUNTS = amounts_sql()
@@ -302,7 +307,7 @@ def prose_punctuation(spark, sf_dir):
     return checks.punctuation(structure.blocks(base(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-@query(r"""select n.doc_id, n.idx, 'time limits' as kind, 1 as severity, concat(regexp_extract(n.text, '\b(\d+) days notice\b', 1), ' days notice') as anchor, 'term is 12 months' as note from blocks n where regexp_matches(n.text, '\b\d+ days notice\b') and cast(regexp_extract(n.text, '\b(\d+) days notice\b', 1) as int) > 12 * 31""")
+@query(r"""select n.doc_id, n.idx, 'time limits' as kind, 1 as severity, concat(regexp_extract(n.text, '\b(\d{1,4}) days notice\b', 1), ' days notice') as anchor, 'term is 12 months' as note from blocks n where regexp_matches(n.text, '\b\d{1,4} days notice\b') and cast(regexp_extract(n.text, '\b(\d{1,4}) days notice\b', 1) as int) > 12 * 31""")
 def check_time_limits(spark, sf_dir):
     return checks.notice_and_term(lines(spark, sf_dir))
 

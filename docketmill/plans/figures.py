@@ -65,8 +65,8 @@ PERIOD, AFTER = deadlines.PERIOD, deadlines.AFTER
 LO, HI = (f"cast(case u when 'day' then n when 'week' then n * 7 when 'month' then n * {m} when 'year' then n * {y} end as double)" for m, y in ((28, 365), (31, 366)))
 PERIODS = rf"""p0 as (select doc_id, idx, regexp_extract_all(text, '{PERIOD}', 2) as a, regexp_extract_all(text, '{PERIOD}', 3) as b from blocks),
  p1 as (select doc_id, idx, cast(i - 1 as int) as at, cast(a[i] as int) as n, regexp_replace(b[i], 's$', '') as u from p0, unnest(range(1, len(a) + 1)) as t(i)), p as (select p1.* exclude (u), u as unit, {LO} as lo, {HI} as hi from p1)"""
-ANCHORED = rf"""a0 as (select doc_id, idx, regexp_extract_all(text, '{AFTER}', 1) as a, regexp_extract_all(text, '{AFTER}', 2) as b, regexp_extract_all(text, '{AFTER}', 3) as c from blocks),
- a1 as (select doc_id, idx, cast(a[i] as int) as n, regexp_replace(b[i], 's$', '') as u, c[i] as anchor from a0, unnest(range(1, len(a) + 1)) as t(i)), a as (select doc_id, idx, n, u as unit, anchor, {LO} as lo, {HI} as hi from a1)"""
+ANCHORED = rf"""a0 as (select doc_id, idx, regexp_extract_all(text, '{AFTER}', 1) as a, regexp_extract_all(text, '{AFTER}', 2) as b, regexp_extract_all(text, '{AFTER}', 3) as h, regexp_extract_all(text, '{AFTER}', 4) as c from blocks),
+ a1 as (select doc_id, idx, cast(a[i] as int) as n, regexp_replace(b[i], 's$', '') as u, h[i] <> 'after' as inclusive, c[i] as anchor from a0, unnest(range(1, len(a) + 1)) as t(i)), a as (select doc_id, idx, n, u as unit, inclusive, anchor, {LO} as lo, {HI} as hi from a1)"""
 
 
 @query(f"with {PERIODS} select * from p")
@@ -82,7 +82,7 @@ def anchored_periods(spark, sf_dir):
 def due_sql(lines: str) -> str:
     """SQL of days due; DuckDB's months end on a month's last day, too."""
     return f"""with {ANCHORED.replace("from blocks", f"from {lines}")}, d as (select doc_id, regexp_extract(text, '"([^"]+)" means', 1) as term, min(cast(strptime(regexp_extract(text, '\\d+ [A-Z][a-z]+ \\d{{4}}'), '%-d %B %Y') as date)) as day from {lines} where regexp_matches(text, '"[^"]+" means \\d') group by 1, 2)
- select a.doc_id, a.idx, a.anchor, cast(case a.unit when 'day' then d.day + to_days(cast(a.n as int)) when 'week' then d.day + to_days(cast(7 * a.n as int)) when 'month' then d.day + to_months(cast(a.n as int)) else d.day + to_months(cast(12 * a.n as int)) end as date) as day from a join d on d.doc_id = a.doc_id and d.term = a.anchor"""
+ select a.doc_id, a.idx, a.anchor, cast(case a.unit when 'day' then d.day + to_days(cast(a.n as int)) when 'week' then d.day + to_days(cast(7 * a.n as int)) when 'month' then d.day + to_months(cast(a.n as int)) else d.day + to_months(cast(12 * a.n as int)) end as date) - case when a.inclusive then 1 else 0 end as day from a join d on d.doc_id = a.doc_id and d.term = a.anchor"""
 
 
 @query(due_sql("blocks"))
@@ -96,12 +96,17 @@ def months_due(spark, sf_dir):
     return deadlines.due(deed_lines(spark, sf_dir))
 
 
-_KINDS = " ".join(f"when regexp_matches(lower(X), '{p}') then '{k}'" for k, p in deadlines.KINDS.items())
+def _kind(before: str, after: str) -> str:
+    last, first = f"regexp_extract(lower({before}), '{deadlines.LAST_CUE}', 1)", f"regexp_extract(lower({after}), '{deadlines.FIRST_CUE}', 2)"
+    behind, ahead = f"length({before}) - length(regexp_extract(lower({before}), '{deadlines.LAST_CUE}'))", f"length(regexp_extract(lower({after}), '{deadlines.FIRST_CUE}', 1))"
+    told = " ".join(f"when cue in ({', '.join(repr(w) for w in ws)}) then '{k}'" for k, ws in deadlines.CUES.items())
+    return f"(select case {told} end from (select case when {last} <> '' and ({first} = '' or {behind} <= {ahead}) then {last} else {first} end as cue))"
 
 
-@query(rf"""with c as (select doc_id, idx, text, unnest(regexp_split_to_array(text, '[,;]')) as clause from deed_lines),
- p as (select doc_id, idx, case {_KINDS.replace('X', 'clause')} {_KINDS.replace('X', 'text')} else 'period' end as kind, unnest(regexp_extract_all(clause, '{deadlines.PERIOD}', 2)) as n, unnest(regexp_extract_all(clause, '{deadlines.PERIOD}', 3)) as unit from c)
- select doc_id, idx, kind, cast(n as int) as n, regexp_replace(unit, 's$', '') as unit from p""")
+@query(rf"""with m as (select doc_id, idx, string_split(regexp_replace(text, '{PERIOD}', chr(1) || '\2 \3' || chr(1), 'g'), chr(1)) as p from deed_lines where regexp_matches(text, '{PERIOD}')),
+ e as (select doc_id, idx, p[2 * k - 1] as b, p[2 * k] as period, p[2 * k + 1] as a from m, unnest(range(1, (len(p) - 1) // 2 + 1)) as t(k)),
+ o as (select *, regexp_extract(b, '{deadlines.OWN_SENTENCE[0]}') as ob, regexp_extract(a, '{deadlines.OWN_SENTENCE[1]}') as oa from e)
+ select doc_id, idx, coalesce({_kind('ob', 'oa')}, {_kind('b', 'a')}, 'period') as kind, cast(split_part(period, ' ', 1) as int) as n, regexp_replace(split_part(period, ' ', 2), 's$', '') as unit from o""")
 def kinds_of_periods(spark, sf_dir):
     return deadlines.classified(deed_lines(spark, sf_dir))
 

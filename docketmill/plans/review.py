@@ -11,7 +11,7 @@ from docketmill.functions import secure
 from docketmill.operators import checks, memory, report, signing
 from docketmill.operators.structure import blocks
 from docketmill.plans.compare import CHANGED, pairs
-from docketmill.plans.documents import AMOUNTS, BLANKS, FEW, FIRSTS, agreements, finding, lines
+from docketmill.plans.documents import amounts_sql, BLANKS, FEW, FIRSTS, agreements, finding, lines
 from docketmill.plans.registry import query
 from docketmill.plans.views import base, view
 
@@ -238,10 +238,12 @@ def plan_disagreements(spark, sf_dir):
     return memory.disagreements(a, b, "msg_id", ["mode", "file"])
 
 
-NEW_AMOUNTS = AMOUNTS.replace("from blocks", "from vb").replace("with v(", "with vb as (select doc_id, 0 as idx, unnest(string_split(text, chr(10))) as text from versions where ver = 'v2'), v(")
+def _amounts_of(version: str) -> str:
+    """SQL of the amounts found in the lines of one version."""
+    return amounts_sql(f"(select doc_id, 0 as idx, unnest(string_split(text, chr(10))) as text from versions where ver = '{version}')")
 
 
-@query(f"select distinct doc_id, kind, anchor from ({NEW_AMOUNTS}) where doc_id % 7 <> 0")
+@query(f"select distinct doc_id, kind, anchor from ({_amounts_of('v2')}) n where not exists (select 1 from ({_amounts_of('v1')}) o where o.doc_id = n.doc_id and o.kind = n.kind and o.anchor = n.anchor)")
 def introduced_findings(spark, sf_dir):
     p = pairs(spark, sf_dir)
     of = lambda c: checks.amounts(blocks(p.select("doc_id", F.col(c).alias("text"))))

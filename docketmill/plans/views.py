@@ -71,12 +71,12 @@ select event_id, ts as observed_at, concat('u', cast(user_id as varchar(10))) as
 
 DEEDS = """
 select o_orderkey as doc_id, concat_ws(chr(10), '1. Definitions',
- case o_orderkey % 11 when 0 then '"Business Day" shall mean a day on which banks are open.' when 1 then 'In this deed “Fee” includes any tax; "Rate" means four per cent.' when 2 then '"Losses" has the meaning given in clause 9.'
+ case o_orderkey % 13 when 11 then 'In this deed "Fee" means tax. "Rate" means four per cent.' when 12 then 'Papers stamped "Secret" and the house known as the "Lodge" are not let; "Old Lodge", which' when 0 then '"Business Day" shall mean a day on which banks are open.' when 1 then 'In this deed “Fee” includes any tax; "Rate" means four per cent.' when 2 then '"Losses" has the meaning given in clause 9.'
   when 3 then 'North Ltd (the "Buyer" or "Purchaser") and the sellers, together the "Sellers", agree.' when 4 then '(a) "Charges" – the sums in the table' when 5 then 'Papers marked "Confidential" are kept.' when 6 then '"Group" or "Group Companies" means the company and its subsidiaries.'
   when 7 then 'Hereinafter referred to as the “Lender”, the bank may assign.' when 8 then '"Deposit":' when 9 then 'The word (each a "Share", and "Shares" means all of them) is used.' else '"Fee" refers to the sum in (the "Fee" letter).' end,
- case o_orderkey % 9 when 0 then 'The price is one hundred and fifty thousand (150,000) pounds.' when 1 then 'The price is one hundred and fifty thousand (15,000) pounds.' when 2 then 'It pays 2,500,000 (two million five hundred thousand) euros.' when 3 then 'It pays 250 (two hundred and five) euros.'
+ case o_orderkey % 12 when 9 then 'Fee of seven (123456789012345678901234) pounds.' when 10 then 'Between nine and ten (10) years, or two hundred hundred (7).' when 11 then 'A sum of nineteen hundred (1,900) pounds.' when 0 then 'The price is one hundred and fifty thousand (150,000) pounds.' when 1 then 'The price is one hundred and fifty thousand (15,000) pounds.' when 2 then 'It pays 2,500,000 (two million five hundred thousand) euros.' when 3 then 'It pays 250 (two hundred and five) euros.'
   when 4 then 'Within twenty-one (12) days.' when 5 then 'A cap of three billion and one (3,000,000,001).' when 6 then 'A cap of thousand (1000) and hundred (10).' when 7 then 'Seven (7) of seventy-seven (77), eleven (12).' else 'In total ninety (90) per cent.' end,
- case o_orderkey % 13 when 0 then 'The term of this deed continues for 24 months.' when 1 then 'Either party may end it on 3 months notice.' when 2 then 'A breach not remedied within 14 days ends it.' when 3 then 'The invoice is paid within 30 days after the Start Date.'
+ case o_orderkey % 17 when 13 then 'Within 99999999999 days nothing happens.' when 14 then 'It lasts for 10 days from and including the Start Date.' when 15 then 'Bills are sent; after 5 weeks the seller may rescind, and within 2 days pay.' when 16 then 'He is on 2 years beginning with the Start Date bound not to disclose it.' when 0 then 'The term of this deed continues for 24 months.' when 1 then 'Either party may end it on 3 months notice.' when 2 then 'A breach not remedied within 14 days ends it.' when 3 then 'The invoice is paid within 30 days after the Start Date.'
   when 4 then 'It renews for 12 months at a time.' when 5 then 'A letter is deemed received on 2 days after posting.' when 6 then 'Clause 4 survives for 2 years.' when 7 then 'Nobody shall compete for 18 months.' when 8 then 'Claims are made within 6 months after the Start Date.'
   when 9 then 'The retention is held for 1 year.' when 10 then 'Confidential papers are kept for 5 years.' when 11 then 'Completion is on 1 month after the Start Date.' else 'The hall is open for 3 weeks.' end,
  concat('"Start Date" means ', case o_orderkey % 4 when 0 then '31 January 2027' when 1 then '29 February 2028' when 2 then '30 August 2026' else '1 March 2026' end, '.')) as text from orders"""

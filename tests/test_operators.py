@@ -51,7 +51,7 @@ def test_early_terms_need_the_gap(spark):
 
 
 def test_number_words(spark):
-    row = spark.range(1).select(*(T.number_of(F.lit(w)).alias(w) for w in ("zero", "Ninety-Nine", "twenty", "gazillion")), T.in_words(F.lit(100)).alias("over")).first()
+    row = spark.range(1).select(*(T.number_of(F.lit(w)).alias(w) for w in ("zero", "Ninety-Nine", "twenty", "gazillion")), T.in_words(F.lit(10**12)).alias("over")).first()
     assert (row["zero"], row["Ninety-Nine"], row["twenty"], row["gazillion"], row["over"]) == (0, 99, 20, None, None)
 
 
@@ -143,23 +143,51 @@ def test_numbers_in_words_and_back(spark):
     assert all(r.n == r.back for r in rows), rows
     words = {r.n: r.w for r in rows}
     assert words[1001] == "one thousand and one" and words[2_500_000] == "two million five hundred thousand"
-    odd = spark.createDataFrame([("a hundred",), ("",), (None,), ("Thousand",), ("forty-two",)], "w string")
-    assert [r.n for r in odd.select(T.number_of(F.col("w")).alias("n")).collect()] == [None, None, None, 1000, 42]
+    odd = spark.createDataFrame([("a hundred",), ("",), (None,), ("Thousand",), ("forty-two",), ("nine and ten",), ("billion billion",), ("ten twenty",), ("one thousand two million",), ("nineteen hundred",), ("zero zero",)], "w string")
+    assert [r.n for r in odd.select(T.number_of(F.col("w")).alias("n")).collect()] == [None, None, None, 1000, 42, None, None, None, None, 1900, None]
 
 
 def test_definitions_in_every_form_and_a_broken_check(spark):
     from docketmill.operators import checks
 
     lines = [
-        (0, '"Day" shall mean a working day; "Fee" includes tax', [("Day", "means", "a working day"), ("Fee", "means", "tax")]),
-        (1, 'X Ltd (the "Buyer" or "Purchaser"), together the “Sellers”', [("Buyer", "brackets", None), ("Purchaser", "brackets", None), ("Sellers", "label", None)]),
-        (2, '"Loss" has the meaning given in clause 2', [("Loss", "pointer", None)]),
-        (3, '(a) "Charge":', [("Charge", "list", None)]),
-        (4, 'marked "Secret" and kept', []),
-        (5, '"A Group" or "Groups" means all', [("A Group", "means", "all"), ("Groups", "means", "all")]),
+        (0, '"Day" shall mean a working day; "Fee" includes tax', [("Day", "stated", "a working day"), ("Fee", "stated", "tax")]),
+        (1, 'X Ltd (the "Buyer" or "Purchaser"), together the “Sellers”', [("Buyer", "named", None), ("Purchaser", "named", None), ("Sellers", "named", None)]),
+        (2, '"Loss" has the meaning given in clause 2', [("Loss", "elsewhere", None)]),
+        (3, '(a) "Charge":', [("Charge", "headed", None)]),
+        (4, 'marked "Secret" and kept, "Open" is never closed: "Rate', []),
+        (5, '"A Group" or "Groups" means all', [("A Group", "stated", "all"), ("Groups", "stated", "all")]),
+        (6, 'In this deed "Fee" means tax. "Rate" means four per cent.', [("Fee", "stated", "tax."), ("Rate", "stated", "four per cent.")]),
+        (7, 'The "Fee" and (stamped "Paid") are shown; "fee" means nothing', []),
+        (8, '"Fee" means a sum (the "Fee")', [("Fee", "stated", "a sum (the")]),
     ]
     frame = spark.createDataFrame([(1, i, t) for i, t, _ in lines], "doc_id long, idx int, text string")
     got = sorted((r.idx, r.term, r.how, r.meaning) for r in checks.definitions(frame).collect())
     assert got == sorted((i, *x) for i, _, found in lines for x in found)
     found = checks.run_all(frame, [checks.blanks, lambda b: b.select("nothing"), checks.punctuation]).collect()
     assert [r.kind for r in found if r.doc_id is None] == ["not checked"]
+
+
+def test_kinds_are_told_by_the_nearest_cue(spark):
+    b = blocks(spark, "Bills are sent; after 5 weeks the seller may rescind, and within 2 days pay.", "The fee is due within 3 days. Claims are made on 4 weeks.", "Within 6 days all is done; a review follows.", "It is on 7 days.", "Within 99999999999 days pay.")
+    got = sorted((r.idx, r.n, r.kind) for r in deadlines.classified(b).collect())
+    assert got == [(0, 2, "payment"), (0, 5, "ending"), (1, 3, "payment"), (1, 4, "claim"), (2, 6, "review"), (3, 7, "period")]
+
+
+def test_periods_that_count_their_first_day_and_none_beyond_the_calendar(spark):
+    b = blocks(spark, '"Start" means 1 March 2026.', "Pay 10 days after the Start.", "Pay 10 days from and including the Start.", "Pay 9999 years after the Start.", "Pay 123456 days after the Start.", "Pay 1 month beginning with the Start.")
+    assert sorted((r.idx, str(r.day)) for r in deadlines.due(b).collect()) == [(1, "2026-03-11"), (2, "2026-03-10"), (3, "None"), (5, "2026-03-31")]
+
+
+def test_terms_one_letter_off(spark):
+    from docketmill.operators import checks
+
+    b = blocks(spark, '"Seller" means A. "Goods" means B.', "The Sellar, the Selle, the Sellers and the Selleer.", "The Goods, the Godos and Gooda.")
+    assert sorted(r.anchor for r in checks.misspelt_terms(b).collect()) == ["Gooda", "Sellar", "Selle", "Selleer"]
+
+
+def test_lower_case_terms_are_whole_words_outside_their_definition(spark):
+    from docketmill.operators import checks
+
+    b = blocks(spark, '"Trade Mark" means any trade mark.', "A trade mark is used.", "The trade markets.", "A Trade Mark.", None)
+    assert [(r.idx, r.anchor) for r in checks.lower_case_terms(b).collect()] == [(1, "trade mark")]
