@@ -16,7 +16,7 @@ from docketmill.llm.common import remainder, slices
 
 UNKNOWN = "und"
 HELD_OUT = 4, 2
-#: Bounded training sample: documents of each language, and the longest of them in characters.
+#: Bounded training sample: documents of each language, and the characters of one that it has at most.
 SAMPLE, LONGEST_SAMPLE = 1500, 20_000
 #: Characters that have numbers of their own, beside the edge of a word and any other character.
 CHARACTERS = 62
@@ -158,9 +158,13 @@ class Predictor:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fitted on a bounded sample: about `sample` documents of each language by a hash of the key, of at most
-    LONGEST_SAMPLE characters, whole; none that is held out or has no language; one row of each key."""
-    read = docs.where((remainder(key, HELD_OUT[0]) != HELD_OUT[1]) & F.col(lang).isNotNull() & (F.length(text) <= LONGEST_SAMPLE)).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    """Fitted on a bounded sample: about `sample` documents of each language by a hash of the key, none that is held out or
+    has no language; one row of each key. Of a text of more than LONGEST_SAMPLE characters the sample has a stretch of
+    so many, whose place a hash of key and length tells, so no language is left out for the length of its texts."""
+    key_, spare = F.col(key).cast("bigint"), F.greatest(F.length(text) - LONGEST_SAMPLE, F.lit(0))
+    start = F.pmod(F.xxhash64(key_, F.length(text)), (spare + 1).cast("bigint")).cast("int") + 1
+    labelled = docs.where((remainder(key, HELD_OUT[0]) != HELD_OUT[1]) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    read = labelled.select(key_.alias("k"), F.substring(text, start, F.lit(LONGEST_SAMPLE)).alias("t"), F.col(lang).cast("string").alias("l"))
     sizes = {r.l: r["count"] for r in read.groupBy("l").count().collect()}
     chosen = F.lit(False)
     for name, n in sizes.items():

@@ -20,7 +20,7 @@ from docketmill.llm.common import cut, slices
 NAMES = {
     "Apache-2.0": ["the Apache License, Version 2.0"], "MIT": ["the MIT License"], "BSD-2-Clause": ["the BSD 2-Clause License"], "BSD-3-Clause": ["the BSD 3-Clause License"],
     "ISC": ["the ISC License"], "MPL-2.0": ["the Mozilla Public License, version 2.0"], "GPL-2.0": ["the GNU General Public License, version 2"], "GPL-3.0": ["the GNU General Public License, version 3"],
-    "LGPL-3.0": ["the GNU Lesser General Public License, version 3"], "AGPL-3.0": ["the GNU Affero General Public License, version 3"], "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1"], "LGPL-3.0": ["the GNU Lesser General Public License, version 3"], "AGPL-3.0": ["the GNU Affero General Public License, version 3"], "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"], "CC-BY-NC-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC0-1.0": ["CC0 1.0"], "Unlicense": ["the Unlicense"],
 }
@@ -37,23 +37,29 @@ PARAGRAPHS = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
-    "BSD-3-Clause": [
+    "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "GPL-2.0": ["free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "GPL-2.0": ["free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
     "GPL-3.0": ["free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "LGPL-2.1": ["free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
     "LGPL-3.0": ["free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"],
     "AGPL-3.0": ["free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "Unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
+#: Licences whose paragraphs are all of another's, too, which has more: a paragraph of the first counts for the other
+#: where the text also holds what only the other has, or names it.
+WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
 #: What texts are compared with.
 TEMPLATES = {k: [*(f"{verb} {name}" for name in names for verb in VERBS), f"SPDX-License-Identifier: {k}", *PARAGRAPHS.get(k, [])] for k, names in NAMES.items()}
 #: Names of licence files, without their ending and in lower case.
@@ -105,6 +111,7 @@ class Detector:
     def __init__(self, idf: dict[str, float], least: float = COSINE):
         self.idf, self.least = idf, least
         self.templates = [(name, self.vector(found), len(found)) for name, notices in TEMPLATES.items() for n in notices if (found := terms(n))]
+        self.shared = {k for k, (name, n) in enumerate((name, n) for name, notices in TEMPLATES.items() for n in notices if terms(n)) if name in WITHIN and n in PARAGRAPHS[name]}
         self.at = {t: i + 1 for i, t in enumerate(sorted(VOCABULARY))}  # 0: any other term
         self.squares = np.array([idf[""] ** 2, *(idf.get(t, idf[""]) ** 2 for t in self.at)])
         self.mass = np.zeros((len(self.templates), len(self.at) + 1))  # share of a template's squared norm by term
@@ -163,16 +170,20 @@ class Detector:
                     if words not in known:  # the same words again and again are scored once
                         known[words] = round(self.cosine(k, list(words[1:])), 9)
                     if known[words] >= self.least:
-                        scored.append((-known[words], place[0] - place[1], place[0], self.templates[k][0], place[1]))
+                        scored.append((-known[words], place[0] - place[1], place[0], self.templates[k][0], place[1], k in self.shared))
                     if len(known) > SCORES_KEPT:
                         known.clear()
         taken: list[tuple[int, int]] = []
-        out = []
-        for score, _, a, name, b in sorted(scored):
+        kept = []
+        for score, _, a, name, b, shared in sorted(scored):
             i = bisect_left(taken, (a, b))
-            if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b):
-                continue
-            taken.insert(i, (a, b))
+            if not ((i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < b)):
+                taken.insert(i, (a, b))
+                kept.append((score, a, name, b, shared))
+        only, out = {name for *_, name, _, shared in kept if not shared}, []
+        for score, a, name, b, shared in kept:
+            if shared and WITHIN[name] in only and name not in only:
+                name = WITHIN[name]
             s, e = int(begins[a]), found[b - 1].end()
             out.append({"license": name, "score": min(1.0, -score), "start": s, "end": e, "words": len(text[s:e].split())})
         return sorted(out, key=lambda x: x["start"])

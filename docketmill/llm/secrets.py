@@ -258,11 +258,13 @@ def _without(text: Column, spans: Column, mark: str) -> Column:
 
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[redacted]") -> DataFrame:
     """The rows of `docs`, all columns, with each secret of the text replaced by a mark; spans that overlap or
-    touch get one mark. Null texts stay null. The texts are read twice, for the thresholds and for the rest, and
+    touch get one mark. Null texts stay null, and no column of the rows is written over, whatever its name. The texts are read twice, for the thresholds and for the rest, and
     never shuffled or joined."""
     whole = F.coalesce(F.col(text), F.lit(""))
     tested = cut(docs.select(battery(occurrences(whole, TOKEN)).alias("tested")))
-    own = lambda name: f"__docketmill_{name}"
+    taken = {c.lower() for c in docs.columns}
+    prefix = next(p for i in range(len(taken) + 1) if not any(c.startswith(p := f"found_{i}_") for c in taken))
+    own = lambda name: f"{prefix}{name}"
     staged = docs.withColumns({own("tested"): battery(occurrences(whole, TOKEN)), own("least"): discoveries(tested)})
     staged = staged.withColumn(own("spans"), F.array_sort(F.concat(*(F.transform(base_spans(whole, kind), _place) for kind in KINDS), _found(own("least"), own("tested")))))
 

@@ -67,3 +67,10 @@ def test_empty_table_and_clashing_columns(none, clashing, docs):
     assert rows(clashing) == rows(docs)
     assert {r.lang_pred for r in language.identify(docs, lang="source").collect()} <= {"a", "b", "c", "und"}
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).where("doc_id = 3")).collect()} == {"und"}
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    long, short = "le chat mange la souris et la nuit tombe sur la ville ", "the cat eats the mouse and night falls over the town "
+    rows = [(i, long * 500 if i % 2 else short, "fr" if i % 2 else "en") for i in range(60)]
+    found = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("fr" if r.doc_id % 2 else "en") for r in found)

@@ -145,3 +145,18 @@ def test_clashing_columns(clashing, docs):
 
     rows = lambda d: sorted(map(str, licenses.scan(d.withColumn("path", F.col("source"))).collect()))
     assert rows(clashing.withColumns({c: F.lit(1) for c in ("directory", "named", "found", "best", "license", "of")})) == rows(docs)
+
+
+def test_members_of_a_family_are_told_apart():
+    idf = dict.fromkeys(licenses.VOCABULARY, 1.0) | {"": 1.0}
+    find = licenses.Detector(idf)
+    shared = licenses.PARAGRAPHS["BSD-2-Clause"]
+    numbered = "1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce it.\n"
+    two = f"{shared[0]}:\n\n{numbered}\n{shared[1]}"
+    three = f"{shared[0]}:\n\n{numbered}3. {licenses.PARAGRAPHS['BSD-3-Clause'][0]}\n\n{shared[1]}"
+    names = lambda text: {x["license"] for x in find(text)}
+    assert names(two) == {"BSD-2-Clause"} and names(three) == {"BSD-3-Clause"}
+    assert names(f"Licensed under the BSD 3-Clause License.\n\n{two}") == {"BSD-3-Clause"}
+    gnu = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = {"LGPL-2.1": ("Lesser General Public License", "2.1"), "GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
+    assert {k: names(gnu.format(*v)) for k, v in cases.items()} == {k: {k} for k in cases}

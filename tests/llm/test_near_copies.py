@@ -31,7 +31,7 @@ def test_stage_takes_edited_copies_and_leaves_others(spark):
     assert sum(b > 2 for b in bits) > 20
 
 
-@pytest.mark.parametrize("stars", [near_copies.STAR_ROUNDS, 30])
+@pytest.mark.parametrize("stars", [3, near_copies.STAR_ROUNDS, 30])
 def test_groups_against_brute_force(spark, monkeypatch, stars):
     monkeypatch.setattr(near_copies, "STAR_ROUNDS", stars)
     rnd = random.Random(8)
