@@ -73,8 +73,10 @@ def kind_of(before: Column, after: Column) -> Column:
     last, first = F.regexp_extract(before, LAST_CUE, 1), F.regexp_extract(after, FIRST_CUE, 2)
     behind = F.length(before) - F.length(F.regexp_extract(before, LAST_CUE, 0))
     ahead = F.length(F.regexp_extract(after, FIRST_CUE, 1))
-    cue = F.when((last != "") & ((first == "") | (behind <= ahead)), last).otherwise(first)
-    return F.coalesce(*(F.when(cue.isin(ws), k) for k, ws in CUES.items()))
+    cue = lambda far, place, word: F.struct(far.alias("far"), F.lit(place).alias("place"), F.nullif(word, F.lit("")).alias("cue"))
+    near = F.array_min(F.filter(F.array(cue(behind, 0, last), cue(ahead, 1, first)), lambda x: x["cue"].isNotNull()))
+    kinds = F.create_map(*(F.lit(x) for k, ws in CUES.items() for w in ws for x in (w, k)))
+    return F.try_element_at(kinds, near["cue"])
 
 
 def classified(blocks: DataFrame) -> DataFrame:

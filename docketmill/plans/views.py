@@ -81,11 +81,27 @@ select o_orderkey as doc_id, concat_ws(chr(10), '1. Definitions',
   when 9 then 'The retention is held for 1 year.' when 10 then 'Confidential papers are kept for 5 years.' when 11 then 'Completion is on 1 month after the Start Date.' else 'The hall is open for 3 weeks.' end,
  concat('"Start Date" means ', case o_orderkey % 4 when 0 then '31 January 2027' when 1 then '29 February 2028' when 2 then '30 August 2026' else '1 March 2026' end, '.')) as text from orders"""
 
+TIMES = """
+select o_orderkey as doc_id, concat_ws(chr(10), 'This Deed is dated 3 March 2026.',
+ concat('"Completion Date" means ', case when o_orderkey % 9 = 0 then '1 March 2026' else '10 April 2026' end, '.'),
+ concat('"Long Stop Date" means ', case o_orderkey % 7 when 0 then '1 February 2026' when 1 then '1 April 2026' when 2 then '2 May 2026' else '30 September 2026' end, '.'),
+ '"Handover" means 30 days after the Completion Date.',
+ concat('"Release" means ', case when o_orderkey % 8 = 0 then '2 months before' else '1 month after' end, ' the Handover.'),
+ case when o_orderkey % 19 = 0 then concat('"Opening" means 5 days after the Handover.', chr(10), '"Opening" means 9 days after the Handover.') when o_orderkey % 19 = 1 then concat('"Opening" means 1 month after the Handover.', chr(10), '"Opening" means 30 days after the Handover.') else '"Opening" means 7 days after the Release.' end,
+ '1. Claims', concat('A claim is made within ', case o_orderkey % 11 when 0 then '6 months' when 1 then '360 days' else '18 months' end, ' after the Completion Date.'),
+ 'The retention is paid out 12 months after the Completion Date.',
+ '2. Ending', concat('Either party may terminate on ', case when o_orderkey % 6 = 0 then '4 weeks' else '90 days' end, ' notice.'),
+ concat('A breach is cured within ', case when o_orderkey % 3 = 0 then '60 days' else '14 days' end, '.'),
+ '3. Review', 'The price is reviewed, and faults are cured within 300 days.',
+ concat('The Initial Term is ', case when o_orderkey % 5 = 0 then '52 weeks' else '12 months' end, '. The Second Period lasts 2 years.'),
+ concat('Notice is given ', case o_orderkey % 13 when 0 then '400 days' when 1 then '350 days' else '60 days' end, ' before the end of the Initial Term.'),
+ case o_orderkey % 17 when 0 then 'An Initial Term of 24 months applies.' when 1 then 'An Initial Term of 1 year applies.' else 'Nothing else applies.' end) as text from orders"""
+
 AUDIT_EVENTS = "select event_id, ts, user_id % 40 as job_id, event_type as step, value from events"
 
-VIEWS = {"agreements": AGREEMENTS, "deeds": DEEDS, "versions": VERSIONS, "cells": CELLS, "mail": MAIL, "notes": NOTES, "outcomes": OUTCOMES, "audit_events": AUDIT_EVENTS}
-ROWS_OF = {"agreements": ("orders", "o_orderkey", ["o_orderkey", "o_custkey"]), "deeds": ("orders", "o_orderkey", ["o_orderkey"])}
-NEEDS = {"agreements": ["orders", "customer"], "deeds": ["orders"], "versions": ["orders", "customer"], "cells": ["lineitem"], "mail": ["conversations"], "notes": ["conversations"], "outcomes": ["events"], "audit_events": ["events"]}
+VIEWS = {"agreements": AGREEMENTS, "deeds": DEEDS, "times": TIMES, "versions": VERSIONS, "cells": CELLS, "mail": MAIL, "notes": NOTES, "outcomes": OUTCOMES, "audit_events": AUDIT_EVENTS}
+ROWS_OF = {"agreements": ("orders", "o_orderkey", ["o_orderkey", "o_custkey"]), "deeds": ("orders", "o_orderkey", ["o_orderkey"]), "times": ("orders", "o_orderkey", ["o_orderkey"])}
+NEEDS = {"agreements": ["orders", "customer"], "deeds": ["orders"], "times": ["orders"], "versions": ["orders", "customer"], "cells": ["lineitem"], "mail": ["conversations"], "notes": ["conversations"], "outcomes": ["events"], "audit_events": ["events"]}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,9 +129,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_views(sql: str) -> str:
-    """DuckDB SQL with the views that it names put in front, and their lines: blocks of agreements, deed_lines of deeds."""
+    """DuckDB SQL with the views that it names put in front, and their lines: blocks of agreements, deed_lines of deeds, time_lines
+    of times."""
     lines = "select doc_id, cast(i - 1 as int) as idx, parts[i] as text from (select doc_id, string_split(text, chr(10)) as parts from agreements), unnest(range(1, len(parts) + 1)) as t(i)"
-    every = VIEWS | {"blocks": lines, "deed_lines": lines.replace("from agreements", "from deeds")}
+    every = VIEWS | {"blocks": lines, "deed_lines": lines.replace("from agreements", "from deeds"), "time_lines": lines.replace("from agreements", "from times")}
     wanted: list[str] = []
 
     def want(text: str) -> None:
@@ -129,4 +146,6 @@ def with_views(sql: str) -> str:
     if not wanted:
         return sql
     front = ", ".join(f"{n} as ({every[n]})" for n in wanted)
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {front}, {sql[15:]}"
     return f"with {front}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {front} {sql}"
