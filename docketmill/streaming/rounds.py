@@ -21,59 +21,83 @@ _EVENT = "event_id long, us long, kind string, clause string, outcome string"
 _POINT = "clause string, status string"
 
 
-class Rounds(StatefulProcessor):
-    """Holds a thread's events back until the watermark has passed them, as they may arrive in any order, then folds them in
-    the order of their times. State: the events that wait, the open points, and the number of the round."""
+class Ordered(StatefulProcessor):
+    """Holds a key's events back until the watermark has passed them, as they may arrive in any order, and folds them in the
+    order of their times. Events that come after the watermark has passed them are refused. State: the events that
+    wait, and what fold() keeps."""
+
+    columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _EVENT)
-        self.points = handle.getMapState("points", "point_id long", _POINT)
-        self.round = handle.getValueState("round", "n int")
+
+    def fold(self, key: tuple, events: list[tuple], passed: int) -> tuple[list[tuple], int | None]:
+        """The rows that these events (event_id, us, kind, clause, outcome) give, and when to look at the key again at the
+        latest, in milliseconds. `passed` is the watermark; without events, something was to be looked at."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed, first = timerValues.getCurrentWatermarkInMs(), None
         for frame in rows:
             for r in frame.itertuples(index=False):
                 us = int(r.us)
-                if us // 1000 <= passed:  # too late: what it would change has been settled
+                if us // 1000 <= passed:  # too late: what it would change has been told
                     continue
                 self.waiting.appendValue((int(r.event_id), us, r.kind, r.clause, r.outcome))
                 first = us // 1000 if first is None else min(first, us // 1000)
         if first is not None:
             self.handle.registerTimer(first)
-        yield pd.DataFrame(columns=["thread_id", "round", "point_id", "status"])
+        yield pd.DataFrame(columns=list(self.columns))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        passed = timerValues.getCurrentWatermarkInMs()
         events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: (e[1], e[0])) if self.waiting.exists() else []
         due, rest = [e for e in events if e[1] // 1000 <= passed], [e for e in events if e[1] // 1000 > passed]
+        out, again = self.fold(key, due, passed)
         if due:
-            number = self.round.get()[0] if self.round.exists() else 1
-            points = {k[0]: tuple(v) for k, v in self.points.iterator()} if self.points.exists() else {}
-            for event, _, kind, clause, outcome in due:
-                if kind == "raise":
-                    points[event] = (clause, "silent")
-                elif kind == "heard":
-                    points = {p: (c, outcome if c == clause else s) for p, (c, s) in points.items()}
-                elif kind == "close":
-                    out += [(key[0], number, p, s) for p, (_, s) in sorted(points.items())]
-                    points, number = {p: x for p, x in points.items() if x[1] not in DONE}, number + 1
-            self.points.clear()
-            for p, x in points.items():
-                self.points.updateValue((p,), x)
-            self.round.update((number,))
             self.waiting.clear()
             if rest:
                 self.waiting.put(rest)
-        if rest:
-            self.handle.registerTimer(rest[0][1] // 1000)
-        yield pd.DataFrame(out, columns=["thread_id", "round", "point_id", "status"])
+        for at in {rest[0][1] // 1000 if rest else None, again} - {None}:
+            self.handle.registerTimer(at)
+        yield pd.DataFrame(out, columns=list(self.columns))
 
     def close(self) -> None:
         pass
 
 
+class Rounds(Ordered):
+    """State besides: the open points, and the number of the round."""
+
+    columns = ("thread_id", "round", "point_id", "status")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.points = handle.getMapState("points", "point_id long", _POINT)
+        self.round = handle.getValueState("round", "n int")
+
+    def fold(self, key: tuple, events: list[tuple], passed: int) -> tuple[list[tuple], int | None]:
+        out: list[tuple] = []
+        if not events:
+            return out, None
+        number = self.round.get()[0] if self.round.exists() else 1
+        points = {k[0]: tuple(v) for k, v in self.points.iterator()} if self.points.exists() else {}
+        for event, _, kind, clause, outcome in events:
+            if kind == "raise":
+                points[event] = (clause, "silent")
+            elif kind == "heard":
+                points = {p: (c, outcome if c == clause else s) for p, (c, s) in points.items()}
+            elif kind == "close":
+                out += [(key[0], number, p, s) for p, (_, s) in sorted(points.items())]
+                points, number = {p: x for p, x in points.items() if x[1] not in DONE}, number + 1
+        self.points.clear()
+        for p, x in points.items():
+            self.points.updateValue((p,), x)
+        self.round.update((number,))
+        return out, None
+
+
 def session(spark: SparkSession) -> SparkSession:
     """A session of its own, with the state store that settled() needs; the given one keeps its settings."""
     own = spark.newSession()
