@@ -85,37 +85,41 @@ def definitions(blocks: DataFrame) -> DataFrame:
     return each.select("doc_id", "idx", "term", "meaning", how.alias("how"))
 
 
-def unused_terms(blocks: DataFrame) -> DataFrame:
+def _defined(blocks: DataFrame, defined: DataFrame | None) -> DataFrame:
+    return definitions(blocks) if defined is None else defined
+
+
+def unused_terms(blocks: DataFrame, *, defined: DataFrame | None = None) -> DataFrame:
     """Terms that are defined and stand nowhere else, in documents of UNUSED_FROM lines or more."""
-    defined = definitions(blocks).where("how = 'stated'").select("doc_id", "term", F.col("idx").alias("at"))
+    own = _defined(blocks, defined).where("how = 'stated'").select("doc_id", "term", F.col("idx").alias("at"))
     sized = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= UNUSED_FROM).select("doc_id")
-    used = blocks.join(defined, "doc_id").where((F.col("idx") != F.col("at")) & (F.instr(F.col("text"), F.col("term")) > 0)).select("doc_id", "term", "at").distinct()
-    unused = defined.join(sized, "doc_id", "left_semi").join(used, ["doc_id", "term", "at"], "left_anti").withColumnRenamed("at", "idx")
+    used = blocks.join(own, "doc_id").where((F.col("idx") != F.col("at")) & (F.instr(F.col("text"), F.col("term")) > 0)).select("doc_id", "term", "at").distinct()
+    unused = own.join(sized, "doc_id", "left_semi").join(used, ["doc_id", "term", "at"], "left_anti").withColumnRenamed("at", "idx")
     return finding(unused, "unused term", 3, "term", F.lit("defined but never used"))
 
 
-def early_terms(blocks: DataFrame, gap: int = 2) -> DataFrame:
+def early_terms(blocks: DataFrame, gap: int = 2, *, defined: DataFrame | None = None) -> DataFrame:
     """Terms used `gap` or more clauses before the one that defines them."""
     c = S.with_clauses(blocks)
-    defined = definitions(blocks).where("how = 'stated'").join(c.select("doc_id", "idx", F.coalesce("clause", F.lit(0)).alias("home")), ["doc_id", "idx"]).groupBy("doc_id", "term").agg(F.min("home").alias("home"))
-    used = c.join(defined, "doc_id").where(F.instr(F.col("text"), F.col("term")) > 0).where(F.coalesce("clause", F.lit(0)) + gap <= F.col("home"))
+    own = _defined(blocks, defined).where("how = 'stated'").join(c.select("doc_id", "idx", F.coalesce("clause", F.lit(0)).alias("home")), ["doc_id", "idx"]).groupBy("doc_id", "term").agg(F.min("home").alias("home"))
+    used = c.join(own, "doc_id").where(F.instr(F.col("text"), F.col("term")) > 0).where(F.coalesce("clause", F.lit(0)) + gap <= F.col("home"))
     first = used.groupBy("doc_id", "term").agg(F.min("idx").alias("idx"), F.min("home").alias("home"))
     return finding(first, "early term", 2, "term", F.concat(F.lit("defined only in clause "), F.col("home").cast("string")))
 
 
-def repeated_definitions(blocks: DataFrame) -> DataFrame:
+def repeated_definitions(blocks: DataFrame, *, defined: DataFrame | None = None) -> DataFrame:
     """Second and later definitions of a term: to the same effect, or to another."""
     w = Window.partitionBy("doc_id", "term").orderBy("idx")
-    seen = definitions(blocks).where("how = 'stated'").withColumns({"n": F.row_number().over(w), "first": F.first("meaning").over(w)}).where("n > 1")
+    seen = _defined(blocks, defined).where("how = 'stated'").withColumns({"n": F.row_number().over(w), "first": F.first("meaning").over(w)}).where("n > 1")
     same = F.lower(F.trim("meaning")) == F.lower(F.trim("first"))
     return finding(seen, "repeated definition", F.when(same, 3).otherwise(1), "term", F.when(same, "defined twice alike").otherwise("defined twice differently"))
 
 
-def undefined_terms(blocks: DataFrame, most: int = 5) -> DataFrame:
+def undefined_terms(blocks: DataFrame, most: int = 5, *, defined: DataFrame | None = None) -> DataFrame:
     """Capitalised phrases that come up twice or more after an article and are not defined."""
     each = blocks.select("doc_id", "idx", F.explode(all_of(F.col("text"), PHRASE, 1)).alias("phrase"))
     often = each.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx")).where("n >= 2")
-    new = often.join(definitions(blocks).select("doc_id", F.col("term").alias("phrase")), ["doc_id", "phrase"], "left_anti")
+    new = often.join(_defined(blocks, defined).select("doc_id", F.col("term").alias("phrase")), ["doc_id", "phrase"], "left_anti")
     ranked = new.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "phrase"))).where(F.col("rank") <= most)
     return finding(ranked, "undefined term", 2, "phrase", F.concat(F.lit("used "), F.col("n").cast("string"), F.lit(" times")))
 
@@ -126,12 +130,12 @@ def _variants(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), without))
 
 
-def misspelt_terms(blocks: DataFrame) -> DataFrame:
+def misspelt_terms(blocks: DataFrame, *, defined: DataFrame | None = None) -> DataFrame:
     """Words one edit from a defined single-word term, used once, that are no defined term themselves.
 
     Words and terms of a document meet on what is left of them without a letter, so the work is in proportion to their
     letters, and never all words of a document by all its terms."""
-    terms = definitions(blocks).where(~F.col("term").contains(" ")).select("doc_id", "term").distinct()
+    terms = _defined(blocks, defined).where(~F.col("term").contains(" ")).select("doc_id", "term").distinct()
     words = blocks.select("doc_id", "idx", F.explode(all_of(F.col("text"), WORD)).alias("word"))
     rare = words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx")).where("n = 1")
     rare = rare.join(terms.withColumnRenamed("term", "word"), ["doc_id", "word"], "left_anti")
@@ -142,10 +146,10 @@ def misspelt_terms(blocks: DataFrame) -> DataFrame:
     return finding(near, "misspelt term", 2, "word", F.concat(F.lit("for "), F.col("term")))
 
 
-def lower_case_terms(blocks: DataFrame) -> DataFrame:
+def lower_case_terms(blocks: DataFrame, *, defined: DataFrame | None = None) -> DataFrame:
     """Defined terms of several words that stand in lower case as whole words, other than in a line that defines them."""
-    defined = definitions(blocks).where(F.col("term").contains(" ")).select("doc_id", "term", "idx")
-    terms = defined.groupBy("doc_id", F.lower("term").alias("low")).agg(F.min("term").alias("term"), F.collect_set("idx").alias("at"))
+    own = _defined(blocks, defined).where(F.col("term").contains(" ")).select("doc_id", "term", "idx")
+    terms = own.groupBy("doc_id", F.lower("term").alias("low")).agg(F.min("term").alias("term"), F.collect_set("idx").alias("at"))
     met = blocks.join(terms, "doc_id").where(F.contains("text", "low") & ~F.array_contains("at", F.col("idx")))
     whole = F.contains(F.concat(F.lit(" "), F.regexp_replace("text", "[^A-Za-z0-9'’-]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace("low", "[^a-z0-9'’-]+", " "), F.lit(" ")))
     return finding(met.where(whole), "lower-case term", 3, "low", F.concat(F.lit("for "), F.col("term")))
@@ -267,6 +271,8 @@ def notice_and_term(blocks: DataFrame) -> DataFrame:
 
 
 CHECKS = [blanks, unused_terms, early_terms, repeated_definitions, undefined_terms, misspelt_terms, lower_case_terms, broken_references, numbering, amounts, currency_notation, date_styles, wrong_weekdays, contradictory_dates, party_names, punctuation, notice_and_term]
+#: Checks of terms, which can be given the definitions of the lines.
+OF_TERMS = [unused_terms, early_terms, repeated_definitions, undefined_terms, misspelt_terms, lower_case_terms]
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
@@ -287,16 +293,19 @@ def capped(findings: DataFrame, most: int = PER_KIND) -> DataFrame:
     return kept.select("doc_id", F.when(more, F.col("__idx")).otherwise(F.col("idx")).alias("idx"), "kind", "severity", F.when(more, F.lit("")).otherwise(F.col("anchor")).alias("anchor"), F.when(more, line).otherwise(F.col("note")).alias("note"))
 
 
-def run_all(blocks: DataFrame, checks: list = CHECKS) -> DataFrame:
+def run_all(blocks: DataFrame, checks: list = CHECKS, *, defined: DataFrame | None = None, most: int = PER_KIND) -> DataFrame:
     """Every check, first findings only, capped by kind. Each check reads the blocks anew: persist them where making
-    them costs more than reading them back. Kept blocks stay dealt out by document."""
-    return capped(deduplicated(reduce(DataFrame.union, (tried(c, blocks) for c in checks))))
+    them costs more than reading them back. Kept blocks stay dealt out by document. `defined` are their definitions(), where
+    they are kept as well."""
+    return capped(deduplicated(reduce(DataFrame.union, (tried(c, blocks, **({"defined": defined} if c in OF_TERMS else {})) for c in checks))), most)
 
 
-def tried(check, blocks: DataFrame) -> DataFrame:
-    """A check's findings; where it can't be set up over these blocks, one finding that says so, and the others go on."""
+def tried(check, blocks: DataFrame, **more) -> DataFrame:
+    """A check's findings; where it can't be set up over these blocks (a column is missing), one finding that says so, and the
+    others go on. What may go wrong with a row is no error in the first place: texts that can't be read as numbers or
+    dates are null, and give a finding or none."""
     try:
-        return check(blocks).select(*FINDING)
+        return check(blocks, **more).select(*FINDING)
     except PySparkException as e:
         schema = "idx int, kind string, severity int, anchor string, note string"
         failed = blocks.sparkSession.createDataFrame([(None, "not checked", 2, check.__name__, type(e).__name__)], schema)

@@ -10,6 +10,7 @@ from docketmill.functions.text import NUMBER, NUMBERS, SCALES
 from docketmill.operators import checks, structure
 from docketmill.plans.registry import ORACLES, query
 from docketmill.plans.views import base, view
+from docketmill.tables import written
 
 MONTH = checks.MONTH
 #: Shared by the oracles: lines with the number that they begin, their part and the clause in force.
@@ -44,11 +45,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.blocks(agreements(spark, sf_dir))
 
 
-def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines, kept in memory or on the executors' disks for the many checks that read them."""
-    return lines(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @query("select doc_id, idx, text from blocks")
 def document_blocks(spark, sf_dir):
     return lines(spark, sf_dir)
@@ -315,32 +311,6 @@ def check_time_limits(spark, sf_dir):
 FEW = [checks.blanks, checks.amounts, checks.broken_references]
 THREE = f"{REFERENCES} union all {BLANKS}"
 FIRSTS = f"""with f0 as ({THREE} union all select * from ({AMOUNTS})), f1 as (select *, row_number() over (partition by doc_id, kind, anchor order by idx, severity, note) as n from f0), firsts as (select doc_id, idx, kind, severity, anchor, note from f1 where n = 1)"""
-CAPPED = f"""{FIRSTS}, ranked as (select *, row_number() over (partition by doc_id, kind order by severity, idx, anchor, note) as n from firsts),
- capped as (select doc_id, idx, kind, severity, anchor, note from ranked where n <= 1 union all select doc_id, min(idx), kind, min(severity), '', concat('and ', cast(count(*) as varchar), ' more') from ranked where n > 1 group by doc_id, kind)"""
-
-
-@query(f"{CAPPED} select doc_id, idx, kind, severity, anchor, note from capped")
-def capped_findings(spark, sf_dir):
-    b = lines(spark, sf_dir)
-    from functools import reduce
-
-    return checks.capped(checks.deduplicated(reduce(DataFrame.union, (c(b) for c in FEW))), 1)
-
-
-VERDICTS = """v as (select doc_id, count(case when severity = 1 then 1 end) as blockers, count(case when severity = 2 then 1 end) as judgement, count(case when severity = 3 then 1 end) as minor from firsts right join (select doc_id from agreements) a using (doc_id) group by doc_id)"""
-
-
-@query(f"{FIRSTS}, {VERDICTS} select *, case when blockers > 0 then 'do not sign' when judgement > 0 then 'decide first' when minor > 0 then 'tidy up' else 'clean' end as verdict from v")
-def document_verdicts(spark, sf_dir):
-    """The flagship: what each agreement's blanks, amounts and references make of it."""
-    return checks.verdicts(checks.run_all(kept_lines(spark, sf_dir), FEW), agreements(spark, sf_dir))
-
-
-@query(f"""{FIRSTS} select doc_id, string_agg(concat(kind, ': ', anchor), chr(10) order by severity, idx, kind, anchor) as text from firsts group by doc_id""")
-def findings_as_text(spark, sf_dir):
-    return checks.prompt_block(checks.run_all(lines(spark, sf_dir), FEW))
-
-
 @query(f"""with e as (select doc_id, 'amount' as kind from agreements where doc_id % 7 = 0 union all select doc_id, 'blank' from agreements where doc_id % 11 in (0, 1)), f as (select * from ({BLANKS}) union all select * from ({AMOUNTS})),
  h as (select count(*) as planted, count(case when exists (select 1 from f where f.doc_id = e.doc_id and f.kind = e.kind) then 1 end) as caught from e), k as (select a.doc_id, (select count(*) from f where f.doc_id = a.doc_id) as n from agreements a where not exists (select 1 from e where e.doc_id = a.doc_id))
  select planted, caught, cast(caught as double) / planted as catch_rate, (select count(*) from k) as clean_docs, cast((select sum(n) from k) as double) as false_per_clean from h""")
@@ -356,12 +326,45 @@ CHECKED = [n for n in ORACLES if n.startswith("check_") and n != "check_early_te
 EVERY = " union all ".join(f"select doc_id, idx, kind, severity, anchor, note from ({ORACLES[n]})" for n in CHECKED)
 
 
-@query(f"""with f0 as ({EVERY}), f1 as (select *, row_number() over (partition by doc_id, kind, anchor order by idx, severity, note) as n from f0), firsts as (select doc_id, idx, kind, severity, anchor, note from f1 where n = 1),
- ranked as (select *, row_number() over (partition by doc_id, kind order by severity, idx, anchor, note) as n from firsts)
- select doc_id, idx, kind, severity, anchor, note from ranked where n <= {checks.PER_KIND} union all select doc_id, min(idx), kind, min(severity), '', concat('and ', cast(count(*) as varchar), ' more') from ranked where n > {checks.PER_KIND} group by doc_id, kind""")
+FIRST = f"""with f0 as ({EVERY}), f1 as (select *, row_number() over (partition by doc_id, kind, anchor order by idx, severity, note) as n from f0), firsts as (select doc_id, idx, kind, severity, anchor, note from f1 where n = 1),
+ ranked as (select *, row_number() over (partition by doc_id, kind order by severity, idx, anchor, note) as n from firsts)"""
+UP_TO = lambda most: f"capped as (select doc_id, idx, kind, severity, anchor, note from ranked where n <= {most} union all select doc_id, min(idx), kind, min(severity), '', concat('and ', cast(count(*) as varchar), ' more') from ranked where n > {most} group by doc_id, kind)"
+VERDICTS = """v as (select doc_id, count(case when severity = 1 then 1 end) as blockers, count(case when severity = 2 then 1 end) as judgement, count(case when severity = 3 then 1 end) as minor from capped right join (select o_orderkey as doc_id from orders join customer on o_custkey = c_custkey) a using (doc_id) group by doc_id)"""
+
+
+def every_finding(spark: SparkSession, sf_dir: str, most: int = checks.PER_KIND) -> DataFrame:
+    """All checks over all agreements. Lines and definitions are kept for the many checks that read them, and let go when
+    the findings are written."""
+    kept = lines(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    defined = checks.definitions(kept).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return written(checks.run_all(kept, defined=defined, most=most))
+    finally:
+        defined.unpersist()
+        kept.unpersist()
+
+
+@query(f"{FIRST}, {UP_TO(checks.PER_KIND)} select * from capped")
 def all_findings(spark, sf_dir):
     """Every check over every agreement."""
-    return checks.run_all(kept_lines(spark, sf_dir))
+    return every_finding(spark, sf_dir)
+
+
+@query(f"{FIRST}, {UP_TO(1)} select * from capped")
+def capped_findings(spark, sf_dir):
+    """The worst finding of each kind, and how many more there are."""
+    return every_finding(spark, sf_dir, 1)
+
+
+@query(f"{FIRST}, {UP_TO(checks.PER_KIND)}, {VERDICTS} select *, case when blockers > 0 then 'do not sign' when judgement > 0 then 'decide first' when minor > 0 then 'tidy up' else 'clean' end as verdict from v")
+def document_verdicts(spark, sf_dir):
+    """The flagship: what all findings make of each agreement."""
+    return checks.verdicts(every_finding(spark, sf_dir), agreements(spark, sf_dir))
+
+
+@query(f"""{FIRST}, {UP_TO(checks.PER_KIND)} select doc_id, string_agg(concat(kind, ': ', anchor), chr(10) order by severity, idx, kind, anchor) as text from capped group by doc_id""")
+def findings_as_text(spark, sf_dir):
+    return checks.prompt_block(every_finding(spark, sf_dir))
 
 
 def deed_lines(spark, sf_dir):

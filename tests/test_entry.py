@@ -16,5 +16,5 @@ def test_nothing_else_imports_the_llm_subpackage():
 
 
 def test_queries_without_sql_give_rows(spark):
-    for name in ("all_findings", "calendar_files", "similar_versions", "page_texts"):
+    for name in ("calendar_files", "page_texts", "conversations_of_files"):
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1
