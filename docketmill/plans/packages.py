@@ -6,6 +6,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from docketmill.plans.registry import query
 from docketmill.plans.views import base
@@ -19,7 +20,7 @@ THINGS = """things as (select c_custkey, c_name, case when c_custkey % 2 = 0 the
  case when c_custkey % 4 = 0 then concat('Company ', cast(c_custkey % 7 as varchar(10))) end as company, case c_custkey % 6 when 0 then 'file:///srv/share/a.dotx' when 1 then 'https://example.com/a' end as link, case when c_custkey % 5 = 0 then 'DRAFT' end as mark from customer)"""
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _made(names: pd.Series, authors: pd.Series, companies: pd.Series, links: pd.Series, marks: pd.Series) -> pd.Series:
     out = []
     for name, author, company, link, mark in zip(names, authors, companies, links, marks, strict=True):
