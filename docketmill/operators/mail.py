@@ -164,16 +164,29 @@ def conversations_by_stem(files: DataFrame) -> DataFrame:
     return files.withColumn("stem", stem_of(F.col("filename"))).groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.min("msg_id").alias("first"), F.max("msg_id").alias("last"))
 
 
-#: What a note says was taken out, up to a word or mark that ends the phrase.
-REMOVED = r"\b(?:removed|deleted|took out|taken out|struck out) (?:the )?([a-z][a-z ]*?)(?: (?:clause|wording|language|from|as|and|per|so)\b|[.,;:!?]|$)"
+#: How a note says that something went, who did it named or not, and what may stand between that and the thing.
+WENT = r"(?:removed|deleted|dropped|omitted|excised|cut(?: out)?|struck(?: out| through)?|taken out|stripped out)"
+THING, BEFORE = r"([a-z0-9][a-z0-9 .'’-]*?)", r"(?:(?:the|all|any|every|our|your|references? to) )*"
+KIND_OF_TEXT = r"(?: (?:clauses?|wording|language|text|provisions?|paragraphs?))?"
+#: Somebody took it out, it was taken out, the text no longer has it: the thing is the first group.
+REMOVALS = [
+    rf"\b(?:{WENT}|took out|no longer (?:contains?|includes?|mentions?|has)) {BEFORE}{THING}{KIND_OF_TEXT}(?: (?:from|as|and|per|so|in|at|which|because)\b|[,;:!?]|[.](?: |$)|$)",
+    rf"(?:^|[,;:.!?] |\b(?:and|that|but|agreed) ){BEFORE}{THING}{KIND_OF_TEXT} (?:is|are|was|were|has been|have been|had been)(?: now| also| all)? (?:{WENT}|gone)\b",
+]
+#: Words at the beginning of a thing that are none of it.
+LEADING = r"^(?:(?:as|agreed|and|that|but|also|then|so|you|will|see|the|all|any|every|our|your) )+"
 
 
 def removals_still_there(notes: DataFrame) -> DataFrame:
-    """(msg_id, phrase): phrases of two words or more that a note (msg_id, body, doc) says were taken out and that the
-    document still holds."""
+    """(msg_id, phrase): what a note (msg_id, body, doc) says was taken out, or is no longer there, and the document still
+    holds as whole words. A single common word tells nothing: a phrase has two words, a hyphen or a number."""
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    each = notes.select("msg_id", flat(F.col("doc")).alias("doc"), F.explode(F.array_distinct(all_of(flat(F.col("body")), REMOVED, 1))).alias("phrase"))
-    return each.where((F.instr(F.trim("phrase"), " ") > 0) & (F.length(F.trim("phrase")) >= 6) & (F.instr("doc", F.trim("phrase")) > 0)).select("msg_id", F.trim("phrase").alias("phrase"))
+    body = flat(F.col("body"))
+    said = F.array_distinct(F.transform(F.concat(*(all_of(body, p, 1) for p in REMOVALS)), lambda x: F.regexp_replace(F.trim(x), LEADING, "")))
+    each = notes.select("msg_id", flat(F.col("doc")).alias("doc"), F.explode(said).alias("phrase"))
+    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9.'’-]+|[.](?: |$)", " "), F.lit(" "))
+    telling = F.col("phrase").rlike("[ 0-9-]") & (F.length("phrase") >= 6)
+    return each.where(telling & F.contains(spaced("doc"), spaced("phrase"))).select("msg_id", "phrase").distinct()
 
 
 def clean_but_marked(notes: DataFrame) -> DataFrame:

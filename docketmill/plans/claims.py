@@ -17,7 +17,9 @@ def notes(spark, sf_dir):
 
 
 FLAT = r"f as (select msg_id, trim(regexp_replace(lower(doc), '\s+', ' ', 'g')) as doc, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) as body from notes)"
-STILL = f"with {FLAT}, p as (select distinct msg_id, doc, trim(unnest(regexp_extract_all(body, '{mail.REMOVED}', 1))) as phrase from f) select msg_id, phrase from p where contains(phrase, ' ') and length(phrase) >= 6 and contains(doc, phrase)"
+_quoted = lambda p: p.replace("'", "''")
+_SPACED = "concat(' ', regexp_replace({x}, '[^a-z0-9.''’-]+|[.](?: |$)', ' ', 'g'), ' ')"
+STILL = f"with {FLAT}, p as ({' union all '.join(f"select msg_id, doc, regexp_replace(trim(unnest(regexp_extract_all(body, '{_quoted(p)}', 1))), '{mail.LEADING}', '') as phrase from f" for p in mail.REMOVALS)}) select distinct msg_id, phrase from p where regexp_matches(phrase, '[ 0-9-]') and length(phrase) >= 6 and contains({_SPACED.format(x='doc')}, {_SPACED.format(x='phrase')})"
 MARKED = r"""select msg_id, concat_ws(', ', case when tracked then 'changes' end, case when comments then 'comments' end) as carries from notes where (regexp_matches(lower(filename), '\bclean\b') or regexp_matches(lower(body), '\bclean (?:copy|version|draft)\b')) and (tracked or comments)"""
 MISSING = rf"""with s as (select msg_id, doc, filename, sender, unnest(string_split(regexp_replace(regexp_replace(body, '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) as s from notes where regexp_matches(doc, '{checks.COMPANY}')),
  h as (select * from s where regexp_matches(s, '(?i)\b(?:attach|enclos|find)') and not regexp_matches(s, '(?i)\b(?:will follow|to follow|not yet|later)\b')),

@@ -60,9 +60,9 @@ select conv_id * 100 + turn as msg_id, conv_id as thread_id, turn, concat('u', c
 
 NOTES = """
 select conv_id * 100 + turn as msg_id, concat('u', cast(conv_id % 7 as varchar(10)), '@firm.example') as sender, case when turn % 3 = 0 then 'Deed (clean).docx' else 'Deed.docx' end as filename, turn % 2 = 0 as tracked, conv_id % 3 = 0 as comments,
- concat(case (conv_id + turn) % 9 when 0 then 'I removed the exclusivity  period wording.' when 1 then 'We took out the long stop date, as agreed.' when 2 then 'I deleted the indemnity.' when 3 then 'Please find attached the deed with Bluewater Ports Limited.' when 4 then 'Attached is the Acme Mills Ltd deed. Harbour Bank plc asks for it.'
+ concat(case (conv_id + turn) % 13 when 9 then 'The exclusivity period has been removed.' when 10 then 'As agreed the non-solicit wording was struck out, and clause 7.2 is now deleted.' when 11 then 'It no longer mentions the long stop date.' when 12 then 'All is kept and nothing was removed.' when 0 then 'I removed the exclusivity  period wording.' when 1 then 'We took out the long stop date, as agreed.' when 2 then 'I deleted the indemnity.' when 3 then 'Please find attached the deed with Bluewater Ports Limited.' when 4 then 'Attached is the Acme Mills Ltd deed. Harbour Bank plc asks for it.'
   when 5 then 'The paper for Bluewater Ports Limited will follow. Find a clean copy enclosed.' when 6 then 'Enclosed for Strand LLP and Firm Holdings Limited.' else 'Struck out the non-solicit clause; see attached.' end, chr(10), 'Regards') as body,
- concat('This deed is made between Acme Mills Limited and another. The exclusivity period', chr(10), 'runs for a year. ', case when conv_id % 2 = 0 then 'The long stop' || chr(10) || 'date is fixed. ' else '' end, 'An indemnity is given.') as doc from conversations"""
+ concat('This deed is made between Acme Mills Limited and another. The exclusivity period', chr(10), 'runs for a year. ', case when conv_id % 2 = 0 then 'The long stop' || chr(10) || 'date is fixed. ' else '' end, case when conv_id % 3 = 0 then 'A non-solicit applies; see clause 7.2. ' else 'See clause 7.21. ' end, 'An indemnity is given.') as doc from conversations"""
 
 OUTCOMES = """
 select event_id, ts as observed_at, concat('u', cast(user_id as varchar(10))) as user_address, cast(user_id % 5 as int) as client_id,

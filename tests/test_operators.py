@@ -191,3 +191,18 @@ def test_lower_case_terms_are_whole_words_outside_their_definition(spark):
 
     b = blocks(spark, '"Trade Mark" means any trade mark.', "A trade mark is used.", "The trade markets.", "A Trade Mark.", None)
     assert [(r.idx, r.anchor) for r in checks.lower_case_terms(b).collect()] == [(1, "trade mark")]
+
+
+def test_removals_in_every_voice(spark):
+    from docketmill.operators import mail
+
+    doc = "The exclusivity period runs. A non-solicit applies; see clause 7.2. The long stop date is fixed."
+    said = {
+        "The exclusivity period has been removed.": {"exclusivity period"}, "We struck out the non-solicit wording.": {"non-solicit"}, "As agreed the non-solicit clause was deleted, and clause 7.2 is now gone.": {"non-solicit", "clause 7.2"},
+        "It no longer mentions the long stop date.": {"long stop date"}, "I took out references to the exclusivity period from it.": {"exclusivity period"}, "Nothing was removed.": set(), "We deleted clause 7.": set(), "We removed the exclusivity periods.": set(), "": set(),
+    }
+    frame = spark.createDataFrame([(i, t, doc) for i, t in enumerate(said)], "msg_id long, body string, doc string")
+    got = [set() for _ in said]
+    for r in mail.removals_still_there(frame).collect():
+        got[r.msg_id].add(r.phrase)
+    assert got == list(said.values())
