@@ -263,7 +263,7 @@ def punctuation(blocks: DataFrame) -> DataFrame:
 
 def notice_and_term(blocks: DataFrame) -> DataFrame:
     """Notice periods that are longer than the term on every reading: days against months of 28 to 31 days."""
-    notice = blocks.where(F.col("text").rlike(r"\b\d+ days notice\b")).select("doc_id", "idx", F.regexp_extract("text", r"\b(\d{1,4}) days notice\b", 1).cast("int").alias("notice"))
+    notice = blocks.where(F.col("text").rlike(r"\b\d{1,4} days notice\b")).select("doc_id", "idx", F.regexp_extract("text", r"\b(\d{1,4}) days notice\b", 1).cast("int").alias("notice"))
     term = blocks.where(F.col("text").rlike(r"\bterm of this Agreement is \d{1,4} months\b")).select("doc_id", F.regexp_extract("text", r"term of this Agreement is (\d{1,4}) months", 1).cast("int").alias("months"))
     one = term.groupBy("doc_id").agg(F.count_distinct("months").alias("n"), F.min("months").alias("months")).where("n = 1")
     both = notice.join(one, "doc_id").where(F.col("notice") > F.col("months") * 31)

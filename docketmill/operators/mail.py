@@ -54,8 +54,8 @@ def routed(mail: DataFrame) -> DataFrame:
 def undo_numbers(text: Column) -> Column:
     """The numbers that a request to undo names, ascending; null where it is none."""
     asked = F.lower(text).rlike(r"\bundo\b")
-    found = F.transform(all_of(F.regexp_extract(F.lower(text), r"\bundo\b([^.]*)", 1), r"\d+"), lambda n: n.cast("int"))
-    return F.when(asked, F.array_sort(F.array_distinct(found)))
+    found = F.transform(all_of(F.regexp_extract(F.lower(text), r"\bundo\b([^.]*)", 1), r"\d+"), lambda n: n.try_cast("int"))
+    return F.when(asked, F.array_sort(F.array_distinct(F.array_compact(found))))
 
 
 def answers(body: Column, options: Column) -> Column:
@@ -99,7 +99,7 @@ def kinds(text: Column) -> Column:
 
 def version_of(text: Column) -> Column:
     """A version number that a text states, else null."""
-    return F.nullif(F.regexp_extract(F.lower(text), r"\b(?:v|version ?|draft ?)(\d+)\b", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(F.lower(text), r"\b(?:v|version ?|draft ?)(\d+)\b", 1), F.lit("")).try_cast("int")
 
 
 def version_mismatch(mail: DataFrame) -> DataFrame:
@@ -117,10 +117,11 @@ def clean_but_final(mail: DataFrame) -> DataFrame:
 
 
 def promised(mail: DataFrame) -> DataFrame:
-    """(msg_id, title): schedules that a message names and that its attachment's name lacks; ranges count as all."""
+    """(msg_id, title): schedules that a message names and that its attachment's name lacks; ranges count as all,
+    of a thousand at most: a longer one is none."""
     named = mail.select("msg_id", "filename", F.explode(all_of(F.col("body"), r"\bSchedules? (\d+(?:-\d+)?)", 1)).alias("r"))
-    first, last = F.substring_index("r", "-", 1).cast("int"), F.substring_index("r", "-", -1).cast("int")
-    each = named.where(first <= last).select("msg_id", "filename", F.explode(F.sequence(first, last)).alias("n"))
+    first, last = F.substring_index("r", "-", 1).try_cast("int"), F.substring_index("r", "-", -1).try_cast("int")
+    each = named.where((first <= last) & (last - first < 1000)).select("msg_id", "filename", F.explode(F.sequence(first, last)).alias("n"))
     return each.where(~F.lower("filename").contains(F.concat(F.lit("schedule "), F.col("n").cast("string")))).select("msg_id", F.concat(F.lit("Schedule "), F.col("n").cast("string")).alias("title")).distinct()
 
 

@@ -23,16 +23,16 @@ def amounts(blocks: DataFrame) -> DataFrame:
     text = F.col("text")
     money = blocks.select("doc_id", "idx", F.posexplode(F.arrays_zip(*(all_of(text, MONEY, i).alias(n) for i, n in ((1, "c"), (2, "n"), (3, "s"))))).alias("at", "x"))
     scale = F.coalesce(F.try_element_at(_map(SCALE), F.col("x.s")), F.lit(1))
-    money = money.select("doc_id", "idx", "at", F.lit("money").alias("kind"), F.try_element_at(_map(CURRENCY), F.col("x.c")).alias("currency"), (F.replace("x.n", F.lit(","), F.lit("")).cast(VALUE) * scale).cast(VALUE).alias("value"))
-    percent = blocks.select("doc_id", "idx", F.posexplode(all_of(text, PERCENT, 1)).alias("at", "n")).select("doc_id", "idx", "at", F.lit("percent").alias("kind"), F.lit(None).cast("string").alias("currency"), F.col("n").cast(VALUE).alias("value"))
-    return money.union(percent)
+    money = money.select("doc_id", "idx", "at", F.lit("money").alias("kind"), F.try_element_at(_map(CURRENCY), F.col("x.c")).alias("currency"), (F.replace("x.n", F.lit(","), F.lit("")).try_cast(VALUE) * scale).try_cast(VALUE).alias("value"))
+    percent = blocks.select("doc_id", "idx", F.posexplode(all_of(text, PERCENT, 1)).alias("at", "n")).select("doc_id", "idx", "at", F.lit("percent").alias("kind"), F.lit(None).cast("string").alias("currency"), F.col("n").try_cast(VALUE).alias("value"))
+    return money.union(percent).where("value is not null")  # a number beyond sixteen digits is no amount
 
 
 def cell_value(text: Column) -> Column:
     """The number in a cell: brackets or a minus sign make it negative, currency signs and commas go; else null."""
     bare = F.regexp_replace(text, r"[,\s$£€]|USD|GBP|EUR", "")
     inner = F.regexp_extract(bare, r"^\(?(-?[0-9]+(?:\.[0-9]+)?)\)?%?$", 1)
-    return F.when(inner != "", F.when(bare.startswith("("), -inner.cast(VALUE)).otherwise(inner.cast(VALUE)).cast(VALUE))
+    return F.when(inner != "", F.when(bare.startswith("("), -inner.try_cast(VALUE)).otherwise(inner.try_cast(VALUE)).cast(VALUE))
 
 
 def column_sums(cells: DataFrame, total: str = "Total") -> DataFrame:

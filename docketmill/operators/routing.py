@@ -16,7 +16,7 @@ INTERNAL = r"(?i)\b(?:internal only|privileged and confidential draft|not for ci
 def slash_order(blocks: DataFrame) -> DataFrame:
     """(doc_id, reading): day first or month first, by the dates with slashes that can only be read one way, each
     counting three, and a line that names a month of words nearby counting one for the day; null on a tie."""
-    each = blocks.select("doc_id", F.inline(F.arrays_zip(all_of(F.col("text"), SLASH, 1).alias("a"), all_of(F.col("text"), SLASH, 2).alias("b")))).select("doc_id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    each = blocks.select("doc_id", F.inline(F.arrays_zip(all_of(F.col("text"), SLASH, 1).alias("a"), all_of(F.col("text"), SLASH, 2).alias("b")))).select("doc_id", F.col("a").try_cast("int").alias("a"), F.col("b").try_cast("int").alias("b"))
     votes = each.groupBy("doc_id").agg(F.sum(F.when((F.col("a") > 12) & (F.col("b") <= 12), 3).otherwise(0)).alias("day"), F.sum(F.when((F.col("b") > 12) & (F.col("a") <= 12), 3).otherwise(0)).alias("month"))
     return votes.select("doc_id", F.when(F.col("day") > F.col("month"), "day first").when(F.col("month") > F.col("day"), "month first").alias("reading"))
 
@@ -69,7 +69,7 @@ def pages_of_transcript(transcripts: DataFrame, mark: str = r"\[page (\d+)\]") -
     numbers = F.concat(F.array(F.lit("1")), all_of(F.col("text"), mark, 1))
     bare = F.transform(F.split("text", mark, -1), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
     each = transcripts.select("doc_id", F.inline(F.arrays_zip(numbers.alias("page"), bare.alias("text"))))
-    return each.where("text <> ''").select("doc_id", F.col("page").cast("int").alias("page"), "text")
+    return each.where("text <> ''").select("doc_id", F.col("page").try_cast("int").alias("page"), "text")
 
 
 def read_window(docs: DataFrame, start: int, size: int) -> DataFrame:

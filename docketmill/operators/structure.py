@@ -30,7 +30,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def clause_number(text: str = "text") -> Column:
-    return _or_null(F.regexp_extract(text, NUMBER, 1)).cast("int")
+    return _or_null(F.regexp_extract(text, NUMBER, 1)).try_cast("int")
 
 
 def schedule_title(text: str = "text") -> Column:
@@ -77,7 +77,7 @@ def pointers(blocks: DataFrame) -> DataFrame:
     """(doc_id, idx, at, word, number): references to clauses, in order."""
     both = F.arrays_zip(all_of(F.col("text"), POINTER, 1).alias("word"), all_of(F.col("text"), POINTER, 2).alias("number"))
     each = blocks.select("doc_id", "idx", F.posexplode(both).alias("at", "x"))
-    return each.select("doc_id", "idx", "at", "x.word", F.col("x.number").cast("int").alias("number"))
+    return each.select("doc_id", "idx", "at", "x.word", F.col("x.number").try_cast("int").alias("number"))
 
 
 def clause_word(blocks: DataFrame) -> DataFrame:

@@ -206,3 +206,15 @@ def test_removals_in_every_voice(spark):
     for r in mail.removals_still_there(frame).collect():
         got[r.msg_id].add(r.phrase)
     assert got == list(said.values())
+
+
+def test_no_number_is_too_long(spark):
+    from docketmill.operators import mail, structure
+
+    n = "9" * 24
+    b = blocks(spark, f"{n}. Terms", f"See Section {n} and seven ({n}).", f"Within {n} days pay USD {n} and {n}%.", f"{n} days notice. The term of this Agreement is {n} months.", f"On {n}/{n}/2026 and Monday, 99 May {n}.", f"Schedule {n}")
+    assert {r.kind for r in checks.run_all(b).collect()} == {"amount"}
+    assert money.amounts(b).collect() == [] and deadlines.periods(b).collect() == [] and structure.numbers(b).where("number is not null").collect() == []
+    letters = spark.createDataFrame([(1, f"undo {n} and 2. Schedules 1-{n}, Schedules 3-4, version {n}", "x")], "msg_id long, body string, filename string")
+    assert letters.select(mail.undo_numbers(F.col("body")).alias("u")).first().u == [2]
+    assert sorted(r.title for r in mail.promised(letters).collect()) == ["Schedule 3", "Schedule 4"] and mail.version_mismatch(letters).collect() == []
