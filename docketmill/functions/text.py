@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,3 +149,20 @@ def roman(n: Column) -> Column:
 def letters(n: Column) -> Column:
     """a, b, ... z, aa, bb, ...: the letter repeats with each round."""
     return F.repeat(F.chr(F.lit(97) + (n - 1) % 26), (F.floor((n - 1) / 26) + 1).cast("int"))
+
+
+def compatible(text: Column) -> Column:
+    """A text in Unicode's compatibility form (NFKC): ligatures, full-width letters and the like as plain ones."""
+    @F.pandas_udf("string")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in batch], dtype=object)
+
+    # Plain ASCII is its own form and stays out of Python.
+    return F.when(text.rlike(r"[^\x00-\x7F]"), of(text)).otherwise(text)
+
+
+def holds(text: Column, part: Column) -> Column:
+    """Whether a text holds a part once both are in compatibility form, whatever their case and runs of white space; an
+    empty part is held by none."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(compatible(c)), r"\s+", " "))
+    return (plain(part) != "") & F.contains(plain(text), plain(part))

@@ -74,3 +74,13 @@ def splits(items: DataFrame, lead: str = "lead") -> DataFrame:
 def shown(value: Column, currency: Column) -> Column:
     """An amount with its currency and thousands apart."""
     return F.concat_ws(" ", currency, F.format_number(value, 2))
+
+
+def nested(amounts: DataFrame, sums: DataFrame) -> DataFrame:
+    """(doc_id, amounts, table): one row for each document that has amounts or a table with a total, the amounts (idx, at,
+    kind, currency, value) in the order of the text, the table (items, summed, stated, off), null without one."""
+    row = F.struct("idx", "at", "kind", "currency", "value")
+    lists = amounts.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("amounts"))
+    table = sums.select("doc_id", F.struct("items", "summed", "stated", (F.col("stated") - F.col("summed")).cast(VALUE).alias("off")).alias("table"))
+    both = lists.join(table, "doc_id", "full_outer")
+    return both.select("doc_id", F.coalesce("amounts", F.array().cast(dict(lists.dtypes)["amounts"])).alias("amounts"), "table")

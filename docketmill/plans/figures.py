@@ -61,6 +61,15 @@ def amounts_shown(spark, sf_dir):
     return view(spark, sf_dir, "cells").select("doc_id", "row_no", money.shown(F.col("amount"), F.lit("USD")).alias("shown"))
 
 
+@query(f"""with {MONIES}, {SUMS}, l as (select doc_id, string_agg(concat(currency, ' ', cast(value as varchar)), '; ' order by idx, at) as amounts, count(*) as n from m group by doc_id), t as (select *, cast(stated - summed as decimal(18,2)) as off from s where stated is not null and items >= 2)
+ select coalesce(l.doc_id, t.doc_id) as doc_id, coalesce(amounts, '') as amounts, coalesce(n, 0) as n, items, summed, stated, off from l full outer join t on t.doc_id = l.doc_id""".replace("order by idx, at)", "order by idx, m.at)"))
+def nested_amounts(spark, sf_dir):
+    """Amounts and tables of each document as one row of nested data, shown flat."""
+    found = money.nested(money.amounts(lines(spark, sf_dir)), money.column_sums(view(spark, sf_dir, "cells")))
+    shown = F.array_join(F.transform("amounts", lambda x: F.concat_ws(" ", x["currency"], x["value"].cast("string"))), "; ")
+    return found.select("doc_id", shown.alias("amounts"), F.size("amounts").cast("bigint").alias("n"), "table.items", "table.summed", "table.stated", "table.off")
+
+
 PERIOD, AFTER = deadlines.PERIOD, deadlines.AFTER
 LO, HI = (f"cast(case u when 'day' then n when 'week' then n * 7 when 'month' then n * {m} when 'year' then n * {y} end as double)" for m, y in ((28, 365), (31, 366)))
 PERIODS = rf"""p0 as (select doc_id, idx, regexp_extract_all(text, '{PERIOD}', 2) as a, regexp_extract_all(text, '{PERIOD}', 3) as b from blocks),

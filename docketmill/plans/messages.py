@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docketmill.functions import text as T
 from docketmill.operators import mail as M
 from docketmill.plans.registry import query
+from docketmill.sources import web
 from docketmill.plans.views import base, view
 
 
@@ -156,3 +157,15 @@ def quoted_tokens(spark, sf_dir):
     docs = view(spark, sf_dir, "agreements")
     at = F.instr("text", "Buyer")
     return docs.select("doc_id", T.inside_quotes(F.col("text"), at).alias("quoted"), T.token_around(F.col("text"), at).alias("token")).withColumn("token", F.regexp_replace("token", r"^\(the ", ""))
+
+
+@query("select msg_id, cast(thread_id as varchar) as thread, owner as sender, external as recipient, subject, body, filename, concat('answer to ', subject) as answer from mail where external is not null")
+def vendor_messages(spark, sf_dir):
+    """Messages as another vendor's JSON gives them, the conversation under three names, bare or wrapped, and answers as JSON."""
+    m = mail(spark, sf_dir).where("external is not null").withColumn("thread", F.col("thread_id").cast("string"))
+    named = [F.when(F.col("turn") % 3 == i, F.col("thread")).alias(n) for i, n in enumerate(("thread_id", "threadId", "conversation_id"))]
+    raw = F.struct(F.col("msg_id").cast("string").alias("message_id"), *named, F.col("owner").alias("from"), F.array("external").alias("to"), "subject", F.col("body").alias("text"), F.array(F.struct("filename")).alias("attachments"))
+    payload = F.when(F.col("turn") % 2 == 0, F.to_json(raw)).otherwise(F.to_json(F.struct(raw.alias("message"))))
+    read = m.select(payload.alias("payload")).select(web.from_vendor(F.col("payload")).alias("v"))
+    sent = F.from_json(web.outbound(F.array("v.sender"), F.concat(F.lit("answer to "), "v.subject"), F.col("v.body"), in_reply_to=F.col("v.message_id")), "subject string, headers map<string,string>")
+    return read.select(F.col("v.message_id").cast("bigint").alias("msg_id"), "v.thread", "v.sender", F.get("v.to", F.lit(0)).alias("recipient"), "v.subject", "v.body", F.get("v.attachments", F.lit(0))["name"].alias("filename"), sent["subject"].alias("answer"))

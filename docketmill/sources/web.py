@@ -82,3 +82,26 @@ WEBHOOK = "MessageID string, `From` string, `To` string, Subject string, TextBod
 def from_webhook(payload: Column) -> Column:
     """A webhook's JSON as a struct; null where it is no JSON."""
     return F.from_json(payload, WEBHOOK)
+
+
+#: Another vendor's message as JSON: addresses as texts or lists, and the conversation under one of several names.
+VENDOR = {k: "string" for k in ("message_id", "thread_id", "threadId", "conversation_id", "in_reply_to", "from", "from_", "subject", "text", "html", "timestamp")} | {"to": "array<string>", "cc": "array<string>", "attachments": "array<struct<filename: string, content_type: string, size: bigint>>"}
+
+
+def from_vendor(payload: Column) -> Column:
+    """Another vendor's JSON, bare or under `message`, as the fields of MESSAGE with the conversation as `thread`: its first name
+    that is given, else the message that this one answers, else the message itself. Null where it is no JSON."""
+    fields = ", ".join(f"`{k}`: {t}" for k, t in VENDOR.items())
+    inner, outer = F.from_json(payload, f"struct<{fields}>"), F.from_json(payload, f"struct<message: struct<{fields}>>")["message"]
+    m = F.when(outer.isNotNull(), outer).otherwise(inner)
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    thread = F.coalesce(*(blank(m[n]) for n in ("thread_id", "threadId", "conversation_id", "in_reply_to", "message_id")))
+    parts = F.transform(m["attachments"], lambda x: F.struct(x["filename"].alias("name"), x["content_type"].alias("type"), x["size"].alias("size")))
+    found = F.struct(m["message_id"].alias("message_id"), thread.alias("thread"), F.coalesce(m["from"], m["from_"]).alias("sender"), m["to"].alias("to"), m["cc"].alias("cc"), m["subject"].alias("subject"), m["text"].alias("body"), m["html"].alias("html"), parts.alias("attachments"))
+    return F.when(m["message_id"].isNotNull() | thread.isNotNull(), found)
+
+
+def outbound(to: Column, subject: Column, body: Column, *, cc: Column | None = None, in_reply_to: Column | None = None) -> Column:
+    """A message to be sent as JSON; what is null is left out, and an answer names what it answers in both of its headers."""
+    headers = F.when(in_reply_to.isNotNull(), F.create_map(F.lit("In-Reply-To"), in_reply_to, F.lit("References"), in_reply_to)) if in_reply_to is not None else F.lit(None).cast("map<string,string>")
+    return F.to_json(F.struct(to.alias("to"), (cc if cc is not None else F.lit(None).cast("array<string>")).alias("cc"), subject.alias("subject"), body.alias("text"), headers.alias("headers")))

@@ -218,3 +218,9 @@ def test_no_number_is_too_long(spark):
     letters = spark.createDataFrame([(1, f"undo {n} and 2. Schedules 1-{n}, Schedules 3-4, version {n}", "x")], "msg_id long, body string, filename string")
     assert letters.select(mail.undo_numbers(F.col("body")).alias("u")).first().u == [2]
     assert sorted(r.title for r in mail.promised(letters).collect()) == ["Schedule 3", "Schedule 4"] and mail.version_mismatch(letters).collect() == []
+
+
+def test_compatible_forms_are_held(spark):
+    rows = [("The ﬁrst Ｃlause", "first  clause", True), ("plain", "PLAIN", True), ("plain", "", False), (None, "x", None), ("x²", "x2", True), ("ab", "abc", False)]
+    got = spark.createDataFrame([r[:2] for r in rows], "t string, p string").select(T.holds(F.col("t"), F.col("p")).alias("h")).collect()
+    assert [r.h for r in got] == [r[2] for r in rows]

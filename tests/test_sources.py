@@ -119,3 +119,17 @@ def test_pages_quotes_and_webhooks(spark):
     assert web.quoted("a<blockquote>b<blockquote>c</blockquote></blockquote>").split("\n") == ["a", "> b", "> > c", ""]
     hook = spark.createDataFrame([('{"MessageID":"m","From":"a@b","Headers":[{"Name":"X","Value":"1"}]}',), ("nothing",)], "j string").select(web.from_webhook(F.col("j")).alias("m")).collect()
     assert hook[0].m.MessageID == "m" and hook[0].m.Headers[0].Value == "1" and (hook[1].m is None or hook[1].m.MessageID is None)
+
+
+def test_another_vendors_json(spark):
+    rows = ['{"message_id":"1","threadId":"t","from":"a@b","to":["c@d"],"attachments":[{"filename":"x","content_type":"y","size":3}]}', '{"message":{"message_id":"2","thread_id":" ","in_reply_to":"1","from_":"q"}}', '{"message_id":"3"}', "no json", None, "{}"]
+    got = [r.m for r in spark.createDataFrame([(x,) for x in rows], "j string").select(web.from_vendor(F.col("j")).alias("m")).collect()]
+    assert [(m.message_id, m.thread, m.sender) if m else None for m in got] == [("1", "t", "a@b"), ("2", "1", "q"), ("3", "3", None), None, None, None]
+    assert got[0].to == ["c@d"] and tuple(got[0].attachments[0]) == ("x", "y", 3)
+
+
+def test_outbound_json(spark):
+    import json
+
+    row = spark.range(1).select(web.outbound(F.array(F.lit("a@b")), F.lit("s"), F.lit('q"'), in_reply_to=F.lit("m1")).alias("a"), web.outbound(F.array(F.lit("a@b")), F.lit("s"), F.lit(None).cast("string")).alias("b")).first()
+    assert json.loads(row.a) == {"to": ["a@b"], "subject": "s", "text": 'q"', "headers": {"In-Reply-To": "m1", "References": "m1"}} and json.loads(row.b) == {"to": ["a@b"], "subject": "s"}
