@@ -163,7 +163,12 @@ def calendar_events(spark, sf_dir):
     return deadlines.calendar(lines(spark, sf_dir))
 
 
-@query()
+CRLF = "chr(13) || chr(10)"
+
+
+@query(f"""with {DATES}, e as (select doc_id, day, left(sha256(concat_ws('|', cast(doc_id as varchar), cast(idx as varchar), anchor)), 32) as uid, replace(concat('Line ', cast(idx as varchar), ': ', anchor), ',', '\\,') as summary from dates),
+ v as (select doc_id, day, uid, concat_ws({CRLF}, 'BEGIN:VEVENT', 'UID:' || uid, 'DTSTART;VALUE=DATE:' || strftime(day, '%Y%m%d'), 'SUMMARY:' || summary, 'BEGIN:VALARM', 'TRIGGER:-P7D', 'ACTION:DISPLAY', 'END:VALARM', 'END:VEVENT') as event from e)
+ select doc_id, concat_ws({CRLF}, 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//docketmill//deadlines//EN', string_agg(event, {CRLF} order by day, uid, event), 'END:VCALENDAR', '') as ics from v group by doc_id""")
 def calendar_files(spark, sf_dir):
     return deadlines.calendar_file(deadlines.calendar(lines(spark, sf_dir)))
 

@@ -49,7 +49,7 @@ _LINES = r"""with t1 as (select page_id, regexp_replace(html, '(?is)<!--.*?-->',
  select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, ' *\n *', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^\n+', ''), '\n+$', '')) as text from t3""".replace("BLOCKS", web.BLOCKS)
 
 
-@query()
+@query(_LINES.replace(" as text from t3", " as l from t3").replace("with t1 as", "with t1 as", 1).replace(" select page_id, trim(", " , t4 as (select page_id, trim(") + ") select page_id, regexp_replace(replace(replace(replace(l, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g') as text from t4")
 def page_texts(spark, sf_dir):
     """Pages as readable text, entities decoded."""
     return base(spark, sf_dir, "pages").select("page_id", web.to_text(F.col("html")).alias("text"))

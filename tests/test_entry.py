@@ -16,5 +16,5 @@ def test_nothing_else_imports_the_llm_subpackage():
 
 
 def test_queries_without_sql_give_rows(spark):
-    for name in ("calendar_files", "page_texts", "conversations_of_files"):
+    for name in ("conversations_of_files", "similar_versions"):
         assert entry.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1
