@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketmill.sources import files
+
 #: Elements whose content is no text, and those that end a line.
 SILENT, BLOCKS = "script|style|head|title|noscript", "p|div|br|li|tr|h[1-6]|ul|ol|table|blockquote|article|section|nav|footer|header"
 MESSAGE = "struct<message_id: string, in_reply_to: string, refs: array<string>, sender: string, to: array<string>, cc: array<string>, subject: string, sent_at: string, body: string, html: string, attachments: array<struct<name: string, type: string, size: bigint>>, problem: string>"
@@ -105,3 +107,21 @@ def outbound(to: Column, subject: Column, body: Column, *, cc: Column | None = N
     """A message to be sent as JSON; what is null is left out, and an answer names what it answers in both of its headers."""
     headers = F.when(in_reply_to.isNotNull(), F.create_map(F.lit("In-Reply-To"), in_reply_to, F.lit("References"), in_reply_to)) if in_reply_to is not None else F.lit(None).cast("map<string,string>")
     return F.to_json(F.struct(to.alias("to"), (cc if cc is not None else F.lit(None).cast("array<string>")).alias("cc"), subject.alias("subject"), body.alias("text"), headers.alias("headers")))
+
+
+def all_blocks(found: DataFrame) -> DataFrame:
+    """(path, idx, kind, text, problem): the blocks of files (path, content) of any kind that has a reader, told by their
+    bytes: office files by their own readers, pages and plain texts line by line, mails by their plain body or their page.
+    A line end at the end of a text begins no line; bytes that are
+    no UTF-8 are shown as unknown characters. Other kinds give a row with the problem `no reader: KIND`."""
+    known = files.identified(found)
+    office = files.office_blocks(found).select("path", "idx", "kind", "text", "problem")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    plain = known.where("kind = 'text'").select("path", text.alias("text"))
+    pages = known.where("kind = 'html'").select("path", to_text(text).alias("text"))
+    mails = messages(known.where("kind = 'eml'").select("path", "content"))
+    bodies = mails.where("problem is null").select("path", F.coalesce("body", to_text(F.col("html")), F.lit("")).alias("text"))
+    lines = plain.union(pages).union(bodies).select("path", F.posexplode(F.split(F.regexp_replace("text", r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)).alias("idx", "text"))
+    lines = lines.select("path", "idx", F.lit("line").alias("kind"), "text", F.lit(None).cast("string").alias("problem"))
+    rest = known.where(~F.col("kind").isin("text", "html", "eml", *files.READERS)).select("path", F.concat(F.lit("no reader: "), "kind").alias("problem")).union(mails.where("problem is not null").select("path", "problem"))
+    return office.union(lines).union(rest.select("path", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("text"), "problem"))

@@ -133,3 +133,13 @@ def test_outbound_json(spark):
 
     row = spark.range(1).select(web.outbound(F.array(F.lit("a@b")), F.lit("s"), F.lit('q"'), in_reply_to=F.lit("m1")).alias("a"), web.outbound(F.array(F.lit("a@b")), F.lit("s"), F.lit(None).cast("string")).alias("b")).first()
     assert json.loads(row.a) == {"to": ["a@b"], "subject": "s", "text": 'q"', "headers": {"In-Reply-To": "m1", "References": "m1"}} and json.loads(row.b) == {"to": ["a@b"], "subject": "s"}
+
+
+def test_blocks_of_any_kind(spark, folder):
+    rows = web.all_blocks(files.read(spark, folder)).collect()
+    of = lambda n: [(r.text, r.problem) for r in sorted(rows, key=lambda r: r.idx or 0) if r.path.endswith(n)]
+    assert of("f.txt") == [("plain", None)] and of("i.html") == [("x", None)] and of("d.eml") == [("hello", None)]
+    assert of("e.pdf") == [(None, "no reader: pdf")] and of("g.zip") == [(None, "no reader: zip")] and of("b.xlsx") == [("name | 12.5", None)]
+    assert len(of("a.docx")) == 11
+    odd = spark.createDataFrame([("x/o.txt", bytearray(b"caf\xe9 \xff\r\nb\n"))], "path string, content binary")
+    assert [(r.idx, r.text) for r in web.all_blocks(odd).orderBy("idx").collect()] == [(0, "caf\ufffd \ufffd"), (1, "b")]
