@@ -63,8 +63,9 @@ def tightened(known: DataFrame, far: DataFrame) -> DataFrame:
     """(doc_id, event, lo, hi): the first and last day of each event that its day and all distances allow, as day numbers.
 
     Distances go on from what changed in the last round only; an event said to be on several days has the days common
-    to all. One with none (lo above hi) stays as it is and nothing goes on from it. A round can only narrow what it
-    changes, so circles end; each is written before the next.
+    to all. One with none (lo above hi) stays as it is, and nothing goes on from it any more; what went on in earlier
+    rounds, when a day still fitted, stays. A round can only narrow what it changes, so circles end; each is written
+    before the next.
     """
     far, bounds = written(far), written(known)
     front = bounds

@@ -64,7 +64,11 @@ def test_bounds_are_the_tightest_that_the_distances_allow(spark, seed):
             want[f"E{i}"] = [max(w[0] for w in ways), min(w[1] for w in ways)]
     got = ordering.tightened(spark.createDataFrame(known, "doc_id long, event string, lo int, hi int"), spark.createDataFrame(far, "doc_id long, event string, anchor string, least int, most int"))
     got = {r.event: [r.lo, r.hi] for r in got.collect()}
+    # What hangs on an event that no day fits may have been told something before that came out.
     bad = {e for e, (lo, hi) in want.items() if lo > hi}
-    assert {e: b for e, b in got.items() if e not in bad} == {e: b for e, b in want.items() if e not in bad} and bad == {e for e, (lo, hi) in got.items() if lo > hi}
-
-
+    tainted = set()
+    for i in range(2, 9):
+        tainted |= {f"E{i}"} if any(e == f"E{i}" and a in bad | tainted for _, e, a, _, _ in far) else set()
+    sure = set(want) - tainted
+    assert {e: b for e, b in got.items() if e in sure - bad} == {e: b for e, b in want.items() if e in sure - bad}
+    assert bad & sure == {e for e, (lo, hi) in got.items() if lo > hi and e in sure} and len(sure) > 3
