@@ -197,7 +197,8 @@ def admitted(events: DataFrame, cap: int) -> DataFrame:
 
 def first_after(events: DataFrame, start: str, end: str, seconds: int) -> DataFrame:
     """(job_id, event_id, waited, in_time): for each start event, the job's next end event, and whether it came in time."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    # from the end backwards, so that a row adds to what is known: a frame that runs on to the end is gone through for each row
+    w = Window.partitionBy("job_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = events.withColumn("end_at", F.min(F.when(F.col("step") == end, F.col("ts"))).over(w)).where(F.col("step") == start)
     waited = F.unix_timestamp("end_at") - F.unix_timestamp("ts")
     return nexts.select("job_id", "event_id", waited.alias("waited"), F.coalesce(waited <= seconds, F.lit(False)).alias("in_time"))
