@@ -109,7 +109,9 @@ def search(mail: DataFrame, owner: str, terms: list[str], most: int = 20) -> Dat
 def resolve_aliases(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
     """(msg_id, thread): the thread of the first alias, in order of priority, that the same owner has."""
     each = wanted.select("msg_id", "owner", F.posexplode("wanted").alias("priority", "alias"))
-    return each.join(aliases, ["owner", "alias"]).groupBy("msg_id").agg(F.min_by("thread", F.struct("priority", "thread")).alias("thread"))
+    # of an alias only its least thread can be the answer, so a message meets one row for each name and never all threads
+    least = aliases.groupBy("owner", "alias").agg(F.min("thread").alias("thread"))
+    return each.join(least, ["owner", "alias"]).groupBy("msg_id").agg(F.min_by("thread", F.struct("priority", "thread")).alias("thread"))
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Steps whose work grows with their rows, and not with the square of a group's."""
 
 import datetime as dt
+import re
 
 from docketmill.operators import ledger
 
@@ -11,3 +12,12 @@ def test_first_after_looks_back_and_never_on_to_the_end_for_each_row(spark):
     found = ledger.first_after(spark.createDataFrame(rows, "job_id long, event_id long, ts timestamp, step string"), "view", "purchase", 240)
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 300, False), (1, 2, 0, True), (1, 4, 240, True), (1, 6, None, False), (2, 7, None, False)]
+
+
+def test_a_message_meets_each_alias_once(spark):
+    wanted = spark.createDataFrame([(1, "u", ["x", "a", "b"]), (2, "u", ["b", "a"]), (3, "w", ["a"])], "msg_id long, owner string, wanted array<string>")
+    aliases = spark.createDataFrame([("u", "a", 9), ("u", "a", 7), ("u", "b", 8), ("v", "x", 1)], "owner string, alias string, thread long")
+    found = ledger.resolve_aliases(wanted, aliases)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner.*Aggregate \[owner#\d+, alias#\d+\]", plan, re.DOTALL)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7), (2, 8)]
