@@ -1,9 +1,11 @@
 """Steps whose work grows with their rows, and not with the square of a group's."""
 
 import datetime as dt
+import difflib
+import random
 import re
 
-from docketmill.operators import ledger
+from docketmill.operators import ledger, versions
 
 
 def test_first_after_looks_back_and_never_on_to_the_end_for_each_row(spark):
@@ -21,3 +23,21 @@ def test_a_message_meets_each_alias_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner.*Aggregate \[owner#\d+, alias#\d+\]", plan, re.DOTALL)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 7), (2, 8)]
+
+
+def test_likeness_is_that_of_difflib_and_short_texts_need_no_table_of_characters(monkeypatch):
+    rnd, pairs = random.Random(5), []
+    for t in range(800):
+        letters = "ab" if t % 3 else "abcdefgh "
+        a = [rnd.choice(letters) for _ in range(rnd.randrange(60))]
+        b = list(a) if t % 4 else [rnd.choice(letters) for _ in range(rnd.randrange(60))]
+        for _ in range(rnd.randrange(8)):
+            i = rnd.randrange(len(b) + 1)
+            b[i : i + rnd.randrange(4)] = [rnd.choice(letters) for _ in range(rnd.randrange(4))]
+        pairs.append(("".join(a), "".join(b)))
+    want = [difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+    long = "".join(rnd.choice("abc") for _ in range(5000))
+    assert versions.likeness(long, "x" + long) == difflib.SequenceMatcher(None, long, "x" + long, autojunk=False).ratio()
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    assert [versions.likeness(a, b) for a, b in pairs] == want
+    assert versions.likeness("abcd", "abxy", 0.8) == 0.0 and versions.likeness("", "") == 1.0
