@@ -5,7 +5,7 @@ import difflib
 import random
 import re
 
-from docketmill.operators import ledger, versions
+from docketmill.operators import checks, ledger, versions
 
 
 def test_first_after_looks_back_and_never_on_to_the_end_for_each_row(spark):
@@ -41,3 +41,18 @@ def test_likeness_is_that_of_difflib_and_short_texts_need_no_table_of_characters
     monkeypatch.setattr(difflib, "SequenceMatcher", None)
     assert [versions.likeness(a, b) for a, b in pairs] == want
     assert versions.likeness("abcd", "abxy", 0.8) == 0.0 and versions.likeness("", "") == 1.0
+
+
+def test_findings_are_made_share_by_share_and_nothing_stays_kept(spark, monkeypatch):
+    from docketmill.plans import documents
+
+    kept, real = [], documents.structure.blocks
+    monkeypatch.setattr(documents.structure, "blocks", lambda docs: kept.append(docs.count()) or real(docs))
+    monkeypatch.setattr(checks, "CHECKS", [checks.blanks, checks.amounts])
+    monkeypatch.setattr(checks.run_all, "__defaults__", (checks.CHECKS,))
+    monkeypatch.setattr(documents, "DOCS_AT_ONCE", 600, raising=False)
+    found = documents.every_finding(spark, "/root/testdata/sf0.001")
+    docs = documents.agreements(spark, "/root/testdata/sf0.001")
+    assert len(kept) == 3 and max(kept) < 600 and sum(kept) == docs.count()
+    whole = checks.run_all(real(docs), checks.CHECKS)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and not spark._jsc.getPersistentRDDs()
