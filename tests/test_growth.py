@@ -56,3 +56,16 @@ def test_findings_are_made_share_by_share_and_nothing_stays_kept(spark, monkeypa
     assert len(kept) == 3 and max(kept) < 600 and sum(kept) == docs.count()
     whole = checks.run_all(real(docs), checks.CHECKS)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and not spark._jsc.getPersistentRDDs()
+
+
+def test_proofs_of_a_comparison_read_the_file_without_packing_it_again(monkeypatch):
+    from docketmill.sinks import compared, word
+
+    old, new = compared.built(["One two three four.", "Gone.", "A\tb"]), compared.built(["One two five four.", "A\tb", "New."])
+    made, calls, real = compared.compared(old, new, "x"), [], word._packed
+    assert made["old_proven"] and made["new_proven"]
+    for accept in (False, True):
+        assert compared.read_back(made["content"], accept) == compared.stories(word.decide(made["content"], lambda _, a=accept: a)) == compared.stories(new if accept else old)
+    for module in (compared, word):
+        monkeypatch.setattr(module, "_packed", lambda parts: calls.append(1) or real(parts))
+    assert compared.compared(old, new, "x") == made and len(calls) == 3
