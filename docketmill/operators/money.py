@@ -20,12 +20,20 @@ def _map(pairs: dict) -> Column:
 
 def amounts(blocks: DataFrame) -> DataFrame:
     """(doc_id, idx, at, kind, currency, value): money with its scale, and percentages."""
+    # both are looked for in one pass, in lines that hold what they can't do without; rows of a document stay together
     text = F.col("text")
-    money = blocks.select("doc_id", "idx", F.posexplode(F.arrays_zip(*(all_of(text, MONEY, i).alias(n) for i, n in ((1, "c"), (2, "n"), (3, "s"))))).alias("at", "x"))
-    scale = F.coalesce(F.try_element_at(_map(SCALE), F.col("x.s")), F.lit(1))
-    money = money.select("doc_id", "idx", "at", F.lit("money").alias("kind"), F.try_element_at(_map(CURRENCY), F.col("x.c")).alias("currency"), (F.replace("x.n", F.lit(","), F.lit("")).try_cast(VALUE) * scale).try_cast(VALUE).alias("value"))
-    percent = blocks.select("doc_id", "idx", F.posexplode(all_of(text, PERCENT, 1)).alias("at", "n")).select("doc_id", "idx", "at", F.lit("percent").alias("kind"), F.lit(None).cast("string").alias("currency"), F.col("n").try_cast(VALUE).alias("value"))
-    return money.union(percent).where("value is not null")  # a number beyond sixteen digits is no amount
+    signs, percents = text.rlike("USD|GBP|EUR|[$£€]"), F.contains("text", F.lit("%")) | F.contains("text", F.lit("per cent"))
+    none = F.array().cast("array<struct<at:int,kind:string,c:string,n:string,s:string>>")
+    row = lambda at, kind, c, n, s: F.struct(at.alias("at"), F.lit(kind).alias("kind"), c.alias("c"), n.alias("n"), s.alias("s"))
+    groups = F.arrays_zip(*(all_of(text, MONEY, i).alias(n) for i, n in ((1, "c"), (2, "n"), (3, "s"))))
+    money = F.when(signs, F.transform(groups, lambda x, i: row(i, "money", x["c"], x["n"], x["s"]))).otherwise(none)
+    empty = F.lit(None).cast("string")
+    percent = F.when(percents, F.transform(all_of(text, PERCENT, 1), lambda x, i: row(i, "percent", empty, x, empty))).otherwise(none)
+    each = blocks.where(signs | percents).select("doc_id", "idx", F.inline(F.concat(money, percent)))
+    scale = F.coalesce(F.try_element_at(_map(SCALE), F.col("s")), F.lit(1))
+    value = F.when(F.col("kind") == "percent", F.col("n").try_cast(VALUE)).otherwise((F.replace("n", F.lit(","), F.lit("")).try_cast(VALUE) * scale).try_cast(VALUE))
+    found = each.select("doc_id", "idx", "at", "kind", F.try_element_at(_map(CURRENCY), F.col("c")).alias("currency"), value.alias("value"))
+    return found.where("value is not null")  # a number beyond sixteen digits is no amount
 
 
 def cell_value(text: Column) -> Column:

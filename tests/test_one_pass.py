@@ -2,7 +2,7 @@
 
 import re
 
-from docketmill.operators import checks, structure
+from docketmill.operators import checks, deadlines, money, ordering, structure
 from docketmill.plans.documents import agreements, lines
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +45,10 @@ def test_texts_are_made_after_the_rows_are_dealt_out(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     told = told.split("Initial Plan")[0]
     assert not [x for x in told.splitlines() if "Exchange hashpartitioning(doc_id" in x]
+
+
+def test_amounts_and_percentages_are_found_in_one_pass(spark):
+    found = money.amounts(text_of(spark, "Pay USD 1,500.00 and $2 million, or 5% and 7.5 per cent of £3k.", "none", "EUR 99999999999999999999"))
+    assert len(re.findall("Generate", plan(found))) == 2
+    got = sorted((r.doc_id, r.kind, r["at"], r.currency, str(r.value)) for r in found.collect())
+    assert got == [(0, "money", 0, "USD", "1500.00"), (0, "money", 1, "USD", "2000000.00"), (0, "money", 2, "GBP", "3000.00"), (0, "percent", 0, None, "5.00"), (0, "percent", 1, None, "7.50")]
