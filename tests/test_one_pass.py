@@ -52,3 +52,18 @@ def test_amounts_and_percentages_are_found_in_one_pass(spark):
     assert len(re.findall("Generate", plan(found))) == 2
     got = sorted((r.doc_id, r.kind, r["at"], r.currency, str(r.value)) for r in found.collect())
     assert got == [(0, "money", 0, "USD", "1500.00"), (0, "money", 1, "USD", "2000000.00"), (0, "money", 2, "GBP", "3000.00"), (0, "percent", 0, None, "5.00"), (0, "percent", 1, None, "7.50")]
+
+
+def test_dates_and_periods_are_found_in_one_pass_and_stay_with_their_document(spark):
+    b = text_of(spark, "On 30 days notice, from 3 May 2026 and after 2 weeks until August 5, 2026.", "Paid for 1 year on 31 February 2026")
+    told = plan(deadlines.table(b))
+    assert len(re.findall("Generate", told)) == 2 and "Union" not in told
+    got = sorted((r.doc_id, r.kind, r.what, str(r.day), r.lo, r.hi) for r in deadlines.table(b).collect())
+    days = [(0, "date", "3 May 2026", "2026-05-03", None, None), (0, "date", "August 5, 2026", "2026-08-05", None, None)]
+    assert got == sorted([*days, (0, "period", "2 week", "None", 14.0, 14.0), (0, "period", "30 day", "None", 30.0, 30.0), (1, "date", "31 February 2026", "None", None, None), (1, "period", "1 year", "None", 365.0, 366.0)])
+
+
+def test_lines_that_cannot_hold_an_anchored_period_meet_no_pattern(spark):
+    b = text_of(spark, '"Start Date" means 31 January 2027.\nPaid 1 month after the Start Date, or 5 weeks beginning with the Start Date.')
+    assert plan(deadlines.due(b)).count("Contains(text") >= 3
+    assert sorted(str(r.day) for r in deadlines.due(b).collect()) == ["2027-02-28", "2027-03-06"]
