@@ -32,7 +32,7 @@ FLAGS = {
 def _rows(lines: DataFrame, pattern: str, *names: str) -> DataFrame:
     """(doc_id, idx, *names): the groups of each match."""
     groups = F.arrays_zip(*(all_of(F.col("text"), pattern, i + 1).alias(n) for i, n in enumerate(names)))
-    return lines.select("doc_id", "idx", F.inline(groups))
+    return lines.where(F.col("text").rlike(pattern)).select("doc_id", "idx", F.inline(groups))
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -49,8 +49,8 @@ def stated(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, event, lo, hi) of events with a day, (doc_id, event, anchor, least, most) of events at a distance): the day
     of signing, and terms whose meaning is a day or a distance from another term."""
     signed = _rows(lines, SIGNED, "day").groupBy("doc_id").agg(F.min_by("day", "idx").alias("day")).select("doc_id", F.lit(SIGNING).alias("event"), date_of(F.col("day")).alias("day"))
-    meant = checks.definitions(lines).where("how = 'stated'").select("doc_id", F.col("term").alias("event"), "meaning")
-    days = meant.select("doc_id", "event", date_of(F.regexp_extract("meaning", "^" + checks.DAY_FIRST[2:], 0)).alias("day"))
+    meant = written(checks.definitions(lines).where("how = 'stated'").select("doc_id", F.col("term").alias("event"), "meaning"))
+    days = meant.where(F.col("meaning").rlike("^" + checks.DAY_FIRST[2:])).select("doc_id", "event", date_of(F.regexp_extract("meaning", "^" + checks.DAY_FIRST[2:], 0)).alias("day"))
     known = signed.union(days).where("day is not null").select("doc_id", "event", _number(F.col("day")).alias("day"))
     known = known.groupBy("doc_id", "event").agg(F.max("day").alias("lo"), F.min("day").alias("hi"))
     part = lambda i: F.regexp_extract("meaning", MEANT, i)
@@ -95,6 +95,8 @@ def contradictions(lines: DataFrame) -> DataFrame:
     held against the one that contradicts it most (the earliest stop, the longest release, the shortest notice), so
     there is one finding for a row and never a pair of all. Documents without such rows give none.
     """
+    # a line without a figure or a quotation tells nothing here; what is read twice is written before
+    lines = lines.where(F.col("text").rlike(r"\d|" + checks.QUOTE))
     known, far = stated(lines)
     bounds = tightened(known, far)
     stop = F.col("event").rlike(STOP)
@@ -110,18 +112,21 @@ def contradictions(lines: DataFrame) -> DataFrame:
     said = F.concat_ws(" ", "n", "unit")
     distances = lines.where(F.col("text").rlike(DISTANCE)).withColumn("kind", deadlines.kind_of(F.regexp_extract("text", rf"^(.*?){DISTANCE}", 1), F.lit("")))
     groups = F.arrays_zip(*(all_of(F.col("text"), DISTANCE, i + 1).alias(n) for i, n in enumerate(("n", "unit", "way", "anchor"))))
-    distances = _bounded(distances.select("doc_id", "kind", F.inline(groups))).where("way = 'after'").withColumn("said", said)
+    distances = written(distances.select("doc_id", "kind", F.inline(groups)))
+    distances = _bounded(distances).where("way = 'after'").withColumn("said", said)
     longest = distances.where("kind = 'holdback'").groupBy("doc_id", "anchor").agg(F.max(F.struct("lo", "said")).alias("held"))
     claims = distances.where("kind = 'claim'").select("doc_id", "anchor", "hi", "said").distinct()
     found.append(_flag(claims.join(longest, ["doc_id", "anchor"]).where("hi < held.lo"), "claims end before release", F.col("said"), F.col("held.said")))
 
-    clauses = structure.with_clauses(lines).select("doc_id", "idx", "part", F.coalesce("clause", F.lit(0)).alias("clause"))
-    told = _bounded(deadlines.classified(lines).where("kind in ('remedy', 'ending')").join(clauses, ["doc_id", "idx"])).withColumn("said", said)
+    # a clause begins at a line with a number, and a schedule at its title: lines without either or a period don't matter
+    counted = F.col("text").rlike(f"{structure.NUMBER}|{structure.SCHEDULE}|" + "|".join(deadlines.UNITS))
+    clauses = structure.with_clauses(lines.where(counted)).select("doc_id", "idx", "part", F.coalesce("clause", F.lit(0)).alias("clause"))
+    told = _bounded(written(written(deadlines.classified(lines)).where("kind in ('remedy', 'ending')").join(clauses, ["doc_id", "idx"]))).withColumn("said", said)
     shortest = told.where("kind = 'ending'").groupBy("doc_id", F.coalesce("part", F.lit("")).alias("part"), "clause").agg(F.min(F.struct("hi", "said")).alias("notice"))
     remedies = told.where("kind = 'remedy'").select("doc_id", F.coalesce("part", F.lit("")).alias("part"), "clause", "lo", "said").distinct()
     found.append(_flag(remedies.join(shortest, ["doc_id", "part", "clause"]).where("lo > notice.hi"), "remedy outlasts notice", F.col("said"), F.col("notice.said")))
 
-    lengths = _bounded(_rows(lines, LENGTH, "name", "n", "unit")).withColumn("said", said)
+    lengths = _bounded(written(_rows(lines, LENGTH, "name", "n", "unit"))).withColumn("said", said)
     w = Window.partitionBy("doc_id", "name").orderBy("idx", "said")
     first = lengths.withColumns({"first_lo": F.first("lo").over(w), "first_hi": F.first("hi").over(w), "first_said": F.first("said").over(w)})
     twice = first.where("first_lo > hi or lo > first_hi").select("doc_id", "name", "said", "first_said").distinct()

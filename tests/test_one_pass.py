@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from docketmill.operators import checks, deadlines, money, ordering, structure
 from docketmill.plans.documents import agreements, lines
 
@@ -67,3 +69,16 @@ def test_lines_that_cannot_hold_an_anchored_period_meet_no_pattern(spark):
     b = text_of(spark, '"Start Date" means 31 January 2027.\nPaid 1 month after the Start Date, or 5 weeks beginning with the Start Date.')
     assert plan(deadlines.due(b)).count("Contains(text") >= 3
     assert sorted(str(r.day) for r in deadlines.due(b).collect()) == ["2027-02-28", "2027-03-06"]
+
+
+def test_what_stands_around_a_period_is_searched_few_times(spark):
+    frame = spark.createDataFrame([("the fee is paid; in force", "after notice"), ("it may extend", ""), ("", "x terminated"), ("", "")], "b string, a string")
+    kind = frame.select(deadlines.kind_of(F.col("b"), F.col("a")).alias("kind"))
+    assert plan(kind).count("invoic") <= 5
+    assert [r.kind for r in kind.collect()] == ["duration", "extension", "ending", None]
+
+
+def test_contradictions_of_times_are_the_same_without_lines_that_tell_nothing(spark):
+    text = "Dated 3 March 2026\n{}1. Ending\n{}Either party may terminate on 4 weeks notice.\nA breach is cured within 60 days.\n{}\"Long Stop Date\" means 1 February 2026."
+    rows = [sorted(tuple(r)[1:] for r in ordering.contradictions(text_of(spark, text.format(x, x, x))).collect()) for x in ("", "Nothing else applies.\n")]
+    assert rows[0] == rows[1] == [("remedy outlasts notice", 2, "60 day", "4 week"), ("stop before signing", 1, "Long Stop Date", "signing")]
