@@ -28,8 +28,8 @@ HELD_WORDS, LONGEST = 150_000, 64
 #: States, lanes and steps between truncations of training; pieces that the driver trains on first and characters
 #: of the longest piece; passes over them.
 STATES, LANES, STEPS, SAMPLE, LONGEST_SAMPLE, PASSES, RATE = 24, 64, 24, 1500, 20_000, 1, 0.01
-#: Share of all pieces that the workers train on after the driver, their rate, and the pieces that one gathers first.
-SHARE, LATER_RATE, PIECES = 0.125, 0.003, 1500
+#: Share of all pieces that the workers train on after the driver (all of them), their rate, and the pieces that one gathers first.
+SHARE, LATER_RATE, PIECES = 1.0, 0.003, 1500
 #: Lanes of scoring, steps whose outputs are scored at once, and tokens that a worker gathers first.
 SCORING_LANES, BULK, GATHERED = 256, 64, 2_000_000
 HELD_OUT = 7, 2
@@ -350,7 +350,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> tuple[Table, Model]:
     """Counts cover all training documents. The recurrent weights are fitted on about `sample` pieces of them by
     the driver, each different one once, and go on from there on a SHARE of all pieces, each partition for itself; the
-    mean of what they reach, weighted by tokens, is the model. README says what a larger share would bring."""
+    mean of what they reach, weighted by tokens, is the model. With a SHARE of 1 no piece is left out."""
     known = table(counts)
     reader = Scorer(known)
     training = docs.where(~F.col("held_out")).select("k", "text")

@@ -44,3 +44,9 @@ def test_a_very_long_text_is_cut_in_time(spark):
     began = time.time()
     assert lm.pieces(spark.range(1).selectExpr("id as k", "repeat('some words ', 3000000) as text"), 0.0, 1.1).count() == 1650
     assert time.time() - began < 60
+
+
+def test_workers_train_on_every_piece(spark):
+    frame = spark.createDataFrame([(i, f"text {i} " * 40, False) for i in range(300)] + [(300, "long " * 9000, False)], SCHEMA)
+    trained, every = (sorted(r.text for r in lm.pieces(frame, low, 1.1).collect()) for low in (1 - lm.SHARE, 0.0))
+    assert trained == every
