@@ -71,3 +71,25 @@ def test_exactly_four_fifths_count_and_bands_reach_them():
 
 def test_no_rows(spark):
     assert near_copies.near_copies(spark.createDataFrame([], SCHEMA), key="doc_id").collect() == []
+
+
+def test_simhash_links_what_no_band_holds(spark, monkeypatch):
+    """The named method gives rows by itself: without min-hash bands, close copies are still told, and no others."""
+    monkeypatch.setattr(near_copies, "bands", lambda hashes: [])
+    rnd = random.Random(5)
+    rows = []
+    for i in range(10):
+        words = words_of(rnd, 2000)
+        rows += [(i, " ".join(words)), (100 + i, " ".join(words) + " more")]
+    sets = [near_copies.shingles(t) for _, t in rows]
+    bits = [(near_copies.fingerprint(a) ^ near_copies.fingerprint(b)).bit_count() for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(b <= 2 for b in bits) > 5
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, SCHEMA), key="doc_id").collect()}
+    assert got == {i: i for i in range(10)} | {100 + i: i if bits[i] <= 2 else 100 + i for i in range(10)}
+
+
+def test_roots_are_composed_before_rows_are_renamed(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "old long, new long")
+    got = near_copies._composed(frame((9, 5), (8, 6)), [frame((5, 3)), frame((3, 1), (6, 2))])
+    assert {(r.old, r.new) for r in got.collect()} == {(9, 1), (8, 2), (5, 1), (3, 1), (6, 2)}
+    assert near_copies._composed(None, []) is None
