@@ -37,7 +37,10 @@ def _made(names: pd.Series, authors: pd.Series, companies: pd.Series, links: pd.
 
 
 def files(spark, sf_dir):
-    things = spark.sql(f"with {THINGS.replace('from customer', 'from {customer}')} select * from things", customer=base(spark, sf_dir, "customer"))
+    # The short rows are dealt out before their files are made: a table in one small file is worked on by all cores.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    customer = base(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(n, "c_custkey")
+    things = spark.sql(f"with {THINGS.replace('from customer', 'from {customer}')} select * from things", customer=customer)
     return things.select(F.col("c_custkey").cast("string").alias("path"), _made("c_name", "author", "company", "link", "mark").alias("content"), F.concat_ws("\n", F.concat(F.lit("Deed with "), "c_name"), F.lit("Company 3 is a party.")).alias("text"))
 
 

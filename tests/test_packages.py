@@ -50,3 +50,11 @@ def test_other_attachments(spark):
     rows = [(1, 0, "deed.docx", bytearray(OUTER)), (1, 1, "x.docx", bytearray(docx(docProps__app_xml="<P><Manager>B</Manager></P>"))), (1, 2, "y.docx", bytearray(docx())), (2, 0, "z.docx", bytearray(OUTER)), (2, 1, "t.txt", bytearray(b"text"))]
     frame = spark.createDataFrame(rows, "msg_id long, position int, filename string, content binary")
     assert [tuple(r) for r in packages.other_attachments(frame).collect()] == [(1, 1, "x.docx", "property: B")]
+
+
+def test_files_are_made_by_all_cores(spark):
+    """A table in one small file is dealt out before its files are made."""
+    from docketmill.plans import packages as plans
+
+    made = plans.files(spark, "/root/testdata/sf0.001")
+    assert made.select("path").rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
