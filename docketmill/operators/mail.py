@@ -149,18 +149,24 @@ def matter(mail: DataFrame) -> DataFrame:
 
 def quote_found(quote: Column, text: Column) -> Column:
     """Whether a quotation stands in a text word for word; an ellipsis stands for anything between its parts."""
-    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9.]+", " "))
-    parts = F.filter(F.transform(F.split(norm(quote), r"\.\.\."), lambda p: F.trim(p)), lambda p: p != "")
+    plain = lambda low: F.trim(F.regexp_replace(low, r"[^a-z0-9.]+", " "))
+    words = lambda x, between: F.filter(F.transform(F.split(x, between), lambda p: F.trim(p)), lambda p: p != "")
+    parts, single = words(plain(F.lower(quote)), r"\.\.\."), words(plain(F.lower(quote)), r"\.\.\.| ")
 
-    def within(whole: Column) -> Column:
+    def in_order(pieces: Column, whole: Column) -> Column:
         def step(at: Column, p: Column) -> Column:
-            rest = F.instr(F.substring(whole, at, F.length(whole)), p)
-            return F.when((at == 0) | (rest == 0), F.lit(0)).otherwise(at + rest - 1 + F.length(p))
+            found = F.position(p, whole, at)
+            return F.when((at == 0) | (found == 0), F.lit(0)).otherwise(found + F.length(p))
 
-        return F.aggregate(parts, F.lit(1), step) > 0
+        return F.aggregate(pieces, F.lit(1), step) > 0
 
-    # a variable of a lambda, so that the text is normalised once and not in each step
-    return F.element_at(F.transform(F.array(norm(text)), within), 1)
+    def within(low: Column) -> Column:
+        # parts that stand there as they are stand in the plain text, and words that do not stand there in order do not; only
+        # what neither tells needs the plain text, which costs more than all else
+        return F.when(in_order(parts, low), True).when(~in_order(single, low), False).otherwise(F.element_at(F.transform(F.array(plain(low)), lambda whole: in_order(parts, whole)), 1))
+
+    # a variable of a lambda, so that the text is put in lower case once and not in each step
+    return F.element_at(F.transform(F.array(F.lower(text)), within), 1)
 
 
 def conversations_by_stem(files: DataFrame) -> DataFrame:

@@ -82,3 +82,22 @@ def test_contradictions_of_times_are_the_same_without_lines_that_tell_nothing(sp
     text = "Dated 3 March 2026\n{}1. Ending\n{}Either party may terminate on 4 weeks notice.\nA breach is cured within 60 days.\n{}\"Long Stop Date\" means 1 February 2026."
     rows = [sorted(tuple(r)[1:] for r in ordering.contradictions(text_of(spark, text.format(x, x, x))).collect()) for x in ("", "Nothing else applies.\n")]
     assert rows[0] == rows[1] == [("remedy outlasts notice", 2, "60 day", "4 week"), ("stop before signing", 1, "Long Stop Date", "signing")]
+
+
+def test_quotations_are_told_without_the_plain_text_where_that_is_enough(spark):
+    from docketmill.operators import mail
+
+    def brute(quote, text):
+        plain = lambda x: re.sub("[^a-z0-9.]+", " ", x.lower()).strip()
+        at, whole = 0, plain(text)
+        for part in filter(None, (p.strip() for p in plain(quote).split("..."))):
+            if (found := whole.find(part, at)) < 0:
+                return False
+            at = found + len(part)
+        return True
+
+    texts = ["The Seller\n delivers, and pays.", "the seller delivers", "delivers the seller", "Seller: delivers... the end", "THE  SELLER", "", "é the seller é delivers 1.5", "a b a", "sellerdelivers the"]
+    quotes = ["The Seller delivers", "seller ... delivers", "delivers ... seller", "the seller...", "...", "", "a ... a", "a b ... a", "1.5", "seller delivers the"]
+    for q in quotes:
+        got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mail.quote_found(F.lit(q), F.col("text")).alias("f")).collect()
+        assert [r.f for r in got] == [brute(q, r.text) for r in got], q
