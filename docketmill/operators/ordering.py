@@ -6,11 +6,15 @@ days, so each event has a first and a last possible day, and a contradiction is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketmill.functions.text import all_of, date_of
-from docketmill.operators import checks, deadlines, structure
+from docketmill.operators import checks, deadlines
+from docketmill.operators.reading import Document, Line, _day, _p, read_whole
 from docketmill.tables import dropped, written
 
 UNITS = r"(days?|weeks?|months?|years?)"
@@ -82,11 +86,142 @@ def tightened(known: DataFrame, far: DataFrame) -> DataFrame:
         dropped(old)
 
 
-def _flag(rows: DataFrame, kind: str, what: Column, other: Column) -> DataFrame:
-    return rows.select("doc_id", F.lit(kind).alias("kind"), F.lit(FLAGS[kind]).alias("severity"), what.alias("what"), other.alias("other"))
-
-
-def contradictions(lines: DataFrame) -> DataFrame:
+class TimedLine(Line):
+    """What a line says of times."""
+
+    @cached_property
+    def signed(self) -> list[str]:
+        return _p(SIGNED).findall(self.text)
+
+    @cached_property
+    def terms(self) -> tuple[list[tuple[str, int]], list[tuple[str, str, int, int]]]:
+        """((event, day) of terms that mean a day, (event, anchor, least, most) of those at a distance)"""
+        days, far = [], []
+        for term, meaning, how in self.defined:
+            if how == "stated" and (m := _p("^" + checks.DAY_FIRST[2:]).search(meaning)) and (day := _day(m[0])):
+                days.append((term, _since(day)))
+            if how == "stated" and (m := _p(MEANT).search(meaning)):
+                lo, hi = _length(m[1], m[2])
+                far.append((term, m[4], lo, hi) if m[3] == "after" else (term, m[4], -hi, -lo))
+        return days, far
+
+    @cached_property
+    def distances(self) -> list[tuple[str | None, str, int, int, str]]:
+        """(kind, anchor, lo, hi, as it is said) of distances after an event"""
+        if not (before := _p(rf"^(.*?){DISTANCE}").search(self.text)):
+            return []
+        kind = deadlines.kind_in(before[1], "")
+        return [(kind, anchor, *_length(n, unit), f"{n} {unit}") for n, unit, way, anchor in _p(DISTANCE).findall(self.text) if way == "after"]
+
+    @cached_property
+    def told(self) -> list[tuple[str, int, int, str]]:
+        """(kind, lo, hi, as it is said) of remedies and notices"""
+        periods = deadlines.classified_in(self.text)
+        return [(kind, *_length(n, unit), f"{n} {unit}") for kind, n, unit in periods if kind in ("remedy", "ending")]
+
+    @cached_property
+    def lengths(self) -> list[tuple[str, int, int, str]]:
+        return [(name, *_length(n, unit), f"{n} {unit}") for name, n, unit in _p(LENGTH).findall(self.text)]
+
+    @cached_property
+    def before_end(self) -> list[tuple[str, int, str]]:
+        return [(name, _length(n, unit)[0], f"{n} {unit}") for n, unit, name in _p(BEFORE_END).findall(self.text)]
+
+
+def _since(day: dt.date) -> int:
+    return (day - dt.date(1970, 1, 1)).days
+
+
+def _length(n: str | int, unit: str) -> tuple[int, int]:
+    lo, hi = deadlines.DAYS[unit.removesuffix("s")]
+    return int(n) * int(lo), int(n) * int(hi)
+
+
+def _tightened(bounds: dict[str, tuple[int, int]], far: list[tuple[str, str, int, int]]) -> dict[str, tuple[int, int]]:
+    """tightened() of one document, in its rounds."""
+    bounds, front = dict(bounds), bounds
+    while front:
+        new: dict[str, tuple[int, int]] = {}
+        for event, anchor, least, most in far:
+            lo, hi = front.get(anchor, (1, 0))
+            if lo <= hi:
+                was = new.get(event, (lo + least, hi + most))
+                new[event] = max(was[0], lo + least), min(was[1], hi + most)
+        front = {}
+        for event, (lo, hi) in new.items():
+            old = bounds.get(event)
+            if old is None or (old[0] <= old[1] and (lo > old[0] or hi < old[1])):
+                front[event] = (lo, hi) if old is None else (max(lo, old[0]), min(hi, old[1]))
+        bounds |= front
+    return bounds
+
+
+def _contradictions(doc: Document) -> list[tuple[str, int, str, str]]:
+    """The rows (kind, severity, what, other) of contradictions(). Rows without a key belong to no document."""
+    known, far = {}, []
+    said = next((line.signed[0] for _, line in doc.lines if line.signed), None)
+    for event, day in [(SIGNING, _since(day))] if said and (day := _day(said)) else []:
+        known[event] = (day, day)
+    for _, line in doc.lines:
+        for event, day in line.terms[0]:
+            lo, hi = known.get(event, (day, day))
+            known[event] = max(lo, day), min(hi, day)
+        far += line.terms[1]
+    bounds = _tightened(known, far if doc.key is not None else [])
+    out = [("no day fits", event, "") for event, (lo, hi) in bounds.items() if lo > hi]
+    if doc.key is None:
+        return [(kind, FLAGS[kind], *row) for kind, *row in out]
+
+    fit = {event: b for event, b in bounds.items() if b[0] <= b[1]}
+    stops = {event for event in fit if _p(STOP).search(event)}
+    stop = min(((fit[event][1], event) for event in stops), default=None)
+    signed = fit[SIGNING][0] if SIGNING in fit else None
+    for event, (lo, hi) in fit.items():
+        if event in stops:
+            if signed is not None and hi < signed:
+                out.append(("stop before signing", event, SIGNING))
+        elif event != SIGNING:
+            if stop and stop[0] < lo:
+                out.append(("stop before event", event, stop[1]))
+            if signed is not None and hi < signed:
+                out.append(("event before signing", event, SIGNING))
+
+    held: dict[str, tuple[int, str]] = {}
+    distances = [d for _, line in doc.lines for d in line.distances]
+    for kind, anchor, lo, _, shown in distances:
+        if kind == "holdback":
+            held[anchor] = max(held.get(anchor, (lo, shown)), (lo, shown))
+    for anchor, hi, shown in {(anchor, hi, shown) for kind, anchor, _, hi, shown in distances if kind == "claim"}:
+        if anchor in held and hi < held[anchor][0]:
+            out.append(("claims end before release", shown, held[anchor][1]))
+
+    part, notices, remedies = None, {}, set()
+    for (_, line), clause in zip(doc.lines, doc.clauses, strict=True):
+        part = line.title or part
+        for kind, lo, hi, shown in line.told:
+            if kind == "ending":
+                notices[part, clause] = min(notices.get((part, clause), (hi, shown)), (hi, shown))
+            else:
+                remedies.add((part, clause, lo, shown))
+    for part, clause, lo, shown in remedies:
+        if (part, clause) in notices and lo > notices[part, clause][0]:
+            out.append(("remedy outlasts notice", shown, notices[part, clause][1]))
+
+    lengths: dict[str, list[tuple[int, str, int, int]]] = {}
+    for idx, line in doc.lines:
+        for name, lo, hi, shown in line.lengths:
+            lengths.setdefault(name, []).append((idx, shown, lo, hi))
+    for name, each in lengths.items():
+        _, first, first_lo, first_hi = min(each)
+        out += [("term stated twice", f"{name} {shown}", first) for shown in {shown for _, shown, lo, hi in each if first_lo > hi or lo > first_hi}]
+    for name, lo, shown in {n for _, line in doc.lines for n in line.before_end}:
+        each = lengths.get(name, [])
+        if len({x[2:] for x in each}) == 1 and lo > each[0][3]:
+            out.append(("notice longer than term", shown, f"{name} {min(x[1] for x in each)}"))
+    return [(kind, FLAGS[kind], *row) for kind, *row in out]
+
+
+def contradictions(lines: DataFrame, *, together: bool = False) -> DataFrame:
     """(doc_id, kind, severity, what, other): what of a document's times can't be on any reading.
 
     Claims that end before what is held back for them is released; a remedy that takes longer than the notice that ends the
@@ -94,48 +229,8 @@ def contradictions(lines: DataFrame) -> DataFrame:
     longer than the term before whose end it is given; a term of two lengths; an event that no day fits. Each row is
     held against the one that contradicts it most (the earliest stop, the longest release, the shortest notice), so
     there is one finding for a row and never a pair of all. Documents without such rows give none.
+
+    Each document is read once, so nothing is joined, broadcast or written on the way. `together`: the lines of each document
+    stand in a row already.
     """
-    # a line without a figure or a quotation tells nothing here; what is read twice is written before
-    lines = lines.where(F.col("text").rlike(r"\d|" + checks.QUOTE))
-    known, far = stated(lines)
-    bounds = tightened(known, far)
-    stop = F.col("event").rlike(STOP)
-    found = [_flag(bounds.where("lo > hi"), "no day fits", F.col("event"), F.lit(""))]
-    fit = bounds.where("lo <= hi")
-    first_stop = fit.where(stop).groupBy("doc_id").agg(F.min(F.struct("hi", "event")).alias("stop"))
-    signing = fit.where(F.col("event") == SIGNING).select("doc_id", F.col("lo").alias("signed"))
-    events = fit.where(~stop & (F.col("event") != SIGNING))
-    found.append(_flag(events.join(first_stop, "doc_id").where("stop.hi < lo"), "stop before event", F.col("event"), F.col("stop.event")))
-    found.append(_flag(events.join(signing, "doc_id").where("hi < signed"), "event before signing", F.col("event"), F.lit(SIGNING)))
-    found.append(_flag(fit.where(stop).join(signing, "doc_id").where("hi < signed"), "stop before signing", F.col("event"), F.lit(SIGNING)))
-
-    said = F.concat_ws(" ", "n", "unit")
-    distances = lines.where(F.col("text").rlike(DISTANCE)).withColumn("kind", deadlines.kind_of(F.regexp_extract("text", rf"^(.*?){DISTANCE}", 1), F.lit("")))
-    groups = F.arrays_zip(*(all_of(F.col("text"), DISTANCE, i + 1).alias(n) for i, n in enumerate(("n", "unit", "way", "anchor"))))
-    distances = written(distances.select("doc_id", "kind", F.inline(groups)))
-    distances = _bounded(distances).where("way = 'after'").withColumn("said", said)
-    longest = distances.where("kind = 'holdback'").groupBy("doc_id", "anchor").agg(F.max(F.struct("lo", "said")).alias("held"))
-    claims = distances.where("kind = 'claim'").select("doc_id", "anchor", "hi", "said").distinct()
-    found.append(_flag(claims.join(longest, ["doc_id", "anchor"]).where("hi < held.lo"), "claims end before release", F.col("said"), F.col("held.said")))
-
-    # a clause begins at a line with a number, and a schedule at its title: lines without either or a period don't matter
-    counted = F.col("text").rlike(f"{structure.NUMBER}|{structure.SCHEDULE}|" + "|".join(deadlines.UNITS))
-    clauses = structure.with_clauses(lines.where(counted)).select("doc_id", "idx", "part", F.coalesce("clause", F.lit(0)).alias("clause"))
-    told = _bounded(written(written(deadlines.classified(lines)).where("kind in ('remedy', 'ending')").join(clauses, ["doc_id", "idx"]))).withColumn("said", said)
-    shortest = told.where("kind = 'ending'").groupBy("doc_id", F.coalesce("part", F.lit("")).alias("part"), "clause").agg(F.min(F.struct("hi", "said")).alias("notice"))
-    remedies = told.where("kind = 'remedy'").select("doc_id", F.coalesce("part", F.lit("")).alias("part"), "clause", "lo", "said").distinct()
-    found.append(_flag(remedies.join(shortest, ["doc_id", "part", "clause"]).where("lo > notice.hi"), "remedy outlasts notice", F.col("said"), F.col("notice.said")))
-
-    lengths = _bounded(written(_rows(lines, LENGTH, "name", "n", "unit"))).withColumn("said", said)
-    w = Window.partitionBy("doc_id", "name").orderBy("idx", "said")
-    first = lengths.withColumns({"first_lo": F.first("lo").over(w), "first_hi": F.first("hi").over(w), "first_said": F.first("said").over(w)})
-    twice = first.where("first_lo > hi or lo > first_hi").select("doc_id", "name", "said", "first_said").distinct()
-    found.append(_flag(twice, "term stated twice", F.concat_ws(" ", "name", "said"), F.col("first_said")))
-    one = lengths.groupBy("doc_id", "name").agg(F.count_distinct("lo", "hi").alias("n_lengths"), F.max("hi").alias("term"), F.min("said").alias("other")).where("n_lengths = 1")
-    notices = _bounded(_rows(lines, BEFORE_END, "n", "unit", "name")).select("doc_id", "name", "lo", said.alias("said")).distinct()
-    found.append(_flag(notices.join(one, ["doc_id", "name"]).where("lo > term"), "notice longer than term", F.col("said"), F.concat_ws(" ", "name", "other")))
-
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    return read_whole(lines, _contradictions, {"kind": "string", "severity": "int", "what": "string", "other": "string"}, together=together, kind=TimedLine)

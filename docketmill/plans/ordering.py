@@ -57,4 +57,4 @@ P = PARTED.replace("from blocks", "from time_lines").split(", q0 as (")[0]
  union all select distinct b.doc_id, 'notice longer than term', 1, b.said, concat(b.name, ' ', o.said) from b join (select doc_id, name, max(hi) as hi, min(said) as said from t group by doc_id, name having count(distinct (lo, hi)) = 1) o on o.doc_id = b.doc_id and o.name = b.name where b.lo > o.hi""")
 def time_contradictions(spark, sf_dir):
     """What of the times of each document can't be on any reading."""
-    return ordering.contradictions(lines(spark, sf_dir))
+    return ordering.contradictions(blocks(view(spark, sf_dir, "times", in_order=True)), together=True)

@@ -53,3 +53,34 @@ def test_neither_lines_nor_words_are_shuffled_or_sorted(spark):
         plan = getattr(documents, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         lines = plan[: plan.index("Generate posexplode")]
         assert lines.count("MapInArrow") == 1 and not re.search("Exchange|Sort|Window|Join", lines) and "REPARTITION_BY_NUM" in plan
+
+
+def test_kinds_of_periods_are_those_of_the_columns(spark):
+    from docketmill.operators import deadlines
+
+    rnd = random.Random(9)
+    pieces = ["Bills are paid", "; after 5 weeks", " the Seller may rescind.", " Within 3 days of the claim", "retention", " for two (2) years", " on 14 days notice", ", cured within 60 days", ". is 7 months", "due", " "]
+    rows = [(1, i, "".join(rnd.choice(pieces) for _ in range(rnd.randrange(8)))) for i in range(300)]
+    got = sorted((i, *x) for _, i, t in rows for x in deadlines.classified_in(t))
+    assert got == sorted((r.idx, r.kind, r.n, r.unit) for r in deadlines.classified(spark.createDataFrame(rows, "doc_id long, idx int, text string")).collect()) and len({x[1] for x in got}) > 5
+
+
+def test_contradictions_join_and_broadcast_nothing(spark):
+    from docketmill.plans import ordering
+
+    plan = ordering.time_contradictions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and not re.search("Broadcast|Join|Window|Aggregate", plan)
+
+
+def test_days_within_a_document_are_tightened_as_in_the_table(spark):
+    from docketmill.operators import ordering
+
+    rnd = random.Random(4)
+    names, docs = [f"E{i}" for i in range(6)], []
+    for _ in range(40):
+        known = {n: (d, d + rnd.choice([0, 0, -1, 5])) for n in rnd.sample(names, 2) for d in [rnd.randrange(30)]}
+        docs.append((known, [(rnd.choice(names), rnd.choice(names), least, least + rnd.choice([0, 3])) for _ in range(5) for least in [rnd.randrange(-5, 6)]]))
+    known = [(d, e, *b) for d, (k, _) in enumerate(docs) for e, b in k.items()]
+    far = [(d, *f) for d, (_, fs) in enumerate(docs) for f in fs]
+    got = ordering.tightened(spark.createDataFrame(known, "doc_id long, event string, lo int, hi int"), spark.createDataFrame(far, "doc_id long, event string, anchor string, least int, most int"))
+    assert sorted(map(tuple, got.collect())) == sorted((d, e, *b) for d, (k, fs) in enumerate(docs) for e, b in ordering._tightened(k, fs).items())
