@@ -93,3 +93,23 @@ def test_roots_are_composed_before_rows_are_renamed(spark):
     got = near_copies._composed(frame((9, 5), (8, 6)), [frame((5, 3)), frame((3, 1), (6, 2))])
     assert {(r.old, r.new) for r in got.collect()} == {(9, 1), (8, 2), (5, 1), (3, 1), (6, 2)}
     assert near_copies._composed(None, []) is None
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_no_pair_of_a_large_band_is_left_out(spark, monkeypatch, block):
+    """One band holds all texts; near copies of each other are none of those that the others are compared with first."""
+
+    def signed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([t.encode() for t in batch.column("text").to_pylist()], pa.binary()), pa.array([[1]] * n, pa.list_(pa.int64())), pa.array([k * 0x1F3D5B79A6C8E ^ k << 50 for k in batch.column("k").to_pylist()], pa.int64())], names=["k", "digest", "bands", "fp"])
+
+    monkeypatch.setattr(near_copies, "_signed", signed)
+    monkeypatch.setattr(near_copies, "BLOCK", block, raising=False)
+    rnd = random.Random(11)
+    rows = [(i, " ".join(words_of(rnd, 60))) for i in range(40)]
+    rows += [(100 + i, edited(rows[i][1].split(), 30)) for i in (20, 33, 39)] + [(200, edited(rows[39][1].split(), 30, 31))]
+    got = near_copies.near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3), key="doc_id").collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: {120: 20, 133: 33, 139: 39, 200: 39}.get(k, k) for k, _ in rows}
